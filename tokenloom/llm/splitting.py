@@ -22,7 +22,7 @@ BOUNDARIES = (
     r"\s+",
 )
 #: A stronger boundary is preferred while it leaves at least this share of the limit.
-FILL = (0.5, 0.6, 0.7, 0.9, 0.0)
+FILL = (0.5, 0.6, 0.7, 0.8, 0.25)
 
 
 class Offsets:
