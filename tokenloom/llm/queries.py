@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tokenloom.llm import cooccurrence, frequency, packing, splitting
+from tokenloom.llm import contamination, cooccurrence, encoding, frequency, packing, splitting
 from tokenloom.session import table
 
 
@@ -26,18 +26,27 @@ def _p7(spark, d):
     return packing.pack_documents(table(spark, d, "documents"), table(spark, d, "size_limits"))
 
 
+def _p8(spark, d, operator):
+    return operator(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def _p9(spark, d, limit_name=None):
     return splitting.split_documents(table(spark, d, "documents"), table(spark, d, "size_limits"), limit_name=limit_name)
 
 
 def queries() -> dict:
     return {
+        "p1_found": lambda s, d: encoding.damaged_tokens(table(s, d, "corpus")).select("id"),
+        "p1_tokens": lambda s, d: encoding.damaged_tokens(table(s, d, "corpus")),
+        "p1_documents": lambda s, d: encoding.repaired_documents(table(s, d, "documents"), table(s, d, "corpus")),
         "p3_found": lambda s, d: _p3(s, d).select(F.col("item_a").alias("token_a"), F.col("item_b").alias("token_b")),
         "p3_pairs": _p3_pairs,
         "p5_found": lambda s, d: _p5(s, d).where(F.col("mark").isNotNull()).select("kind", "term", "mark"),
         "p5_terms": _p5,
         "p7_pack": _p7,
         "p7_report": lambda s, d: packing.packing_report(_p7(s, d)),
+        "p8_found": lambda s, d: _p8(s, d, contamination.contained_items).select("doc_id", "item_id").distinct(),
+        "p8_spans": lambda s, d: _p8(s, d, contamination.removal_spans),
         "p9_found": lambda s, d: _p9(s, d, "split_hard").select("doc_id").distinct(),
         "p9_pieces": lambda s, d: _p9(s, d),
     }
