@@ -302,3 +302,14 @@ def repaired_documents(documents: DataFrame, corpus: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["n_damaged"], pa.int64()), pa.array(out["n_restored"], pa.int64()), pa.array(out["text"], pa.string())], list(out))
 
     return rows.mapInArrow(mend, "doc_id bigint, n_damaged bigint, n_restored bigint, text string")
+
+
+def mend_word(word: str, lang: str | None) -> str:
+    """The likely original of a word without any fitted model: the first chain that
+    inverts strictly into the language's script; the word itself where none does."""
+    if word.isascii():
+        return word
+    for chain in (CHAINS[-1], *CHAINS[:-1]):
+        if (chain[0] not in ONLY or lang in ONLY[chain[0]]) and (out := invert(word, chain)) is not None and plausible(out, lang):
+            return out
+    return word
