@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tokenloom.llm import contamination, cooccurrence, encoding, frequency, packing, splitting
+from tokenloom.llm import contamination, cooccurrence, encoding, frequency, packing, sentences, splitting, subjects
 from tokenloom.session import table
 
 
@@ -18,6 +18,10 @@ def _p3_pairs(spark, d):
     )
 
 
+def _p4(spark, d):
+    return subjects.document_subjects(table(spark, d, "documents"), table(spark, d, "corpus"), table(spark, d, "topic_list"))
+
+
 def _p5(spark, d):
     return frequency.term_frequencies(table(spark, d, "corpus"), table(spark, d, "freq_list"))
 
@@ -39,8 +43,12 @@ def queries() -> dict:
         "p1_found": lambda s, d: encoding.damaged_tokens(table(s, d, "corpus")).select("id"),
         "p1_tokens": lambda s, d: encoding.damaged_tokens(table(s, d, "corpus")),
         "p1_documents": lambda s, d: encoding.repaired_documents(table(s, d, "documents"), table(s, d, "corpus")),
+        "p2_found": lambda s, d: sentences.sentence_ends(table(s, d, "corpus")).select("id"),
+        "p2_units": lambda s, d: sentences.sentence_units(table(s, d, "corpus")),
         "p3_found": lambda s, d: _p3(s, d).select(F.col("item_a").alias("token_a"), F.col("item_b").alias("token_b")),
         "p3_pairs": _p3_pairs,
+        "p4_found": lambda s, d: _p4(s, d).select("doc_id", "topic"),
+        "p4_shares": lambda s, d: subjects.subject_shares(_p4(s, d)),
         "p5_found": lambda s, d: _p5(s, d).where(F.col("mark").isNotNull()).select("kind", "term", "mark"),
         "p5_terms": _p5,
         "p7_pack": _p7,
