@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,9 +32,8 @@ DIMENSIONS, TERM_SHARE, SVD_PASSES, REFINEMENTS = 16, 1 / 500, 3, 3
 TERM_COSINE, SENTENCE_SHARE = 0.7, 0.25
 
 _MARKUP = regex.compile(r"<[^<>]*>|&[a-z]+;")
-_SENTENCE = regex.compile(
-    r"(?<=[.!?…؟])(?<!\b\p{Lu}\p{Ll}{0,3}\.)[\"'”’»)\]]*\s+(?=[\p{Lu}\p{Lo}\p{N}\"'“‘«„(\[])|(?<=[。！？｡।॥])[」』”’»）)]*\s*|\n\s*"
-)
+_END = re.compile(r"[.!?…؟]+[\"'”’»)\]]*\s+|[。！？｡।॥]+[」』”’»）)]*\s*|\n\s*")
+_ASCII_WORD = re.compile(r"[a-z]+")
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 _RUN = regex.compile(r"[\p{Han}\p{Katakana}ー]+")
 _ODD = regex.compile(r"[\x80-ɏˆ˜Ѐ-ӿ‘-⋿｡-ﾟ]")
@@ -51,6 +52,24 @@ def script_of(text: str) -> str | None:
     return None
 
 
+def sentences_of(text: str) -> list[str]:
+    """Parts of a text by its marks and line ends; a mark before a small letter and the
+    full stop of a short capitalised word (Prof., No.) end nothing."""
+    out, start = [], 0
+    for m in _END.finditer(text):
+        if text[m.start()] in ".!?…؟":
+            if text[m.end() : m.end() + 1].islower():
+                continue
+            if text[m.start()] == ".":
+                before = text[max(start, m.start() - 6) : m.start()].split()[-1:]
+                if before and len(before[0]) <= 4 and before[0][:1].isupper() and (len(before[0]) == 1 or before[0][1:].islower()):
+                    continue
+        out.append(text[start : m.end()])
+        start = m.end()
+    out.append(text[start:])
+    return out
+
+
 class Terms:
     """Sentences of a text as lists of terms: lower-cased words; in Chinese and Japanese
     the longest known words of each run of Han characters and katakana. Wrongly decoded
@@ -90,8 +109,12 @@ class Terms:
     def __call__(self, text: str, lang: str | None) -> list[list[str]]:
         text = _MARKUP.sub(" ", self._mend(text, lang))
         out = []
-        for part in _SENTENCE.split(text):
-            if not part or not _WORD.search(part):
+        for part in sentences_of(text):
+            if part.isascii() and lang not in ("ja", "zh", "th"):
+                if words := _ASCII_WORD.findall(part.lower()):
+                    out.append(words)
+                continue
+            if not _WORD.search(part):
                 continue
             if lang in ("ja", "zh"):
                 out.append([w for run in _RUN.findall(part) for w in self._segment(run, lang)])
@@ -113,15 +136,18 @@ def _cut(words: set[tuple[str, str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(words)
         for batch in batches:
-            out: dict[str, list] = {"doc_id": [], "lang": [], "sentences": [], "label": []}
-            for doc, lang, text, label in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "text", "label"))):
+            langs, flat, places, sizes = [], [], [], []
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 code = code_of(lang) or script_of(text)
-                out["doc_id"].append(doc)
-                out["lang"].append(code)
-                out["sentences"].append(terms(text, code))
-                out["label"].append(label)
-            types = (pa.int64(), pa.string(), pa.list_(pa.list_(pa.string())), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in zip(out, types)], list(out))
+                found = terms(text, code)
+                langs.append(code)
+                flat.append([w for s in found for w in s])
+                places.append(np.repeat(np.arange(len(found), dtype=np.int32), [len(s) for s in found]))
+                sizes.append(len(found))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(langs, pa.string()), batch.column("label"), pa.array(sizes, pa.int32()), pa.array(places, pa.list_(pa.int32())), pa.array(flat, pa.list_(pa.string()))],
+                ["doc_id", "lang", "label", "n_sentences", "sentence", "word"],
+            )
 
     return run
 
@@ -147,51 +173,89 @@ class Lexicon:
             self.number[lang] = {t: i for i, (t, _) in enumerate(own)}
             self.idf[lang] = np.array([np.log((1 + sizes[lang]) / (1 + n)) + 1 for _, n in own])
 
-    def language(self, sentences: list[list[str]]) -> str | None:
+    def language(self, words: list[str]) -> str | None:
         """The language most of whose terms a text of unknown language has."""
-        words = {w for s in sentences for w in s}
-        hits = {g: sum(w in number for w in words) for g, number in self.number.items()}
+        distinct = set(words)
+        hits = {g: sum(w in number for w in distinct) for g, number in self.number.items()}
         best = max(hits, key=lambda g: (hits[g], g), default=None)
         return best if best is not None and hits[best] else None
 
 
-def _encode(lexicon: Lexicon):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {"doc_id": [], "lang": [], "label": [], "n_sentences": [], "sentence": [], "term": []}
-            for doc, lang, sentences, label in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "sentences", "label"))):
-                lang = lang if lang in lexicon.number else lexicon.language(sentences)
-                number = lexicon.number.get(lang, {})
-                pairs = [(i, number[w]) for i, s in enumerate(sentences) for w in s if w in number]
-                for k, v in zip(out, (doc, lang, label, len(sentences), [i for i, _ in pairs], [w for _, w in pairs])):
-                    out[k].append(v)
-            types = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in zip(out, types)], list(out))
+CUT = "doc_id bigint, lang string, label string, n_sentences int, sentence array<int>, word array<string>"
+ENCODED = "doc_id bigint, lang string, label string, n_sentences int, sentence array<int>, term array<int>, distinct array<int>, weight array<float>"
 
-    return run
 
+def _lists(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """Values and the row of each value."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
+    return column.flatten(), np.repeat(np.arange(len(sizes)), sizes)
 
-def _matrices(batches: Iterator[pa.RecordBatch], idf: dict[str, np.ndarray], rows: int = 512) -> Iterator[tuple[str, np.ndarray, list]]:
-    """(language, term weights of some documents, their rows), a bounded number at a time."""
-    held: dict[str, list] = {}
 
-    def matrix(lang: str) -> tuple[str, np.ndarray, list]:
-        docs = held.pop(lang)
-        width = len(idf[lang])
-        flat = np.concatenate([np.asarray(d["term"], dtype=np.int64) + i * width for i, d in enumerate(docs)]) if docs else np.zeros(0, np.int64)
-        x = np.bincount(flat, minlength=len(docs) * width).reshape(len(docs), width).astype(np.float64)
-        x = np.where(x > 0, 1 + np.log(np.maximum(x, 1)), 0) * idf[lang]
-        return lang, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9), docs
+def _to_lists(values: np.ndarray, row: np.ndarray, n: int, kind: pa.DataType) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, kind))
 
+
+def _by_language(batches: Iterator[pa.RecordBatch], langs: set[str], rows: int = 1024) -> Iterator[tuple[str | None, pa.RecordBatch]]:
+    """Parts of the batches of one language each; unknown languages as null."""
     for batch in batches:
-        for d in batch.to_pylist():
-            if d["lang"] is None or d["lang"] not in idf:
+        code = batch.column("lang").to_pylist()
+        groups: dict[str | None, list[int]] = {}
+        for i, g in enumerate(code):
+            groups.setdefault(g if g in langs else None, []).append(i)
+        for g, at in groups.items():
+            for k in range(0, len(at), rows):
+                yield g, batch.take(pa.array(at[k : k + rows]))
+
+
+def _encode(lexicon: Lexicon):
+    """Words to numbers, and the normed tf-idf weights of each document."""
+
+    def part(lang: str | None, batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = batch.num_rows
+        words, row = _lists(batch.column("word"))
+        sentence = _lists(batch.column("sentence"))[0].to_numpy(zero_copy_only=False)
+        number = lexicon.number.get(lang, {})
+        found = pc.index_in(words, value_set=pa.array(list(number), pa.string())) if number else pa.nulls(len(words), pa.int32())
+        known = np.asarray(pc.is_valid(found))
+        term, row, sentence = np.asarray(pc.fill_null(found, 0))[known].astype(np.int64), row[known], sentence[known]
+        width = max(1, len(number))
+        key, count = np.unique(row * width + term, return_counts=True)
+        at, distinct = key // width, key % width
+        weight = (1 + np.log(count)) * lexicon.idf[lang][distinct] if number else np.zeros(0)
+        norm = np.sqrt(np.bincount(at, weight**2, minlength=n))
+        weight = weight / np.maximum(norm[at], 1e-9)
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id"), pa.array([lang] * n, pa.string()), batch.column("label"), batch.column("n_sentences"),
+                _to_lists(sentence.astype(np.int32), row, n, pa.int32()), _to_lists(term.astype(np.int32), row, n, pa.int32()),
+                _to_lists(distinct.astype(np.int32), at, n, pa.int32()), _to_lists(weight.astype(np.float32), at, n, pa.float32()),
+            ],
+            ["doc_id", "lang", "label", "n_sentences", "sentence", "term", "distinct", "weight"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, batch in _by_language(batches, set(lexicon.number)):
+            if lang is not None:
+                yield part(lang, batch)
                 continue
-            held.setdefault(d["lang"], []).append(d)
-            if len(held[d["lang"]]) >= rows:
-                yield matrix(d["lang"])
-    for lang in list(held):
-        yield matrix(lang)
+            told: dict[str | None, list[int]] = {}
+            for i, words in enumerate(batch.column("word").to_pylist()):
+                told.setdefault(lexicon.language(words), []).append(i)
+            for g, at in told.items():
+                yield part(g, batch.take(pa.array(at)))
+
+    return run
+
+
+def _matrices(batches: Iterator[pa.RecordBatch], idf: dict[str, np.ndarray]) -> Iterator[tuple[str, np.ndarray, list]]:
+    """(language, dense term weights of some documents, their labels)."""
+    for lang, batch in _by_language(batches, set(idf)):
+        if lang is not None:
+            x = np.zeros((batch.num_rows, len(idf[lang])), dtype=np.float32)
+            distinct, row = _lists(batch.column("distinct"))
+            x[row, distinct.to_numpy()] = batch.column("weight").flatten().to_numpy()
+            yield lang, x, batch.column("label").to_pylist()
 
 
 def _summed(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[str, np.ndarray]]]) -> dict[str, np.ndarray]:
@@ -249,66 +313,73 @@ def fit(encoded: DataFrame, lexicon: Lexicon, subjects: list[str]) -> Space:
     space = Space(subjects)
     space.idf = {g: a for g, a in lexicon.idf.items() if len(a)}
     at = {t: i for i, t in enumerate(subjects)}
+    m = len(subjects)
+
+    def one_hot(labels: list) -> np.ndarray:
+        out = np.zeros((m + 1, len(labels)), dtype=np.float32)
+        out[m] = 1
+        for i, label in enumerate(labels):
+            if label in at:
+                out[at[label], i] = 1
+        return out
 
-    def seeds(batches):  # rows: all documents, one per subject, then their numbers
-        for lang, x, docs in _matrices(batches, space.idf):
-            sums = np.zeros((2 * (len(subjects) + 1), x.shape[1]))
-            sums[0], sums[len(subjects) + 1, 0] = x.sum(0), len(docs)
-            for i, d in enumerate(docs):
-                if d["label"] in at:
-                    sums[1 + at[d["label"]]] += x[i]
-                    sums[len(subjects) + 2 + at[d["label"]], 0] += 1
-            yield lang, sums
+    def seeds(batches):  # sums by subject and of all, and in a last column their numbers
+        for lang, x, labels in _matrices(batches, space.idf):
+            h = one_hot(labels)
+            yield lang, np.concatenate([h @ x, h.sum(1, keepdims=True)], axis=1)
 
     basis: dict[str, np.ndarray] = {}
-    sizes: dict[str, float] = {}
     for lang, sums in _summed(encoded, seeds).items():
-        n = sums[len(subjects) + 1 :, 0]
-        sizes[lang] = n[0]
-        space.mean[lang] = sums[0] / max(1.0, n[0])
-        own = (sums[1 : len(subjects) + 1] / np.maximum(n[1:, None], 1) - space.mean[lang]) * (n[1:, None] > 0)
-        extra = np.random.default_rng(7).standard_normal((max(0, DIMENSIONS - len(subjects)), own.shape[1]))
-        start = np.concatenate([own, extra * 1e-3])
-        basis[lang] = np.linalg.qr(start.T)[0]
+        n = sums[:, -1:]
+        space.mean[lang] = sums[m, :-1] / max(1.0, n[m, 0])
+        own = (sums[:m, :-1] / np.maximum(n[:m], 1) - space.mean[lang]) * (n[:m] > 0)
+        extra = np.random.default_rng(7).standard_normal((max(0, DIMENSIONS - m), own.shape[1]))
+        basis[lang] = np.linalg.qr(np.concatenate([own, extra * 1e-3]).T)[0]
 
     for _ in range(SVD_PASSES):
+        current = {g: (q.astype(np.float32), (space.mean[g] @ q).astype(np.float32)) for g, q in basis.items()}
 
-        def step(batches):
+        def step(batches, current=current):  # of the centred matrix, without centring it
             for lang, x, _ in _matrices(batches, space.idf):
-                if lang in basis:
-                    x = x - space.mean[lang]
-                    yield lang, x.T @ (x @ basis[lang])
+                if lang in current:
+                    q, shift = current[lang]
+                    y = x @ q - shift
+                    yield lang, np.concatenate([x.T @ y, y.sum(0, keepdims=True)])
 
         for lang, z in _summed(encoded, step).items():
+            z = z[:-1] - np.outer(space.mean[lang], z[-1])
             # Rayleigh-Ritz: singular vectors in order of their values
             values, turn = np.linalg.eigh((basis[lang].T @ z + z.T @ basis[lang]) / 2)
-            q, _ = np.linalg.qr(z @ turn[:, np.argsort(-values)])
-            basis[lang] = q
+            basis[lang], _ = np.linalg.qr(z @ turn[:, np.argsort(-values)])
     space.terms = basis
 
+    def embed(batches):
+        for lang, x, labels in _matrices(batches, space.idf):
+            if lang in basis:
+                y = _unit(x @ basis[lang] - space.mean[lang] @ basis[lang]).astype(np.float32)
+                n, k = y.shape
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * n), pa.array(labels, pa.string()), _to_lists(y.ravel(), np.repeat(np.arange(n), k), n, pa.float32())], ["lang", "label", "vector"]
+                )
+
+    vectors = materialize(encoded.mapInArrow(embed, "lang string, label string, vector array<float>"), "subjects-vectors")
+
     def centroids(batches, current=None):
-        for lang, x, docs in _matrices(batches, space.idf):
-            if lang not in basis:
-                continue
-            y = _unit((x - space.mean[lang]) @ basis[lang])
-            sums = np.zeros((len(subjects), y.shape[1]))
+        for lang, batch in _by_language(batches, set(basis)):
+            y = batch.column("vector").flatten().to_numpy().reshape(batch.num_rows, -1)
             if current is None:
-                for i, d in enumerate(docs):
-                    if d["label"] in at:
-                        sums[at[d["label"]]] += y[i]
+                h = one_hot(batch.column("label").to_pylist())[:m]
             else:
                 cosine = y @ current[lang].T
-                best = cosine.argmax(1)
-                for j in range(len(subjects)):
-                    sums[j] = y[(best == j) & (cosine[:, j] > 0.4)].sum(0)
-            yield lang, sums
+                h = ((cosine.argmax(1)[None, :] == np.arange(m)[:, None]) & (cosine.T > 0.4)).astype(np.float32)
+            yield lang, h @ y
 
-    current = {g: _unit(s) for g, s in _summed(encoded, centroids).items()}
+    current = {g: _unit(c) for g, c in _summed(vectors, centroids).items()}
     for _ in range(REFINEMENTS):
         held = current
-        moved = _summed(encoded, lambda b: centroids(b, held))
+        moved = _summed(vectors, lambda b, held=held: centroids(b, held))
         # a subject that lost all its documents keeps its seed
-        current = {g: np.where(np.linalg.norm(s, axis=1, keepdims=True) > 0, _unit(s), held[g]) for g, s in moved.items()}
+        current = {g: np.where(np.linalg.norm(c, axis=1, keepdims=True) > 0, _unit(c), held[g]) for g, c in moved.items()}
     space.centroids = current
 
     general = at.get(GENERAL, -1)
@@ -319,61 +390,67 @@ def fit(encoded: DataFrame, lexicon: Lexicon, subjects: list[str]) -> Space:
 
     # words beside which a subject's terms have another sense: the rest of such documents is not about it
     def context(batches):
-        for batch in batches:
-            for d in batch.to_pylist():
-                if d["lang"] not in space.subject_of or not d["term"]:
-                    continue
-                subject = space.subject_of[d["lang"]]
-                sentence, term = np.asarray(d["sentence"]), np.asarray(d["term"])
-                said = _sentence_subjects(subject, sentence, term, d["n_sentences"], len(subjects))
-                sums = held_sums.setdefault(d["lang"], np.zeros((len(subject), 2)))
-                if d["n_sentences"] < 3:
-                    continue
-                n = np.bincount(said[said >= 0], minlength=len(subjects))
-                rest = np.where(said >= 0, (n[said] - 1) / (d["n_sentences"] - 1), 0.0)
-                beside = (subject[term] < 0) & (said[sentence] >= 0)
-                np.add.at(sums, term[beside], np.stack([rest[sentence[beside]], np.ones(beside.sum())], axis=1))
-        yield from held_sums.items()
+        for lang, batch in _by_language(batches, set(space.subject_of)):
+            if lang is None:
+                continue
+            d = _Said(space, lang, batch, m)
+            long = d.sizes[d.doc_of] >= 3
+            rest = np.where((d.said >= 0) & long, (d.counts[d.doc_of, d.said] - 1) / np.maximum(1, d.sizes[d.doc_of] - 1), 0.0)
+            beside = (space.subject_of[lang][d.term] < 0) & (d.said[d.sentence] >= 0) & long[d.sentence]
+            width = len(space.subject_of[lang])
+            yield lang, np.stack([np.bincount(d.term[beside], rest[d.sentence[beside]], width), np.bincount(d.term[beside], minlength=width)])
 
-    held_sums: dict[str, np.ndarray] = {}
     for lang, sums in _summed(encoded, context).items():
-        usual = sums[:, 0].sum() / max(1.0, sums[:, 1].sum())
-        rate = sums[:, 0] / np.maximum(1, sums[:, 1])
-        space.misleading[lang] = (sums[:, 1] >= 5) & (rate < 0.4 * usual)
+        usual = sums[0].sum() / max(1.0, sums[1].sum())
+        space.misleading[lang] = (sums[1] >= 5) & (sums[0] / np.maximum(1, sums[1]) < 0.4 * usual)
     return space
 
 
-def _sentence_subjects(subject: np.ndarray, sentence: np.ndarray, term: np.ndarray, n: int, n_subjects: int) -> np.ndarray:
-    """The subject of each sentence by its terms, -1 for none."""
-    counts = np.zeros((n, n_subjects + 1))
-    own = subject[term]
-    np.add.at(counts, (sentence, np.where(own < 0, n_subjects, own)), 1)
-    counts = counts[:, :n_subjects]
-    return np.where(counts.max(1) > 0, counts.argmax(1), -1) if n else np.zeros(0, np.int64)
+class _Said:
+    """What the sentences of some documents of one language are about.
+
+    term and sentence: term numbers and the sentence each stands in (counted through);
+    said: subject of each sentence by its terms, -1 for none; doc_of: document of each
+    sentence; sizes and counts: sentences of each document, in all and by subject."""
+
+    def __init__(self, space: Space, lang: str, batch: pa.RecordBatch, m: int, heed: bool = False):
+        n = batch.num_rows
+        self.sizes = batch.column("n_sentences").to_numpy().astype(np.int64)
+        first = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.doc_of = np.repeat(np.arange(n), self.sizes)
+        term, row = _lists(batch.column("term"))
+        self.term = term.to_numpy().astype(np.int64)
+        self.sentence = batch.column("sentence").flatten().to_numpy().astype(np.int64) + first[row]
+        own = space.subject_of[lang][self.term]
+        hit = own >= 0
+        votes = np.bincount(self.sentence[hit] * m + own[hit], minlength=int(first[-1]) * m).reshape(-1, m)
+        self.said = np.where(votes.max(1, initial=0) > 0, votes.argmax(1), -1) if len(votes) else np.zeros(0, np.int64)
+        if heed and lang in space.misleading:
+            self.said[self.sentence[space.misleading[lang][self.term]]] = -1
+        ok = self.said >= 0
+        self.counts = np.bincount(self.doc_of[ok] * m + self.said[ok], minlength=n * m).reshape(n, m)
 
 
 def _assign(space: Space, share: float):
-    general = GENERAL
+    m = len(space.subjects)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {"doc_id": [], "topic": [], "share": [], "n_sentences": []}
-            for d in batch.to_pylist():
-                n, found = d["n_sentences"], []
-                if d["lang"] in space.subject_of and n and d["term"]:
-                    lang = d["lang"]
-                    sentence, term = np.asarray(d["sentence"]), np.asarray(d["term"])
-                    said = _sentence_subjects(space.subject_of[lang], sentence, term, n, len(space.subjects))
-                    if lang in space.misleading:
-                        said[sentence[space.misleading[lang][term]]] = -1
-                    counts = np.bincount(said[said >= 0], minlength=len(space.subjects)) / n
-                    order = sorted(np.flatnonzero(counts >= share), key=lambda j: (-counts[j], j))[:2]
-                    found = [(space.subjects[j], float(counts[j])) for j in order]
-                for topic, part in found or [(general, 0.0)]:
-                    for k, v in zip(out, (d["doc_id"], topic, part, n)):
-                        out[k].append(v)
-            types = (pa.int64(), pa.string(), pa.float64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in zip(out, types)], list(out))
+        for lang, batch in _by_language(batches, set(space.subject_of)):
+            n = batch.num_rows
+            sizes = batch.column("n_sentences").to_numpy()
+            shares = np.zeros((n, m))
+            if lang is not None:
+                shares = _Said(space, lang, batch, m, heed=True).counts / np.maximum(1, sizes)[:, None]
+            order = np.argsort(-shares, axis=1, kind="stable")[:, :2]
+            best = np.take_along_axis(shares, order, axis=1)
+            row, place = np.nonzero(best >= share)
+            none = np.flatnonzero((best < share).all(axis=1))
+            docs = batch.column("doc_id").take(pa.array(np.concatenate([row, none])))
+            topics = [space.subjects[j] for j in order[row, place]] + [GENERAL] * len(none)
+            yield pa.RecordBatch.from_arrays(
+                [docs, pa.array(topics, pa.string()), pa.array(np.concatenate([best[row, place], np.zeros(len(none))])), pa.array(sizes[np.concatenate([row, none])], pa.int32())],
+                ["doc_id", "topic", "share", "n_sentences"],
+            )
 
     return run
 
@@ -411,9 +488,9 @@ def document_subjects(documents: DataFrame, corpus: DataFrame, topic_list: DataF
     subjects = sorted(r["topic"] for r in topic_list.where(F.col("topic").isNotNull()).select("topic").distinct().collect())
     texts = documents.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"\S")).select("doc_id", "lang", "text")
     labelled = texts.join(labels_of(corpus, topic_list), "doc_id", "left").select("doc_id", "lang", "text", "label")
-    cut = materialize(labelled.mapInArrow(_cut(unspaced_words(corpus)), "doc_id bigint, lang string, sentences array<array<string>>, label string"), "subjects-cut")
+    cut = materialize(labelled.mapInArrow(_cut(unspaced_words(corpus)), CUT), "subjects-cut")
     sizes = {r["lang"]: r["n"] for r in cut.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    known = cut.where(F.col("lang").isNotNull()).select("lang", F.explode(F.array_distinct(F.flatten("sentences"))).alias("term"))
+    known = cut.where(F.col("lang").isNotNull()).select("lang", F.explode(F.array_distinct("word")).alias("term"))
     total = documents.sparkSession.createDataFrame(sorted(sizes.items()), "lang string, size bigint")
     kept = (
         known.groupBy("lang", "term")
@@ -424,9 +501,7 @@ def document_subjects(documents: DataFrame, corpus: DataFrame, topic_list: DataF
         .collect()
     )
     lexicon = Lexicon([(r["lang"], r["term"], r["df"]) for r in kept], sizes)
-    encoded = materialize(
-        cut.mapInArrow(_encode(lexicon), "doc_id bigint, lang string, label string, n_sentences int, sentence array<int>, term array<int>"), "subjects-encoded"
-    )
+    encoded = materialize(cut.mapInArrow(_encode(lexicon), ENCODED), "subjects-encoded")
     space = fit(encoded, lexicon, subjects)
     return encoded.mapInArrow(_assign(space, share), "doc_id bigint, topic string, share double, n_sentences int")
 
