@@ -15,20 +15,20 @@ def dense_number(df: DataFrame, order: list[str], name: str, first: int = 0, lab
     partition offsets. Only one count per partition reaches the driver; the sorted rows
     are written to the shared folder so that offsets and rows agree even if an executor
     is lost between the two passes."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__dense_part", F.spark_partition_id())
     kept = materialize(ranged, label)
-    sizes = sorted((r["_part"], r["n"]) for r in kept.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    sizes = sorted((r["__dense_part"], r["n"]) for r in kept.groupBy("__dense_part").agg(F.count("*").alias("n")).collect())
     offsets, total = [], first
     for part, n in sizes:
         offsets.append((part, total))
         total += n
     spark = df.sparkSession
     if not offsets:
-        return kept.drop("_part").withColumn(name, F.lit(None).cast("bigint"))
-    shift = spark.createDataFrame(offsets, "_part int, _shift bigint")
-    window = Window.partitionBy("_part").orderBy(*order)
+        return kept.drop("__dense_part").withColumn(name, F.lit(None).cast("bigint"))
+    shift = spark.createDataFrame(offsets, "__dense_part int, __dense_shift bigint")
+    window = Window.partitionBy("__dense_part").orderBy(*order)
     return (
-        kept.join(F.broadcast(shift), "_part")
-        .withColumn(name, F.col("_shift") + F.row_number().over(window) - 1)
-        .drop("_part", "_shift")
+        kept.join(F.broadcast(shift), "__dense_part")
+        .withColumn(name, F.col("__dense_shift") + F.row_number().over(window) - 1)
+        .drop("__dense_part", "__dense_shift")
     )

@@ -6,9 +6,14 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions import expr
 from tokenloom.model import Corpus
-from tokenloom.operators import collocation, distribution, keyword, kwic, ngram, overview
-from tokenloom.plans import positions, restrict
+from tokenloom.functions import g2p
+from tokenloom.operators import annotate, classify, collocation, compare, dictionary, distribution, features, keyword, kwic, multivariate, ngram, overview, pattern_groups, stats
+from tokenloom.plans import nl_rules, patterns, positions, restrict
 from tokenloom.plans.terms import parse_query
+from tokenloom.sources import tables as side
+from tokenloom.sources import text as plain
+from tokenloom.sources import xml
+from tokenloom.streaming import frequencies as streaming
 from tokenloom.session import table
 
 TAG_QUERY = '<PN type="human"> was'
@@ -40,6 +45,57 @@ def _bands(spark, d):
     return rated.select(F.col("_token_low").alias("token"), "freq", "per_million", F.round(z, 6).alias("zipf"), expr.band(z).alias("band")).where(F.col("token").isNotNull())
 
 
+def _sentence_key():
+    return F.concat_ws(":", "filename", "sent_id")
+
+
+def _texts(spark, d):
+    return overview.sentence_texts(_part(spark, d, "en")).select(_sentence_key().alias("text_id"), "text")
+
+
+def _plain(spark, d):
+    documents = table(spark, d, "documents").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("filename"), "text")
+    return plain.build(plain.plain_rows(documents))
+
+
+def _vertical(spark, d):
+    c = corpus(spark, d).tokens.where(F.col("filename").isNotNull() & F.col("token").isNotNull())
+    line = F.concat_ws("\t", "token", F.coalesce("pos", F.lit("")), F.coalesce("lemma", F.lit("")))
+    by_block = c.groupBy("filename", F.floor(F.col("id") / 4096).alias("block")).agg(F.sort_array(F.collect_list(F.struct("id", line.alias("line")))).alias("_w"))
+    texts = by_block.select(F.concat_ws("#", "filename", F.lpad(F.col("block").cast("string"), 12, "0")).alias("filename"), F.array_join(F.transform("_w", lambda x: x["line"]), "\n").alias("text"))
+    return plain.build(plain.vertical_rows(texts))
+
+
+def _xml(spark, d):
+    return table(spark, d, "raw_records").where(F.col("fmt") == "xml").select(F.lpad(F.col("record_id").cast("string"), 12, "0").alias("filename"), F.col("body").alias("text")).distinct()
+
+
+def _shared_ngrams(spark, d):
+    return compare.compare(
+        ngram.ngrams(_part(spark, d, "en"), 2, restrictions={"lang": ["en"]}, min_freq=1), ngram.ngrams(_part(spark, d, "id"), 2, restrictions={"lang": ["id"]}, min_freq=1),
+        "ngram", {"frequency": "freq", "per_million": "rel"},
+    )
+
+
+def _matrix(spark, d, **options):
+    return features.feature_matrix(corpus(spark, d), "lang", **options)
+
+
+def _annotations(spark, d):
+    rows = corpus(spark, d).tokens.where(F.col("_token_low") == "people").select("id", F.lit("sense").alias("attribute"), F.concat(F.lit("p"), F.col("pos")).alias("value"), F.lit(1).alias("n"))
+    again = rows.where(F.col("id") % 2 == 0).select("id", "attribute", F.lit("changed").alias("value"), F.lit(2).alias("n"))
+    return rows.unionByName(again)
+
+
+def _nl(spark, d):
+    asked = nl_rules.parse("find a word beginning with bri followed by a noun")["query"]
+    terms = parse_query(asked.removeprefix("a "))
+    return positions.with_text(positions.matches(corpus(spark, d), terms), corpus(spark, d).tokens)
+
+
+PATTERNS, _ = patterns.parse_definitions("of : <> of (_DT) #\nbefore : # <>\nand : <> and #\nfar : <> + + #")
+
+
 def _rounded(df, *columns, places=6):
     for c in columns:
         df = df.withColumn(c, F.round(c, places))
@@ -83,6 +139,60 @@ def queries() -> dict:
         "AGG15_keywords_list": lambda s, d: _rounded(keyword.keywords(_part(s, d, "en"), ref_freq=reference_list(s, d)), "ll", "log_ratio"),
         "AGG16_grouped_keywords": lambda s, d: _rounded(keyword.grouped_keywords(corpus(s, d), "lang", reference_list(s, d)), "ll", "log_ratio"),
         "SRT4_top_keywords": lambda s, d: keyword.top_keywords(_rounded(keyword.keywords(_part(s, d, "en"), _part(s, d, "id")), "ll", "log_ratio"), 25),
+        "AGG19_lemma_forms": lambda s, d: dictionary.lemma_forms(corpus(s, d), "was"),
+        "AGG20_context_ngrams": lambda s, d: dictionary.context_ngrams(corpus(s, d), "lamp"),
+        "DIC1_examples": lambda s, d: dictionary.examples(corpus(s, d), "people"),
+        "DIC2_entry": lambda s, d: dictionary.entry(corpus(s, d), "lamp"),
+        "DIC3_collocate_examples": lambda s, d: _rounded(dictionary.collocate_examples(corpus(s, d), "lamp"), "ll"),
+        "SMP2_random_sentences": lambda s, d: dictionary.random_sentences(corpus(s, d), "lamp", 5),
+        "SMP3_related_forms": lambda s, d: dictionary.related_forms(corpus(s, d), "the"),
+        "SET1_shared_vocabulary": lambda s, d: _part(s, d, "en").frequencies.select("_token_low").join(_part(s, d, "id").frequencies.select("_token_low"), "_token_low", "left_semi"),
+        "SET3_shared_ngrams": lambda s, d: _shared_ngrams(s, d)[0],
+        "SET3_unique_ngrams": lambda s, d: _shared_ngrams(s, d)[1],
+        "AGG27_summary": lambda s, d: compare.summary(*_shared_ngrams(s, d)),
+        "SET2_collocations": lambda s, d: compare.compare_collocations(
+            collocation.collocations(corpus(s, d), "lamp", limit=None, restrictions={"year": (2000, 2009)}), collocation.collocations(corpus(s, d), "lamp", limit=None, restrictions={"year": (2010, 2019)})
+        ),
+        "STA1_compare_groups": lambda s, d: _rounded(stats.compare_groups(corpus(s, d), "t*", "lang", ("en", "id")), "prop_1", "prop_2", "chi2", "effect_size").drop("p_value", "p_corrected", "significance"),
+        "STA1_significance": lambda s, d: _rounded(stats.compare_groups(corpus(s, d), "t*", "lang", ("en", "id")), "p_value", "p_corrected").select("word", "p_value", "p_corrected", "significance"),
+        "STA2_benjamini_hochberg": lambda s, d: _rounded(stats.compare_groups(corpus(s, d), "_NN", "lang", ("en", "de"), correction="bh"), "chi2", "p_value", "p_corrected").select("word", "chi2", "p_value", "p_corrected"),
+        "STA4_pearson": lambda s, d: _rounded(stats.correlation(stats.frequency_vector(corpus(s, d), "the"), stats.metric_vector(corpus(s, d), "ttr")), "r").drop("p_value"),
+        "STA4_p_value": lambda s, d: _rounded(stats.correlation(stats.frequency_vector(corpus(s, d), "the"), stats.metric_vector(corpus(s, d), "ttr")), "p_value").select("p_value"),
+        "STA4_spearman": lambda s, d: _rounded(stats.correlation(stats.metric_vector(corpus(s, d), "token_count"), stats.metric_vector(corpus(s, d), "ttr"), method="spearman"), "r").drop("p_value"),
+        "AGG22_frequency_vector": lambda s, d: stats.frequency_vector(corpus(s, d), "(the|a)"),
+        "AGG23_metadata_vector": lambda s, d: stats.metadata_vector(corpus(s, d), "year"),
+        "AGG24_metric_vector": lambda s, d: stats.metric_vector(corpus(s, d), "type_count", "lang"),
+        "AGG26_preview": lambda s, d: stats.preview(corpus(s, d), "[be]"),
+        "AGG25_matrix": lambda s, d: _matrix(s, d, top=40, sizes=(1, 2)),
+        "STA12_z_scores": lambda s, d: _rounded(features.z_scores(_matrix(s, d, top=30)), "z"),
+        "STA9_delta": lambda s, d: _rounded(
+            features.burrows_delta(features.z_scores(features.feature_matrix(corpus(s, d), "topic", top=30)), s.createDataFrame([("Sport", "A"), ("Science", "A"), ("Politics", "B")], "group string, author string"), ["Economy", "Religion"]), "delta"
+        ),
+        "STA11_network": lambda s, d: _rounded(features.similarity_network(_matrix(s, d, top=40), 0.1), "similarity"),
+        "STA5_clustering": lambda s, d: _rounded(multivariate.cluster(_matrix(s, d, top=40)), "height"),
+        "STA7_correspondence": lambda s, d: _rounded(multivariate.correspondence(_matrix(s, d, top=40)), "coordinate", "inertia"),
+        "STA10_pca": lambda s, d: _rounded(multivariate.principal_components(_matrix(s, d, top=40), 3), "score", "variance"),
+        "PAT6_pattern_groups": lambda s, d: pattern_groups.group_by_patterns(corpus(s, d), "lamp", PATTERNS),
+        "PAT7_node_lines": lambda s, d: pattern_groups.node_lines(corpus(s, d), "lamp").select("id", F.to_json("line").alias("line")),
+        "PRD18_rules": _nl,
+        "CLS1_sentiment": lambda s, d: classify.sentiment(_texts(s, d), classify.LexiconScorer({"bright": 1.5, "gentle": 1.2, "useless": -1.8, "lost": -1.3})),
+        "CLS2_topics": lambda s, d: _rounded(classify.topics_by_seeds(_texts(s, d)), "score"),
+        "CLS3_discovered_topics": lambda s, d: classify.discover_topics(_texts(s, d)).groupBy("topic").agg(F.count("*").alias("texts")),
+        "FN11_ipa": lambda s, d: _part(s, d, "id").tokens.select("token").distinct().select("token", g2p.ipa(F.col("token")).alias("ipa")),
+        "SNK5_annotations": lambda s, d: annotate.persist_annotations(corpus(s, d).tokens, _annotations(s, d)).where(F.col("sense").isNotNull()).select("id", "token", "sense"),
+        "SNK7_sentence_labels": lambda s, d: annotate.persist_by_sentence(
+            corpus(s, d).tokens.select("id", "filename", "sent_id", "topic"), corpus(s, d).tokens.where(F.col("_token_low") == "lamp").select("filename", "sent_id", F.lit("Lamps").alias("topic"))
+        ).select("id", "topic"),
+        "TOK1_sentences": lambda s, d: table(s, d, "documents").where(F.col("text").isNotNull()).select("doc_id", F.size(plain.sentences(F.col("text"))).alias("n")),
+        "TOK2_tokens": lambda s, d: table(s, d, "documents").where(F.col("text").isNotNull()).select(F.explode(plain.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n")),
+        "SRC2_vertical": _vertical,
+        "SRC3_plain_text": _plain,
+        "SRC4_xml": lambda s, d: xml.read_xml(_xml(s, d)).select("id", "filename", "sent_id", "token", "pos", "lemma", "in_pn_start", "pn_len", "pn_type"),
+        "SRC9_structure": lambda s, d: xml.structure(_xml(s, d)).select("tag", "attribute", F.array_join("values", "|").alias("values")),
+        "SRC16_frequency_list": lambda s, d: side.frequency_list(table(s, d, "freq_list").select(F.concat_ws(" ", "token", F.col("freq").cast("string")).alias("value"))),
+        "SET4_misaligned": lambda s, d: side.misaligned(_part(s, d, "en").tokens, _part(s, d, "id").tokens),
+        "SET5_concatenate": lambda s, d: side.concatenate([_part(s, d, "de").tokens.select("id", "token", "lang"), _part(s, d, "fr").tokens.select("id", "token", "year")]).select("id", "token", "lang", "year"),
+        "STR1_frequencies": lambda s, d: streaming.running_frequencies(table(s, d, "documents").select("text")),
         "AGG17_segments": lambda s, d: _rounded(distribution.segments(corpus(s, d), "the"), "density", "relative_to_peak"),
         "AGG17_segments_densified": lambda s, d: _rounded(distribution.segments(corpus(s, d), "the", restrictions={"lang": ["en"]}, densify=True), "density", "relative_to_peak"),
         "AGG18_attributes": lambda s, d: _rounded(distribution.by_attributes(corpus(s, d), "the", ["lang", "topic", "year"]), "per_million", "relative", places=4),
@@ -165,6 +275,66 @@ g AS (SELECT p AS position, coalesce(absolute, 0) AS absolute FROM range(1, 101)
 SELECT position, absolute, round(absolute / size * 100, 6) AS density, round(CASE WHEN max(absolute) OVER () > 0 THEN absolute / max(absolute) OVER () * 100 ELSE 0 END, 6) AS relative_to_peak FROM g, n"""
 
 
+def _frames(word: str) -> str:
+    punct = "('.', ',', '!', '?', ';', ':', '(', ')', '[', ']', '{', '}', '\"', '\'\'', '“', '”', '‘', '’', '-', '–')"
+    cols = ", ".join(f"{'lag' if o < 0 else 'lead'}(_token_low, {abs(o)}) OVER w AS w{o + 3}" for o in range(-3, 4))
+    parts = " UNION ALL ".join(
+        f"SELECT '{name}' AS frame, " + " || ' ' || ".join(f"w{o + 3}" for o in offsets) + " AS ngram FROM n" for name, offsets in dictionary.FRAMES
+    )
+    return f"""{_C}, k AS (SELECT * FROM c WHERE _token_low IS NOT NULL AND _token_low NOT IN {punct}), l AS (SELECT _token_low, {cols} FROM k WINDOW w AS (ORDER BY id)),
+n AS (SELECT * FROM l WHERE _token_low = '{word}'), f AS ({parts}), g AS (SELECT frame, ngram, count(*) AS frequency FROM f WHERE ngram IS NOT NULL GROUP BY ALL)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY frame ORDER BY frequency DESC, ngram) AS INT) AS rank FROM g) WHERE rank <= 5"""
+
+
+def _bigrams_of(lang: str) -> str:
+    return f"(SELECT * FROM ({_ngrams(2, f"lang = '{lang}'", "true", "_token_low", 1, f"lang = '{lang}'")}))"
+
+
+_SETS = f"WITH a AS {_bigrams_of('en')}, b AS {_bigrams_of('id')}"
+
+
+def _yates(o: str, r: str, c: str) -> str:
+    e = f"({r} * {c} / t)"
+    return f"CASE WHEN {e} > 0 THEN pow(abs({o} - {e}) - least(0.5, abs({o} - {e})), 2) / {e} ELSE 0 END"
+
+
+def _rank(x: str) -> str:
+    return f"rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2"
+
+
+def _correlation(x: str, a: str, b: str) -> str:
+    return f"""{_C}, x AS ({x}), y AS (SELECT filename AS g, round(count(DISTINCT _token_low) / count(*), 4) AS y FROM c WHERE filename IS NOT NULL GROUP BY 1),
+v AS (SELECT ({a})::DOUBLE AS a, ({b})::DOUBLE AS b FROM x JOIN y USING (g)), r AS (SELECT count(*) AS n, corr(a, b) AS r FROM v)
+SELECT n, round(r, 6) AS r, CASE WHEN abs(r) >= 0.8 THEN 'Very Strong' WHEN abs(r) >= 0.6 THEN 'Strong' WHEN abs(r) >= 0.4 THEN 'Moderate' WHEN abs(r) >= 0.2 THEN 'Weak' ELSE 'Negligible' END
+  || CASE WHEN r >= 0 THEN ' Positive' ELSE ' Negative' END AS label FROM r"""
+
+
+def _matrix_sql(group: str, top: int, sizes: tuple, select: str, tail: bool = False) -> str:
+    grams = " UNION ALL ".join(
+        f"SELECT {group} AS g, {n} AS size, " + " || ' ' || ".join(["_token_low"] + [f"lead(_token_low, {k}) OVER (PARTITION BY filename, sent_id ORDER BY id)" for k in range(1, n)]) + " AS feature FROM r" for n in sizes
+    )
+    return f"""{_C}, r AS (SELECT * FROM c WHERE {group} IS NOT NULL AND _token_low IS NOT NULL AND NOT regexp_matches(_token_low, '^[[:punct:]]+$')), a AS ({grams}),
+h AS (SELECT g, size, feature, count(*) AS freq FROM a WHERE feature IS NOT NULL GROUP BY ALL),
+u AS (SELECT size, feature, sum(freq) AS total FROM h GROUP BY ALL),
+t AS (SELECT feature FROM (SELECT *, row_number() OVER (PARTITION BY size ORDER BY total DESC, feature) AS i FROM u) WHERE i <= {top}),
+m AS (SELECT x.g, t.feature, coalesce(h.freq, 0) AS freq FROM (SELECT DISTINCT g FROM h) x CROSS JOIN t LEFT JOIN h ON h.g = x.g AND h.feature = t.feature) {select if tail else select}"""
+
+
+_TOKENS = r"WITH t AS (SELECT unnest(list_filter(regexp_split_to_array(regexp_replace(text, '([^\p{L}\p{N}_\s\p{Z}])', ' \1 ', 'g'), '[\s\p{Z}]+'), lambda x: x <> '')) AS token FROM documents)"
+
+
+def _topics_sql() -> str:
+    seeds = ", ".join(f"('{t}', '{w}')" for t, words in classify.TOPIC_SEEDS.items() for w in words.split())
+    return f"""{_C}, s AS (SELECT filename || ':' || sent_id AS text_id, string_agg(token, ' ' ORDER BY id) AS text FROM c WHERE sent_id > 0 AND filename IS NOT NULL AND lang = 'en' GROUP BY filename, sent_id),
+seed(topic, word) AS (VALUES {seeds}), w AS (SELECT text_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS word FROM s),
+k AS (SELECT text_id, word, count(*) AS tf FROM w GROUP BY ALL), df AS (SELECT word, count(*) AS df FROM (SELECT word FROM k UNION ALL SELECT word FROM seed) GROUP BY 1),
+i AS (SELECT word, ln(((SELECT count(*) FROM s) + 7.0) / (1 + df)) + 1 AS idf FROM df), v AS (SELECT text_id, word, tf * idf AS w FROM k JOIN i USING (word)),
+n AS (SELECT text_id, sqrt(sum(w * w)) AS norm FROM v GROUP BY 1), z AS (SELECT topic, word, idf AS s FROM seed JOIN i USING (word)), y AS (SELECT topic, sqrt(sum(s * s)) AS size FROM z GROUP BY 1),
+q AS (SELECT text_id, topic, round(sum(w * s) / (any_value(norm) * any_value(size)), 9) AS score FROM v JOIN z USING (word) JOIN n USING (text_id) JOIN y USING (topic) GROUP BY text_id, topic),
+b AS (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY score DESC, topic) AS r FROM q)
+SELECT s.text_id, coalesce(b.topic, 'General') AS topic, round(coalesce(b.score, 0), 6) AS score FROM s LEFT JOIN b ON b.text_id = s.text_id AND b.r = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "CON1_kwic": _kwic("_token_low = 'the'", 5, "ORDER BY id LIMIT 1000"),
@@ -218,6 +388,51 @@ def oracle_sql() -> dict[str, str]:
               FROM k JOIN g ON g.lang = k.lang LEFT JOIN t ON t.lang = k.lang AND t.token = k.token LEFT JOIN r ON r.token = k.token),
             s AS (SELECT lang, token, freq_t, freq_r, {_SCORE} FROM j) SELECT *, {_LABELS} FROM s""",
         "SRT4_top_keywords": f"SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY type ORDER BY ll DESC, token) AS INT) AS rank FROM ({_KEY_ID})) WHERE rank <= 25",
+        "AGG19_lemma_forms": f"""{_C}, f AS (SELECT _token_low AS token, pos, lower(lemma) AS lemma, count(*) AS freq FROM c
+              WHERE lower(lemma) IN (SELECT lower(lemma) FROM c WHERE _token_low = 'was' AND lemma IS NOT NULL) GROUP BY ALL),
+            p AS (SELECT *, round(freq / (SELECT count(*) FROM c) * 1e6, 4) AS per_million FROM f)
+            SELECT *, round(log10(per_million) + 3, 2) AS zipf, {_BAND.format(z="log10(per_million) + 3")} FROM p""",
+        "AGG20_context_ngrams": _frames("lamp"),
+        "SMP3_related_forms": f"{_C} SELECT DISTINCT _token_low AS form FROM c WHERE starts_with(_token_low, 'the') AND _token_low <> 'the' ORDER BY form LIMIT 50",
+        "SET1_shared_vocabulary": f"{_C} SELECT _token_low FROM c WHERE lang = 'en' AND _token_low IS NOT NULL INTERSECT SELECT _token_low FROM c WHERE lang = 'id'",
+        "SET3_shared_ngrams": _SETS + " SELECT a.ngram, a.frequency AS freq_a, a.per_million AS rel_a, b.frequency AS freq_b, b.per_million AS rel_b, a.frequency - b.frequency AS freq_diff, a.per_million - b.per_million AS rel_diff FROM a JOIN b USING (ngram)",
+        "SET3_unique_ngrams": _SETS + " SELECT * FROM a WHERE lower(ngram) NOT IN (SELECT lower(ngram) FROM b)",
+        "AGG27_summary": _SETS + """, k AS (SELECT (SELECT count(*) FROM a JOIN b USING (ngram)) AS shared, (SELECT count(*) FROM a WHERE lower(ngram) NOT IN (SELECT lower(ngram) FROM b)) AS unique_a,
+            (SELECT count(*) FROM b WHERE lower(ngram) NOT IN (SELECT lower(ngram) FROM a)) AS unique_b) SELECT *, round(shared / (shared + unique_a + unique_b) * 100, 2) AS overlap FROM k""",
+        "SET2_collocations": f"""SELECT collocate, a.observed AS freq_a, a.ll AS ll_a, b.observed AS freq_b, b.ll AS ll_b, a.observed - b.observed AS freq_diff, a.ll - b.ll AS ll_diff
+            FROM ({_collocations("_token_low = 'lamp'", 5, 1, "year BETWEEN 2000 AND 2009", "")}) a JOIN ({_collocations("_token_low = 'lamp'", 5, 1, "year BETWEEN 2010 AND 2019", "")}) b USING (collocate)""",
+        "STA1_compare_groups": f"""{_C}, n AS (SELECT count(*) FILTER (lang = 'en')::DOUBLE AS t1, count(*) FILTER (lang = 'id')::DOUBLE AS t2 FROM c),
+            w AS (SELECT lower(token) AS word, count(*) FILTER (lang = 'en') AS freq_1, count(*) FILTER (lang = 'id') AS freq_2 FROM c WHERE starts_with(_token_low, 't') AND lang IN ('en', 'id') GROUP BY 1 HAVING count(*) >= 5),
+            x AS (SELECT *, freq_1 / t1 AS p1, freq_2 / t2 AS p2, freq_1 + freq_2 AS c1, t1 + t2 - freq_1 - freq_2 AS c2, t1 + t2 AS t FROM w, n)
+            SELECT word, freq_1, freq_2, round(p1, 6) AS prop_1, round(p2, 6) AS prop_2, round({" + ".join(_yates(*cell) for cell in (("freq_1", "t1", "c1"), ("(t1 - freq_1)", "t1", "c2"), ("freq_2", "t2", "c1"), ("(t2 - freq_2)", "t2", "c2")))}, 6) AS chi2,
+              round(2 * (asin(sqrt(p1)) - asin(sqrt(p2))), 6) AS effect_size FROM x""",
+        "STA4_pearson": _correlation("SELECT filename AS g, count(*)::DOUBLE AS x FROM c WHERE _token_low = 'the' AND filename IS NOT NULL GROUP BY 1", "x", "y"),
+        "STA4_spearman": _correlation("SELECT filename AS g, count(*)::DOUBLE AS x FROM c WHERE filename IS NOT NULL GROUP BY 1", _rank("x"), _rank("y")),
+        "AGG22_frequency_vector": f"{_C} SELECT filename AS \"group\", count(*)::DOUBLE AS value FROM c WHERE _token_low IN ('the', 'a') AND filename IS NOT NULL GROUP BY 1",
+        "AGG23_metadata_vector": f"{_C} SELECT g AS \"group\", avg(y) AS value FROM (SELECT DISTINCT filename AS g, year::DOUBLE AS y FROM c WHERE filename IS NOT NULL AND year IS NOT NULL) GROUP BY 1",
+        "AGG24_metric_vector": f"{_C} SELECT lang AS \"group\", count(DISTINCT _token_low)::DOUBLE AS value FROM c WHERE lang IS NOT NULL GROUP BY 1",
+        "AGG26_preview": f"{_C} SELECT lower(token) AS word, count(*) AS freq FROM c WHERE lower(lemma) = 'be' GROUP BY 1 ORDER BY freq DESC, word LIMIT 20",
+        "AGG25_matrix": _matrix_sql("lang", 40, (1, 2), 'SELECT g AS "group", feature, freq FROM m'),
+        "STA12_z_scores": _matrix_sql("lang", 30, (1,), """SELECT m.g AS "group", m.feature, round((freq - a) / CASE WHEN coalesce(s, 0) = 0 THEN 1 ELSE s END, 6) AS z
+            FROM m JOIN (SELECT feature, avg(freq) AS a, stddev_samp(freq) AS s FROM m GROUP BY 1) v USING (feature)"""),
+        "STA9_delta": _matrix_sql("topic", 30, (1,), """, v AS (SELECT feature, avg(freq) AS a, stddev_samp(freq) AS s FROM m GROUP BY 1), z AS (SELECT m.g, m.feature, (freq - a) / CASE WHEN coalesce(s, 0) = 0 THEN 1 ELSE s END AS z FROM m JOIN v USING (feature)),
+            k AS (SELECT author, feature, avg(z) AS mean FROM z JOIN (VALUES ('Sport', 'A'), ('Science', 'A'), ('Politics', 'B')) l(g, author) USING (g) GROUP BY ALL)
+            SELECT z.g AS "group", author, round(sum(abs(z - mean)), 6) AS delta FROM z JOIN k USING (feature) WHERE z.g IN ('Economy', 'Religion') GROUP BY ALL""", tail=True),
+        "STA11_network": _matrix_sql("lang", 40, (1,), """, d AS (SELECT x.g AS a, y.g AS b, sum(abs(x.freq - y.freq))::DOUBLE AS d FROM m x JOIN m y ON x.feature = y.feature AND x.g < y.g GROUP BY ALL)
+            SELECT a, b, round(1 - d / (SELECT max(d) FROM d), 6) AS similarity FROM d WHERE 1 - d / (SELECT max(d) FROM d) >= 0.1""", tail=True),
+        "PRD18_rules": f"{_C} SELECT a.id, CAST(2 AS BIGINT) AS len, a.token || ' ' || b.token AS match_token FROM c a JOIN c b ON b.id = a.id + 1 WHERE starts_with(a._token_low, 'bri') AND b.pos = 'NN'",
+        "SNK5_annotations": f"{_C} SELECT id, token, CASE WHEN id % 2 = 0 THEN 'changed' ELSE 'p' || pos END AS sense FROM c WHERE _token_low = 'people' AND (id % 2 = 0 OR pos IS NOT NULL)",
+        "SNK7_sentence_labels": f"{_C} SELECT id, CASE WHEN (filename, sent_id) IN (SELECT (filename, sent_id) FROM c WHERE _token_low = 'lamp' AND filename IS NOT NULL AND sent_id IS NOT NULL) THEN 'Lamps' ELSE topic END AS topic FROM c",
+        "TOK1_sentences": "SELECT doc_id, CAST(CASE WHEN len(s) > 0 THEN len(s) WHEN trim(text, ' \t\n\r') <> '' THEN 1 ELSE 0 END AS INT) AS n FROM (SELECT doc_id, text, list_filter(regexp_extract_all(text, '(?s).*?[.?!](?:\\s+|$)'), lambda x: trim(x, ' \t\n\r') <> '') AS s FROM documents WHERE text IS NOT NULL)",
+        "TOK2_tokens": _TOKENS + " SELECT token, count(*) AS n FROM t GROUP BY 1",
+        "STR1_frequencies": _TOKENS + " SELECT lower(token) AS token, count(*) AS freq FROM t GROUP BY 1",
+        "SET4_misaligned": f"""{_C}, e AS (SELECT DISTINCT sent_id FROM c WHERE lang = 'en' AND sent_id IS NOT NULL), i AS (SELECT DISTINCT sent_id FROM c WHERE lang = 'id' AND sent_id IS NOT NULL)
+            SELECT 'source' AS side, sent_id FROM e WHERE sent_id NOT IN (SELECT sent_id FROM i) UNION ALL SELECT 'target', sent_id FROM i WHERE sent_id NOT IN (SELECT sent_id FROM e)""",
+        "SET5_concatenate": f"""{_C} SELECT row_number() OVER (ORDER BY p, old) AS id, token, lang, year FROM (SELECT 0 AS p, id AS old, token, lang, NULL::INT AS year FROM c WHERE lang = 'de'
+            UNION ALL SELECT 1, id, token, NULL, year FROM c WHERE lang = 'fr')""",
+        "SRC16_frequency_list": """SELECT token, CAST(sum(freq) AS BIGINT) AS freq FROM (SELECT lower(c[1]) AS token, try_cast(c[2] AS BIGINT) AS freq FROM
+            (SELECT regexp_split_to_array(trim(concat_ws(' ', token, CAST(freq AS VARCHAR))), '\\s+') AS c FROM freq_list) WHERE len(c) >= 2) WHERE freq IS NOT NULL AND token <> '' GROUP BY 1""",
+        "CLS2_topics": _topics_sql(),
         "AGG17_segments": _segments("true", "id"),
         "AGG17_segments_densified": _segments("lang = 'en'", "k"),
         "AGG18_attributes": f"""{_C}, u AS (SELECT u.attribute, u.value, _token_low FROM c, LATERAL (VALUES ('lang', lang), ('topic', topic), ('year', CAST(year AS VARCHAR))) u(attribute, value) WHERE trim(u.value) <> ''),
