@@ -5,11 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.plans.blocks import distinct_rows
 from tokenloom.plans.restrict import Restrictions, predicate
+from tokenloom.session import materialize
+
+_LOADED: dict[tuple[str, str], Corpus] = {}
 
 
 @dataclass(frozen=True)
@@ -29,6 +32,23 @@ class Corpus:
     def where(self, restrictions: Restrictions | None) -> Corpus:
         return self if not restrictions else replace(self, tokens=self.tokens.where(predicate(restrictions)))
 
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Corpus:
+        """The corpus of a stored token table, loaded once a session as the first step of
+        any analysis: cleaned like of(), written to the shared folder in id order, so that
+        later queries read only their columns and rows. Loading again gives the same handle."""
+        key = (spark.sparkContext.applicationId, path)
+        if key not in _LOADED:
+            rows = Corpus.of(spark.read.parquet(path)).tokens
+            _LOADED[key] = Corpus(materialize(rows.repartitionByRange("id").sortWithinPartitions("id"), "corpus"))
+        return _LOADED[key]
+
+    @cached_property
+    def is_dense(self) -> bool:
+        """Ids run from 1 without gaps."""
+        r = self.tokens.agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).first()
+        return r["n"] == 0 or (r["low"] == 1 and r["high"] == r["n"])
+
     @cached_property
     def size(self) -> int:
         return self.tokens.select("id").count()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.model import Corpus
 from tokenloom.plans.restrict import Restrictions, no_punctuation
+from tokenloom.session import materialize
 
 
 def feature_matrix(
@@ -35,11 +36,11 @@ def feature_matrix(
         F.struct(F.lit(n).alias("size"), F.when(F.col(f"w{n - 1}").isNotNull(), F.concat_ws(" ", *[f"w{k}" for k in range(n)])).alias("feature")) for n in sizes
     ]
     counts = wide.select("group", F.inline(F.array(*grams))).where(F.col("feature").isNotNull()).groupBy("group", "size", "feature").agg(F.count("*").alias("freq"))
+    counts = materialize(counts, "features")  # read twice: for the top and for the matrix
     totals = counts.groupBy("size", "feature").agg(F.sum("freq").alias("total"))
     best = totals.withColumn("_r", F.row_number().over(Window.partitionBy("size").orderBy(F.desc("total"), "feature"))).where(F.col("_r") <= top)
-    features = best.select("feature").distinct()
-    kept = counts.join(F.broadcast(features), "feature").select("group", "feature", "freq")  # at most top features a size
-    names_ = [r["feature"] for r in features.orderBy("feature").collect()]
+    names_ = sorted({r["feature"] for r in best.select("feature").collect()})  # at most top a size
+    kept = counts.where(F.col("feature").isin(*names_)).select("group", "feature", "freq")
     present = rows.select(F.col(group).alias("group")).distinct()
     full = present.select("group", F.explode(F.array(*[F.lit(n) for n in names_])).alias("feature")) if names_ else kept.select("group", "feature").limit(0)
     return full.join(kept, ["group", "feature"], "left").fillna(0, ["freq"])

@@ -46,7 +46,7 @@ def ngrams(
     needed = {basis_column(b) for b in each} | {"_token_low"}
     if slots:
         needed |= {"pos", "lemma"}
-    wide = leads(kept, sorted(needed), n, dense=not filtered and _is_dense(corpus), label="ngrams")
+    wide = leads(kept, sorted(needed), n, dense=not filtered and corpus.is_dense, label="ngrams")
     for k, pattern in (slots or {}).items():
         cols = {c: F.col(f"{c}_{k}") for c in needed}
         wide = wide.where(slot_predicate(pattern, cols["_token_low"], cols["pos"], cols["lemma"], each[k - 1], raw))
@@ -61,7 +61,3 @@ def ngrams(
         F.concat_ws(" ", *shown).alias("ngram"), "frequency", pmw(F.col("frequency"), F.lit(region.size)).alias("per_million")
     )
 
-
-def _is_dense(corpus: Corpus) -> bool:
-    r = corpus.tokens.agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).first()
-    return r["n"] == 0 or (r["low"] == 1 and r["high"] == r["n"])

@@ -20,7 +20,7 @@ TAG_QUERY = '<PN type="human"> was'
 
 
 def corpus(spark, d) -> Corpus:
-    return Corpus.of(table(spark, d, "corpus"))
+    return Corpus.load(spark, f"{d}/corpus.parquet")
 
 
 def reference_list(spark, d):

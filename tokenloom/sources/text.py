@@ -21,7 +21,7 @@ def sentences(text: Column, keep_tail: bool = False) -> Column:
     """TOK1: array of sentences: runs up to . ? or ! before white space or the end; a text
     without any is one sentence. Text after the last mark is dropped unless keep_tail (Q18)."""
     # parted after the marks, in one linear pass; only the last part may lack its mark
-    parts = F.filter(F.transform(F.split(text, r"(?<=[.?!])\s+"), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(text, r"(?<=[.?!])\s+"), lambda s: F.regexp_replace(s, r"\A\s+|\s+\z", "")), lambda s: s != "")
     whole = (F.size(parts) < 2) | F.element_at(parts, -1).rlike(r"[.?!]\z")
     return parts if keep_tail else F.when(whole, parts).otherwise(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(1))))
 
