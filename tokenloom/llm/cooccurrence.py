@@ -19,47 +19,51 @@ SLICE = 1024
 RUN = 2_000_000
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _runs(slice_size: int):
     """Packed codes (low id << 32 | high id) of all pairs, as sorted run-length-coded runs."""
-    held: list[np.ndarray] = []
-    size = 0
 
-    def flush() -> pa.RecordBatch:
-        codes, counts = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts.astype(np.int64))], ["code", "n"])
-
-    for batch in batches:
-        lists, firsts = batch.column("items"), batch.column("first").to_numpy(zero_copy_only=False)
-        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        offsets = np.concatenate([[0], np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)))])
-        lengths = np.diff(offsets)
-        # records of equal length make one rectangular numpy step
-        whole = (firsts == 0) & (lengths <= SLICE)
-        for length in np.unique(lengths[whole]):
-            if length < 2:
-                continue
-            rows = np.flatnonzero(whole & (lengths == length))
-            step = max(1, RUN // int(length * (length - 1) // 2))
-            left, right = np.triu_indices(int(length), 1)
-            for at in range(0, len(rows), step):
-                block = flat[offsets[rows[at : at + step], None] + np.arange(length)]
-                block.sort(axis=1)
-                codes = ((block[:, left] << 32) | block[:, right]).ravel()
-                held.append(codes)
-                size += len(codes)
-                if size >= RUN:
-                    yield flush()
-                    held, size = [], 0
-        for row in np.flatnonzero(~whole):
-            items = np.sort(flat[offsets[row] : offsets[row + 1]])
-            for i in range(int(firsts[row]), min(int(firsts[row]) + SLICE, len(items))):
-                held.append((items[i] << 32) | items[i + 1 :])
-                size += len(items) - i - 1
-                if size >= RUN:
-                    yield flush()
-                    held, size = [], 0
-    if size:
-        yield flush()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            codes, counts = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts.astype(np.int64))], ["code", "n"])
+
+        for batch in batches:
+            lists, firsts = batch.column("items"), batch.column("first").to_numpy(zero_copy_only=False)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            offsets = np.concatenate([[0], np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)))])
+            lengths = np.diff(offsets)
+            # records of equal length make one rectangular numpy step
+            whole = (firsts == 0) & (lengths <= slice_size)
+            for length in np.unique(lengths[whole]):
+                if length < 2:
+                    continue
+                rows = np.flatnonzero(whole & (lengths == length))
+                step = max(1, RUN // int(length * (length - 1) // 2))
+                left, right = np.triu_indices(int(length), 1)
+                for at in range(0, len(rows), step):
+                    block = flat[offsets[rows[at : at + step], None] + np.arange(length)]
+                    block.sort(axis=1)
+                    codes = ((block[:, left] << 32) | block[:, right]).ravel()
+                    held.append(codes)
+                    size += len(codes)
+                    if size >= RUN:
+                        yield flush()
+                        held, size = [], 0
+            for row in np.flatnonzero(~whole):
+                items = np.sort(flat[offsets[row] : offsets[row + 1]])
+                for i in range(int(firsts[row]), min(int(firsts[row]) + slice_size, len(items))):
+                    held.append((items[i] << 32) | items[i + 1 :])
+                    size += len(items) - i - 1
+                    if size >= RUN:
+                        yield flush()
+                        held, size = [], 0
+        if size:
+            yield flush()
+
+    return run
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,6 +94,7 @@ def pair_counts(
     *,
     min_count: int = 1,
     min_lift: float = 0.0,
+    slice_size: int = SLICE,
 ) -> DataFrame:
     """How often each pair of items stands in the same record, against chance.
 
@@ -107,7 +112,7 @@ def pair_counts(
     than min_count records, or with n_a*min_lift > N, is in none. Results are whole.
 
     Skew: records are gathered only as distinct item ids, bounded by the vocabulary; a
-    record of more than 1024 items is paired in slices by several tasks. An empty table
+    record of more than slice_size items is paired in slices by several tasks. An empty table
     gives an empty result."""
     name = "_item"
     clean = reduce(lambda d, k: d.where(F.col(k).isNotNull()), keys, rows).where(F.col(item).isNotNull())
@@ -122,10 +127,10 @@ def pair_counts(
     sliced = records.select(
         "items",
         F.explode(
-            F.when(F.size("items") <= SLICE, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.size("items") - 2, F.lit(SLICE)))
+            F.when(F.size("items") <= slice_size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.size("items") - 2, F.lit(slice_size)))
         ).alias("first"),
     )
-    runs = sliced.mapInArrow(_runs, "code bigint, n bigint")
+    runs = sliced.mapInArrow(_runs(slice_size), "code bigint, n bigint")
     merged = runs.repartition("code").sortWithinPartitions("code").mapInArrow(_merge, "code bigint, n bigint")
     pairs = merged.where(F.col("n") >= min_count).select(
         F.shiftright("code", 32).alias("id_a"), F.col("code").bitwiseAND(0xFFFFFFFF).alias("id_b"), F.col("n").alias("n_ab")

@@ -80,7 +80,7 @@ def split(text: str, limit: int, overlap: int, vocabulary: str = VOCABULARY, nat
     overlap = min(overlap, limit // 2)
     marks = o.boundaries() if natural else []
     names = ("paragraph", "line", "sentence", "clause", "space")
-    pieces, start = [], 0
+    pieces, start, past = [], 0, 0  # past: where the piece before ended
     while True:
         top, kind = start + limit, "hard"
         while True:
@@ -90,7 +90,7 @@ def split(text: str, limit: int, overlap: int, vocabulary: str = VOCABULARY, nat
                 end, kind = 0, "hard"
                 for own, name, fill in zip(marks, names, FILL):
                     at = int(np.searchsorted(own, top, side="right")) - 1
-                    if at >= 0 and own[at] > start + max(fill * limit, overlap):
+                    if at >= 0 and own[at] > max(start + fill * limit, past):
                         end, kind = int(own[at]), name
                         end = o.whole_before(end, start)
                         break
@@ -104,17 +104,15 @@ def split(text: str, limit: int, overlap: int, vocabulary: str = VOCABULARY, nat
             if size <= limit or end - start <= 1 or top - start <= limit // 2:
                 break
             top -= max(1, size - limit)  # the tokenizer cuts the piece otherwise than the whole
+        if end <= past:  # the overlap leaves no room for anything new
+            start = past
+            continue
         pieces.append((o.char(start), o.char(end), size, kind))
+        past = end
         if end >= o.n:
             return pieces
-        back = end - overlap
-        if overlap and marks:
-            # the overlap begins at a space where one lies near
-            spaces = marks[-1]
-            at = int(np.searchsorted(spaces, back))
-            if at < len(spaces) and spaces[at] <= end - overlap // 2:
-                back = int(spaces[at])
-        back = o.whole_before(back, start) if overlap else end
+        # exactly overlap tokens back, or one or two more where that would cut a character
+        back = o.whole_before(end - overlap, start) if overlap else end
         start = max(back, start + 1) if back > start else end
 
 
@@ -157,7 +155,7 @@ def split_documents(
     Method: prefix sums of token lengths against sorted arrays of natural boundaries;
     binary search for the last boundary under the limit (paragraph, line, sentence,
     clause, space, each only while the piece stays well filled), one step back by
-    overlap_tokens for the next start, a hard cut where no boundary lies in reach. Each
+    overlap_tokens (to a whole character) for the next start, a hard cut where no boundary lies in reach. Each
     piece is counted again by itself and stays within the limit.
 
     One narrow pass without any exchange: a text of at most max_tokens bytes cannot

@@ -336,6 +336,7 @@ def fit(encoded: DataFrame, lexicon: Lexicon, subjects: list[str]) -> Space:
         extra = np.random.default_rng(7).standard_normal((max(0, DIMENSIONS - m), own.shape[1]))
         basis[lang] = np.linalg.qr(np.concatenate([own, extra * 1e-3]).T)[0]
 
+    strength: dict[str, np.ndarray] = {}
     for _ in range(SVD_PASSES):
         current = {g: (q.astype(np.float32), (space.mean[g] @ q).astype(np.float32)) for g, q in basis.items()}
 
@@ -350,8 +351,10 @@ def fit(encoded: DataFrame, lexicon: Lexicon, subjects: list[str]) -> Space:
             z = z[:-1] - np.outer(space.mean[lang], z[-1])
             # Rayleigh-Ritz: singular vectors in order of their values
             values, turn = np.linalg.eigh((basis[lang].T @ z + z.T @ basis[lang]) / 2)
-            basis[lang], _ = np.linalg.qr(z @ turn[:, np.argsort(-values)])
-    space.terms = basis
+            order = np.argsort(-values)
+            basis[lang], _ = np.linalg.qr(z @ turn[:, order])
+            strength[lang] = np.sqrt(np.maximum(values[order], 0))
+    space.terms = {g: q * strength[g] for g, q in basis.items()}
 
     def embed(batches):
         for lang, x, labels in _matrices(batches, space.idf):
@@ -384,7 +387,7 @@ def fit(encoded: DataFrame, lexicon: Lexicon, subjects: list[str]) -> Space:
 
     general = at.get(GENERAL, -1)
     for lang, c in current.items():
-        cosine = _unit(basis[lang]) @ c.T
+        cosine = _unit(space.terms[lang]) @ c.T
         best = cosine.argmax(1)
         space.subject_of[lang] = np.where((cosine.max(1) > TERM_COSINE) & (best != general), best, -1)
 
