@@ -260,3 +260,40 @@ def test_windowed_stream(spark, tmp_path):
     query = stream.writeStream.outputMode("append").format("memory").queryName("windows").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert [(r["token"], r["freq"]) for r in spark.table("windows").collect()] == [("a", 2)]
+
+
+def test_loader_tells_formats_and_languages(spark, tmp_path):
+    from tokenloom.sources import loader
+
+    folder = tmp_path / "english"
+    folder.mkdir()
+    (folder / "a.txt").write_text("\ufeffHello you. Yes.")
+    (folder / "b.xml").write_text('<text lang="en" sex="F"><s>at <PN>Home</PN></s></text>')
+    (folder / "c.txt").write_text("<text><s>marked</s></text>")
+    (folder / "skip.md").write_text("no")
+    c = loader.load_files(spark, str(tmp_path), language="English").tokens.orderBy("id").collect()
+    assert [r["token"] for r in c] == ["Hello", "you", ".", "Yes", ".", "at", "Home", "marked"] and [r["id"] for r in c] == list(range(1, 9))
+    assert c[6]["pn_len"] == 1 and c[5]["sex"] == "F" and {r["lang"] for r in c} == {"en"}
+    assert loader.load_built_in(spark, str(tmp_path), "a").tokens.first()["lang"] == "en"
+    assert sorted(r["name"] for r in loader.discover(spark, str(tmp_path)).collect()) == ["a", "b", "c"]
+    with pytest.raises(FileNotFoundError):
+        loader.load_built_in(spark, str(tmp_path), "none")
+    with pytest.raises(ValueError):
+        loader.load(docs(spark, "x"), fmt="odd")
+    vertical = loader.load(docs(spark, "a\tDT\tthe\nb\tNN\tbe", None, " "), fmt="vertical").tokens.collect()
+    assert {r["lemma"] for r in vertical} == {"the", "be"}
+
+
+def test_workbooks(spark, tmp_path):
+    import zipfile
+
+    from tokenloom.sources import loader
+
+    path = f"{tmp_path}/tags.xlsx"
+    sheet = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>noun</t></is></c></row><row><c r="B2"><v>5</v></c></row></sheetData></worksheet>'
+    strings = '<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><si><t>NN</t></si></sst>'
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", sheet)
+        z.writestr("xl/sharedStrings.xml", strings)
+    assert [tuple(r) for r in loader.tagset(spark, path).collect()] == [("NN", "noun")]
+    assert side.xlsx_rows(path) == [["NN", "noun"], [None, "5"]]

@@ -10,6 +10,7 @@ from tokenloom.functions import g2p
 from tokenloom.operators import annotate, classify, collocation, compare, dictionary, distribution, features, keyword, kwic, multivariate, ngram, overview, pattern_groups, stats
 from tokenloom.plans import nl_rules, patterns, positions, restrict
 from tokenloom.plans.terms import parse_query
+from tokenloom.sources import loader
 from tokenloom.sources import tables as side
 from tokenloom.sources import text as plain
 from tokenloom.sources import xml
@@ -81,6 +82,17 @@ def _matrix(spark, d, **options):
     return features.feature_matrix(corpus(spark, d), "lang", **options)
 
 
+def _loaded(spark, d):
+    texts = table(spark, d, "documents").select(F.format_string("d%012d.txt", "doc_id").alias("filename"), "text")
+    marked = _xml(spark, d).select(F.concat(F.lit("r"), "filename", F.lit(".xml")).alias("filename"), "text")
+    return loader.load(texts.unionByName(marked), language="English").tokens.groupBy("filename").agg(F.count("*").alias("tokens"), F.count("pn_len").alias("spans"))
+
+
+def _sentence_lengths(spark, d):
+    rows = corpus(spark, d).tokens.where((F.col("sent_id") > 0) & F.col("filename").isNotNull())
+    return rows.groupBy("filename", "sent_id").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("sentences"))
+
+
 def _annotations(spark, d):
     rows = corpus(spark, d).tokens.where(F.col("_token_low") == "people").select("id", F.lit("sense").alias("attribute"), F.concat(F.lit("p"), F.col("pos")).alias("value"), F.lit(1).alias("n"))
     again = rows.where(F.col("id") % 2 == 0).select("id", "attribute", F.lit("changed").alias("value"), F.lit(2).alias("n"))
@@ -183,6 +195,18 @@ def queries() -> dict:
         "SNK7_sentence_labels": lambda s, d: annotate.persist_by_sentence(
             corpus(s, d).tokens.select("id", "filename", "sent_id", "topic"), corpus(s, d).tokens.where(F.col("_token_low") == "lamp").select("filename", "sent_id", F.lit("Lamps").alias("topic"))
         ).select("id", "topic"),
+        "SNK6_token_labels": lambda s, d: annotate.persist_by_token(
+            corpus(s, d).tokens.select("id", "topic"), corpus(s, d).tokens.where(F.col("_token_low") == "lamp").select("id", F.lit("Lamps").alias("topic"), F.lit("good").alias("sentiment"))
+        ),
+        "SRC1_loader": _loaded,
+        "JN6_sentence_lengths": _sentence_lengths,
+        "AGG3_part_size": lambda s, d: corpus(s, d).where({"lang": ["en"], "year": (2000, 2010)}).tokens.agg(F.count("*").alias("n")),
+        "PRD13_clean_words": lambda s, d: corpus(s, d).tokens.where(restrict.no_punctuation("_token_low") & restrict.no_digits("_token_low")).groupBy("_token_low").agg(F.count("*").alias("n")),
+        "PRD15_smart_filter": lambda s, d: restrict.smart_filter(restrict.smart_filter(corpus(s, d).frequencies, "_token_low", "the, a, of, lamp"), "_token_low", "-a"),
+        "PRD19_significant": lambda s, d: restrict.significant(_rounded(keyword.keywords(_part(s, d, "en"), _part(s, d, "id")), "ll", "log_ratio"), "***"),
+        "SRT1_sorted_lines": lambda s, d: kwic.sort_lines(kwic.kwic(corpus(s, d), "lamp", left=2, right=2, limit=None, metadata=False), "right").select("match_id", "right"),
+        "SMP1_sample": lambda s, d: kwic.kwic(corpus(s, d), "the", limit=50, sample=True, metadata=False).select("match_id", "node"),
+        "TOK4_strip_markup": lambda s, d: table(s, d, "documents").select("doc_id", F.length(plain.strip_markup(F.col("text"))).alias("n")),
         "TOK1_sentences": lambda s, d: table(s, d, "documents").where(F.col("text").isNotNull()).select("doc_id", F.size(plain.sentences(F.col("text"))).alias("n")),
         "TOK2_tokens": lambda s, d: table(s, d, "documents").where(F.col("text").isNotNull()).select(F.explode(plain.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n")),
         "SRC2_vertical": _vertical,
@@ -423,6 +447,14 @@ def oracle_sql() -> dict[str, str]:
         "PRD18_rules": f"{_C} SELECT a.id, CAST(2 AS BIGINT) AS len, a.token || ' ' || b.token AS match_token FROM c a JOIN c b ON b.id = a.id + 1 WHERE starts_with(a._token_low, 'bri') AND b.pos = 'NN'",
         "SNK5_annotations": f"{_C} SELECT id, token, CASE WHEN id % 2 = 0 THEN 'changed' ELSE 'p' || pos END AS sense FROM c WHERE _token_low = 'people' AND (id % 2 = 0 OR pos IS NOT NULL)",
         "SNK7_sentence_labels": f"{_C} SELECT id, CASE WHEN (filename, sent_id) IN (SELECT (filename, sent_id) FROM c WHERE _token_low = 'lamp' AND filename IS NOT NULL AND sent_id IS NOT NULL) THEN 'Lamps' ELSE topic END AS topic FROM c",
+        "SNK6_token_labels": f"{_C} SELECT id, CASE WHEN _token_low = 'lamp' THEN 'Lamps' ELSE topic END AS topic, CASE WHEN _token_low = 'lamp' THEN 'good' END AS sentiment FROM c",
+        "JN6_sentence_lengths": f"{_C} SELECT n, count(*) AS sentences FROM (SELECT count(*) AS n FROM c WHERE sent_id > 0 AND filename IS NOT NULL GROUP BY filename, sent_id) GROUP BY 1",
+        "AGG3_part_size": f"{_C} SELECT count(*) AS n FROM c WHERE lang = 'en' AND year BETWEEN 2000 AND 2010",
+        "PRD13_clean_words": f"{_C} SELECT _token_low, count(*) AS n FROM c WHERE {_CLEAN} GROUP BY 1",
+        "PRD15_smart_filter": f"{_C} SELECT _token_low, count(*) AS freq FROM c WHERE _token_low IN ('the', 'of', 'lamp') GROUP BY 1",
+        "PRD19_significant": f"SELECT * FROM ({_KEY_ID}) WHERE significance LIKE '%***%'",
+        "SRT1_sorted_lines": f"SELECT match_id, \"right\" FROM ({_kwic("_token_low = 'lamp'", 2, "")})",
+        "TOK4_strip_markup": "SELECT doc_id, CAST(length(regexp_replace(text, '<[^>]*>', '', 'g')) AS INT) AS n FROM documents",
         "TOK1_sentences": "SELECT doc_id, CAST(CASE WHEN len(s) > 0 THEN len(s) WHEN trim(text, ' \t\n\r') <> '' THEN 1 ELSE 0 END AS INT) AS n FROM (SELECT doc_id, text, list_filter(regexp_extract_all(text, '(?s).*?[.?!](?:\\s+|$)'), lambda x: trim(x, ' \t\n\r') <> '') AS s FROM documents WHERE text IS NOT NULL)",
         "TOK2_tokens": _TOKENS + " SELECT token, count(*) AS n FROM t GROUP BY 1",
         "STR1_frequencies": _TOKENS + " SELECT lower(token) AS token, count(*) AS freq FROM t GROUP BY 1",
