@@ -26,7 +26,7 @@ class Corpus:
     def of(table: DataFrame) -> Corpus:
         """A corpus over a stored token table: repeated rows once, rows without id left
         out, _token_low filled in from token where it is null."""
-        rows = distinct_rows(table, table.columns).drop("_block")
+        rows = distinct_rows(table, table.columns).drop("__block")
         return Corpus(rows.withColumn("_token_low", F.coalesce("_token_low", F.lower("token"))))
 
     def where(self, restrictions: Restrictions | None) -> Corpus:

@@ -19,5 +19,5 @@ def distinct_rows(tokens: DataFrame, columns: list[str], size: int = BLOCK) -> D
     One exchange on blocks of consecutive ids: even whatever document, file or term is
     hot, and neighbours stay together so that later partial aggregates combine well.
     The block column stays for the caller."""
-    picked = tokens.where(F.col("id").isNotNull()).select(block_of("id", size).alias("_block"), *columns)
-    return picked.repartition("_block").distinct()
+    picked = tokens.where(F.col("id").isNotNull()).select(block_of("id", size).alias("__block"), *columns)
+    return picked.repartition("__block").distinct()
