@@ -69,6 +69,26 @@ def test_documents_are_repaired(spark):
     assert [(r["doc_id"], r["n_damaged"], r["text"]) for r in encoding.repaired_documents(docs, c).collect()] == [(1, 2, "Deutsch über, dem Hügel")]
 
 
+def test_damaged_stretches_of_unspaced_texts_are_repaired(spark):
+    clean = {
+        "ja": ["窓", "を", "見た", "の", "話", "は", "これで", "終わり", "。", "家", "驚いた", "！", "犬", "市場", "関係", "が", "ある", "この", "…"],
+        "zh": ["河边", "的", "故事", "就", "这样", "结束", "。", "大约", "名", "学生", "回答", "了", "问题", "，", "后来", "……"],
+    }
+    rows = [(i, i, "f", 1, w, g) for i, (g, w) in enumerate((g, w) for g in clean for w in clean[g])]
+    twice, once, mac, gb, euc = (encoding.CHAINS[-1], *(((a, b),) for a, b in (("utf-8", "cp1252"), ("utf-8", "mac_roman"), ("gb18030", "cp1252"), ("euc_jp", "cp932"))))
+    bad = encoding.garble
+    texts = [
+        ("ja", "「" + bad("窓", once) + "を見た」の" + bad("話", twice) + "はこれで終わり｡", "「窓を見た」の話はこれで終わり｡", 2),
+        ("ja", "この家は市場" + bad("の", euc) + "関係" + bad("が", mac) + "ある。", "この家は市場の関係がある。", 2),
+        ("zh", "后来" + bad("河边", twice) + bad("大约", gb) + "45名学生……回答了" + bad("问题", mac) + "。", "后来河边大约45名学生……回答了问题。", 3),
+        ("zh", "后来……Märkte的问题。", None, 0),
+        ("ja", "窓を見た！市場の話はこれで終わり｡", None, 0),
+    ]
+    docs = spark.createDataFrame([(i, t[1], t[0]) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: (r["text"], r["n_damaged"], r["n_restored"]) for r in encoding.repaired_documents(docs, corpus(spark, rows)).collect()}
+    assert got == {i: (want, n, n) for i, (_, _, want, n) in enumerate(texts) if want}
+
+
 # 2 -------------------------------------------------------------------------------------
 
 

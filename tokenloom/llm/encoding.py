@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import codecs
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -49,12 +51,17 @@ CHAINS = (*((step,) for step in STEPS), (STEPS[0], STEPS[0]))
 
 #: Buckets of the hashed byte bigrams.
 BUCKETS = 8192
+#: Weight of the outcome's likelihood against that of the text as it stands. Fixed value.
+QUALITY = 3.0
+#: What it costs (log likelihood) to enter a damaged stretch inside a run. Fixed value.
+ENTER = 10.0
 CLEAN = "clean"
 LOST = "�"
 NON_ASCII = r"[^\x00-\x7F]"
 MODEL = "label string, bucket int, n bigint"
 
 _CONTROL = regex.compile(r"[\x80-\x9f\p{Co}\p{Cn}�]")
+_TAIL = "".join(chr(i) for i in range(0x21, 0x7F) if not chr(i).isalnum())
 _TABLES: dict[str, dict[str, int]] = {}
 
 
@@ -106,6 +113,25 @@ def invert(text: str, chain: tuple) -> str | None:
     return None if _CONTROL.search(out) else out
 
 
+def _may_start(text: str, chain: tuple) -> bool:
+    """Whether a damaged character of the chain can begin with these one or two."""
+    written, read = chain[-1]
+    table = _table(read)
+    raw = b""
+    for c in text:
+        try:
+            raw += c.encode(read) if table is None else bytes([table[c]])
+        except (KeyError, UnicodeError):
+            break
+    if not raw or raw[0] < 128:
+        return False
+    try:
+        first = codecs.getincrementaldecoder(written)().decode(raw)
+    except UnicodeDecodeError as e:
+        return e.start > 0
+    return bool(first) or len(raw) > 1 or len(text) > 1
+
+
 def _buckets(text: str, lang: str | None) -> list[int]:
     raw = b"\x02" + text.encode("utf-8", "surrogatepass") + b"\x03"
     out = [zlib.crc32(raw[i : i + 2]) % BUCKETS for i in range(len(raw) - 1) if raw[i] > 127 or raw[i + 1] > 127]
@@ -167,8 +193,12 @@ class Classifier:
         self.weights = weights
         self.seen: dict[tuple[str | None, str], tuple[str, str | None]] = {}
 
+        self.starts: dict[tuple[str | None, str], list[tuple]] = {}
+        self.pairs: dict[str, np.ndarray] = {}
+        self.like: dict[str, float] = {}
+
     def __getstate__(self):
-        return {"weights": {k: v.astype(np.float32) for k, v in self.weights.items()}, "seen": {}}
+        return {"weights": {k: v.astype(np.float32) for k, v in self.weights.items()}, "seen": {}, "starts": {}, "pairs": {}, "like": {}}
 
     def once(self, word: str, lang: str | None) -> tuple[str | None, str | None]:
         """(chain, original) of one wrong decoding, (null, null) for a clean word."""
@@ -203,6 +233,124 @@ class Classifier:
                 self.seen[key] = ("", None)
         return self.seen[key]
 
+    def _units(self, text: str, at: int, lang: str | None) -> Iterator[tuple[str, int, str]]:
+        """(chain, end, original character): the damaged characters that may begin here."""
+        key = (lang, text[at : at + 2])
+        if key not in self.starts:
+            if len(self.starts) > 200_000:
+                self.starts.clear()
+            known = [c for c in _labels(lang) if label_of(c) in self.weights]
+            self.starts[key] = [c for c in known if _may_start(key[1], c)]
+        for chain in self.starts[key]:
+            for end in range(at + 1, min(len(text), at + 4 ** len(chain) + 2) + 1):
+                out = invert(text[at:end], chain)
+                if out is not None:
+                    if not out.isascii() and (plausible(out, lang) or regex.fullmatch(r"[\u3000-\u303f\uff00-\uffef]+", out)):
+                        yield label_of(chain), end, out
+                    break
+
+    def _scores(self, label: str, big: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Log likelihood under a label of the text before each character."""
+        if label not in self.pairs:
+            buckets = np.fromiter((zlib.crc32(bytes(divmod(i, 256))) % BUCKETS for i in range(1 << 16)), dtype=np.int64, count=1 << 16)
+            own = np.asarray(self.weights[label], dtype=np.float64)[buckets]
+            plain = np.arange(1 << 16)
+            own[(plain >> 8 < 128) & (plain & 255 < 128)] = 0.0
+            self.pairs[label] = own
+        return np.concatenate([[0.0], np.cumsum(self.pairs[label][big])])[ends]
+
+    def _quality(self, char: str) -> float:
+        """How like clean characters one is: the mean log likelihood of its bigrams."""
+        if char not in self.like:
+            if len(self.like) > 200_000:
+                self.like.clear()
+            raw = char.encode("utf-8", "surrogatepass")
+            at = [zlib.crc32(raw[i : i + 2]) % BUCKETS for i in range(len(raw) - 1)]
+            self.like[char] = float(self.weights[CLEAN][at].mean()) if at else 0.0
+        return self.like[char]
+
+    def stretches(self, run: str, lang: str | None) -> list[tuple[str, str | None, str | None]]:
+        """The run cut into clean and damaged stretches: (text, chain, original), with
+        (text, None, None) for a clean one.
+
+        The likeliest path through the run, each character clean or part of a damaged
+        character that a chain leads strictly back; likelihoods are those of the
+        classifier, of the text as it stands and of the outcome, and entering a damaged
+        stretch costs ENTER."""
+        units = {i: found for i, c in enumerate(run) if not c.isascii() and (found := list(self._units(run, i, lang)))}
+        if not units or CLEAN not in self.weights:
+            return [(run, None, None)]
+        sizes = [len(c.encode("utf-8", "surrogatepass")) for c in run]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        raw = np.frombuffer(b"\x02" + run.encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64)
+        big = raw[:-1] * 256 + raw[1:]
+        labels = {CLEAN, *(label for found in units.values() for label, _, _ in found)}
+        score = {label: self._scores(label, big, ends).tolist() for label in labels}
+        # per place: label to (likelihood, place before, label before, restored text)
+        best: list[dict[str, tuple]] = [{} for _ in range(len(run) + 1)]
+        best[0][CLEAN] = (0.0, 0, CLEAN, "")
+        for i, c in enumerate(run):
+            here = best[i]
+            if not here:
+                continue
+            top = max(here, key=lambda label: here[label][0])
+
+            def reach(end, label, value, before, out):
+                value += score[label][end] - score[label][i] + QUALITY * self._quality(out)
+                if label not in best[end] or value > best[end][label][0]:
+                    best[end][label] = (value, i, before, out)
+
+            reach(i + 1, CLEAN, here[top][0], top, c)
+            if c.isascii():
+                for label in here:
+                    if label != CLEAN:
+                        reach(i + 1, label, here[label][0], label, c)
+            for label, end, out in units.get(i, ()):
+                reach(end, label, here[top][0] - ENTER, top, out)
+                if label in here and here[label][0] > here[top][0] - ENTER:
+                    reach(end, label, here[label][0], label, out)
+        at, steps = len(run), []
+        label = max(best[at], key=lambda label: best[at][label][0])
+        while at:
+            _, before, previous, out = best[at][label]
+            steps.append((before, at, label, out))
+            at, label = before, previous
+        out: list[tuple[str, str | None, str | None]] = []
+        for same, group in groupby(reversed(steps), key=lambda step: step[2]):
+            group = list(group)
+            text, original = run[group[0][0] : group[-1][1]], "".join(step[3] for step in group)
+            # a stretch counts only if the classifier takes it for damaged by itself too,
+            # and dashes, dots and quotation marks alone are written so in clean texts
+            sure = same != CLEAN and not regex.fullmatch("[–—…“”‘’]+", text) and self(text, lang)[1] is not None
+            out.append((text, same, original) if sure else (text, None, None))
+        # letters with marks and without, beside clean Latin letters, are a Latin word
+        for k, (text, chain, original) in enumerate(out):
+            if chain and regex.search(r"[A-Za-z]", text) and regex.fullmatch(r"\p{Latin}+", text):
+                left = out[k - 1][0][-1:] if k and not out[k - 1][1] else ""
+                right = out[k + 1][0][:1] if k + 1 < len(out) and not out[k + 1][1] else ""
+                if regex.search(r"\p{Latin}", left + right + original):
+                    out[k] = (text, None, None)
+        return out
+
+    def mend(self, run: str, lang: str | None) -> tuple[str, int, int]:
+        """(text, damaged stretches, restored ones) of a run without white space: restored
+        as one word if a chain fits all of it, else stretch by stretch."""
+        tail = len(run) - len(run.rstrip(_TAIL))
+        word = run[: len(run) - tail]
+        chain, original = self(word, lang)
+        if original is not None:
+            return original + run[len(word) :], 1, 1
+        damaged = restored = 0
+        parts = []
+        for text, chain, back in self.stretches(run, lang):
+            if chain:
+                damaged, restored = damaged + 1, restored + 1
+            elif _CONTROL.search(unicodedata.normalize("NFC", text)):
+                damaged += 1
+            parts.append(text if back is None else back)
+        return "".join(parts), damaged, restored
+
+
 
 def words_of(corpus: DataFrame) -> DataFrame:
     return corpus.where(F.col("token").rlike(NON_ASCII)).select("lang", F.col("token").alias("word")).distinct()
@@ -271,13 +419,14 @@ _CODES = {"eng": "en", "in": "id", "jpn": "ja", "jp": "ja", "ger": "de", "deu":
 
 
 def repaired_documents(documents: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Texts with damaged words, repaired word by word: doc_id, n_damaged, n_restored,
-    text. Words are cut at ASCII white space only (a no-break space may be part of the
-    damage). The model is fitted on the corpus. Texts without damage, null and blank
+    """Texts with damaged words, repaired word by word: doc_id, n_damaged, n_restored
+    (stretches), text. Words are cut at ASCII white space only (a no-break space may be
+    part of the damage). A word that no chain fits as a whole, as in scripts without
+    spaces, is cut into its clean and damaged stretches, and each of these is restored by
+    itself. The model is fitted on the corpus. Texts without damage, null and blank
     texts give no row; a language that is null or unknown is treated as Latin-written."""
     model = Classifier(fit(words_of(corpus)))
     rows = documents.where(F.col("text").rlike(NON_ASCII)).select("doc_id", "lang", "text")
-    edges = regex.compile(r"^([\p{P}\p{S}]*?)(.*?)([\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]*)$", regex.S)
 
     def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,15 +436,9 @@ def repaired_documents(documents: DataFrame, corpus: DataFrame) -> DataFrame:
                 code = _CODES.get(code, code[:2]) or None
                 parts, damaged, restored = regex.split(r"([ \t\r\n]+)", text), 0, 0
                 for i in range(0, len(parts), 2):
-                    if parts[i].isascii():
-                        continue
-                    tail = edges.match(parts[i])[3] if not parts[i].isascii() else ""
-                    word = parts[i][: len(parts[i]) - len(tail)]
-                    chain, original = model(word, code)
-                    if chain:
-                        damaged += 1
-                        if original is not None:
-                            parts[i], restored = original + tail, restored + 1
+                    if not parts[i].isascii():
+                        parts[i], bad, good = model.mend(parts[i], code)
+                        damaged, restored = damaged + bad, restored + good
                 if damaged:
                     for k, v in zip(out, (doc, damaged, restored, "".join(parts))):
                         out[k].append(v)
