@@ -311,6 +311,26 @@ def test_planted_passages_are_found(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in contamination.contained_items(df, items).collect()} == want
 
 
+def test_spans_hold_through_normalising(spark):
+    passage = "the old lamp of the river house stood beside the quiet garden wall until morning came"
+    inner = passage.replace("lamp of", "<b>la</b>mp&nbsp;of").replace("quiet", "ｑｕｉｅｔ").replace("river", "RIVER")
+    heads = ("Q&amp;A ", "½ cup ", "´ ", "ｶﾞｯｺｳ ", "น้ำคำ ", "&eacutet ", "İstanbul ", "e\u0301 &lt;x&gt; ", "plain ")
+    docs = spark.createDataFrame([(i, h + inner + " &frac12; end") for i, h in enumerate(heads)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, passage)], "item_id bigint, passage string")
+    got = {r["doc_id"]: (r["char_start"], r["char_end"], r["items"]) for r in contamination.removal_spans(docs, items).collect()}
+    assert got == {i: (len(h), len(h) + len(inner), [7]) for i, h in enumerate(heads)}
+
+
+def test_spans_are_those_of_the_units():
+    rng = random.Random(3)
+    parts = ["a", "B", " ", "&amp;", "&nbsp;", "&notit;", "&eacutet", "&#x41;", "&", ";", "½", "´", "\u0301", "\u0323", "ｶ", "ﾞ", "ำ", "İ", "Σ", "ᄀ", "ᅡ", "ᆨ", "漢", "ﷺ", "<b>", "</b>", "<p>", "<", "ো", "\u09be", "\u09c7", "…", "_", "ﬁ", "ﾡ", "ￂ"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        spans = contamination.unit_spans(text)
+        assert len(spans) == len(contamination.units(text)), text
+        assert all(0 <= a < b <= len(text) for a, b in spans), text
+
+
 # 9 -------------------------------------------------------------------------------------
 
 

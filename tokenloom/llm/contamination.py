@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import os
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -10,6 +11,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,10 @@ ITEMS = 4_000
 _INLINE = re.compile(r"</?(?:b|i|u|em|strong|span|a|sup|sub|font|mark|small)(?:\s[^<>]*)?>", re.I)
 _MARKUP = re.compile(r"<[^<>]*>")
 _HAN = "々〇぀-ヺー-ヿ㐀-䶿一-鿿豈-﫿"
+#: As html.unescape reads references.
+_REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
+#: A character and what may compose with it: normalising never reaches beyond.
+_CLUSTER = regex.compile(r".[\p{M}\u1160-\u11ff\ud7b0-\ud7fb\uff9e-\uffdc]*", regex.S)
 _UNIT = re.compile(f"[{_HAN}]|[^\\W_{_HAN}]+")
 
 
@@ -38,13 +44,49 @@ def units(text: str) -> list[str]:
     return _UNIT.findall(unicodedata.normalize("NFKC", text).lower())
 
 
+def _pieces(pattern, text: str, change) -> Iterator[tuple[str, int, int]]:
+    """(text, start, end): the matches changed, all other characters one by one."""
+    at = 0
+    for m in pattern.finditer(text):
+        yield from ((text[i], i, i + 1) for i in range(at, m.start()))
+        yield change(m[0]), m.start(), m.end()
+        at = m.end()
+    yield from ((text[i], i, i + 1) for i in range(at, len(text)))
+
+
+def _mapped(pieces: Iterator[tuple[str, int, int]], starts: list[int], ends: list[int]) -> tuple[str, list[int], list[int]]:
+    """The joined pieces, with the place each character has in the text as it stands."""
+    out, first, last, opened = [], [], [], None
+    for new, a, b in pieces:
+        start = starts[a] if opened is None else opened
+        opened = None if new else start  # what vanishes goes with the character after it
+        out.append(new)
+        first += [start] * len(new)
+        last += [ends[b - 1]] * len(new)
+    return "".join(out), first, last
+
+
+def _unescaped(text: str) -> Iterator[tuple[str, int, int]]:
+    for new, a, b in _pieces(_REFERENCE, text, html.unescape):
+        # a reference without its semicolon may draw in letters that stay as they are
+        kept = len(os.path.commonprefix([new[:0:-1], text[b - 1 : a : -1]])) if b - a > 1 else 0
+        yield new[: len(new) - kept], a, b - kept
+        yield from ((text[i], i, i + 1) for i in range(b - kept, b))
+
+
 def unit_spans(text: str) -> list[tuple[int, int]]:
-    """Character spans of units(text) in the text as it stands."""
-    plain = _MARKUP.sub(lambda m: "\x00" * len(m[0]), _INLINE.sub(lambda m: "\x01" * len(m[0]), text)) if "<" in text else text
-    spans = []
-    for m in re.finditer(f"[{_HAN}]|(?:\x01*[^\\W_{_HAN}])+", plain):
-        spans.append((m.start(), m.end()))
-    return spans
+    """Character spans of units(text) in the text as it stands: every step of units()
+    done piece by piece, with the places carried along."""
+    starts, ends = list(range(len(text))), list(range(1, len(text) + 1))
+    if "<" in text:
+        text, starts, ends = _mapped(_pieces(_INLINE, text, lambda _: ""), starts, ends)
+        text, starts, ends = _mapped(_pieces(_MARKUP, text, lambda _: " "), starts, ends)
+    if "&" in text:
+        text, starts, ends = _mapped(_unescaped(text), starts, ends)
+    if not unicodedata.is_normalized("NFKC", text):
+        text, starts, ends = _mapped(_pieces(_CLUSTER, text, lambda c: unicodedata.normalize("NFKC", c)), starts, ends)
+    text, starts, ends = _mapped(((c.lower(), i, i + 1) for i, c in enumerate(text)), starts, ends)
+    return [(starts[m.start()], ends[m.end() - 1]) for m in _UNIT.finditer(text)]
 
 
 class Items:
@@ -159,8 +201,7 @@ def _search(items: Items, share: float, other: float):
             found, a, b = stretch(p, w[start:end], other)
             if found >= share * len(p):
                 spans = unit_spans(texts[pair[0]])
-                exact = len(spans) == len(w)
-                yield (docs[pair[0]], items.ids[pair[1]], found, len(p), spans[start + a][0] if exact else None, spans[start + b - 1][1] if exact else None)
+                yield (docs[pair[0]], items.ids[pair[1]], found, len(p), spans[start + a][0], spans[start + b - 1][1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, words, texts, size = [], [], [], 0
@@ -205,8 +246,7 @@ def contained_items(documents: DataFrame, eval_items: DataFrame, *, share: float
     One narrow pass over the documents without any exchange; of the passages at most
     4,000 are held at once, more are searched in several passes. Columns: doc_id,
     item_id, matched (units of the passage), passage (its units), char_start, char_end
-    (of the stretch in the text; null where normalising changes the number of units);
-    one row per occurrence. Null or blank texts and passages give no row, nor do
+    (of the stretch in the text as it stands, never null); one row per occurrence. Null or blank texts and passages give no row, nor do
     passages of fewer than 4 units."""
     usable = eval_items.where(F.col("item_id").isNotNull() & F.col("passage").isNotNull()).select("item_id", "passage").distinct()
     n_items = usable.count()
@@ -237,5 +277,5 @@ def removal_spans(documents: DataFrame, eval_items: DataFrame, **options: float)
 
         return pd.DataFrame([(d, a, b, sorted(i)) for d, a, b, i in rows], columns=["doc_id", "char_start", "char_end", "items"])
 
-    found = contained_items(documents, eval_items, **options).where(F.col("char_start").isNotNull()).select("doc_id", "item_id", "char_start", "char_end").distinct()
+    found = contained_items(documents, eval_items, **options).select("doc_id", "item_id", "char_start", "char_end").distinct()
     return found.groupBy("doc_id").applyInPandas(merge, "doc_id bigint, char_start bigint, char_end bigint, items array<bigint>")
