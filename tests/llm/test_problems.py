@@ -349,6 +349,16 @@ def test_pieces_cover_the_text(limit, overlap):
         assert all(n == len(enc.encode_ordinary(text[i:j])) and n <= limit for i, j, n, _ in pieces)
 
 
+@pytest.mark.parametrize("mark,kind,share", [("。", "sentence", 0.6), ("，", "clause", 0.7), ("。", "sentence", 0.3)])
+def test_a_boundary_comes_before_a_hard_cut(mark, kind, share):
+    enc, limit, first = tokenizer(), 100, "川"
+    while len(enc.encode_ordinary(first + "川" + mark)) <= share * limit:
+        first += "川"
+    pieces = splitting.split(first + mark + "山" * 200, limit, 10)
+    assert (pieces[0][1], pieces[0][3]) == (len(first) + 1, kind)
+    assert {p[3] for p in pieces[1:-1]} <= {"hard"} and all(p[2] <= limit for p in pieces)
+
+
 def test_pieces_of_documents(spark):
     docs = spark.createDataFrame([(1, "A first sentence here. " * 40, 5), (2, "short", 5), (3, None, 5), (4, "", 5), (1, "A first sentence here. " * 40, 5)], "doc_id bigint, text string, piece int")
     limits = spark.createDataFrame([("fine", "split", 50, 5), ("none", "split", 50, None), ("bad", "split", -1, 3), ("pack", "pack", 10, None)], LIMITS)

@@ -94,6 +94,11 @@ def split(text: str, limit: int, overlap: int, vocabulary: str = VOCABULARY, nat
                         end, kind = int(own[at]), name
                         end = o.whole_before(end, start)
                         break
+                else:  # else the last boundary of any kind that leaves room for the overlap
+                    for own, name in zip(marks, names):
+                        at = int(np.searchsorted(own, top, side="right")) - 1
+                        if at >= 0 and own[at] > max(start + overlap, past, end) and o.whole[own[at]]:
+                            end, kind = int(own[at]), name
                 if end <= start:
                     end, kind = o.whole_before(top, start), "hard"
                 if end <= start:  # one character of more tokens than the limit
@@ -154,8 +159,9 @@ def split_documents(
 
     Method: prefix sums of token lengths against sorted arrays of natural boundaries;
     binary search for the last boundary under the limit (paragraph, line, sentence,
-    clause, space, each only while the piece stays well filled), one step back by
-    overlap_tokens (to a whole character) for the next start, a hard cut where no boundary lies in reach. Each
+    clause, space, each first only while the piece stays well filled, then the last of
+    any kind), one step back by overlap_tokens (to a whole character) for the next
+    start, a hard cut where no boundary lies in reach. Each
     piece is counted again by itself and stays within the limit.
 
     One narrow pass without any exchange: a text of at most max_tokens bytes cannot
