@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,6 +129,56 @@ def test_held_out_boundaries(spark, monkeypatch):
     assert hit >= 0.97 * len(ends) and hit >= 0.97 * len(got)
 
 
+def test_learned_sample_is_bounded_and_whole(spark, monkeypatch):
+    """What is learned stays the same size however many documents there are, and every
+    n-gram of it is kept with the totals of all."""
+    monkeypatch.setattr(sentences, "BLOCK", 64)
+    monkeypatch.setattr(sentences, "HALO", 16)
+    rng = random.Random(2)
+    texts = [made_up_text(rng) for _ in range(60)]
+
+    def learned(copies, labelled):
+        rows, n = [], 0
+        for d in range(60 * copies):
+            for s, words in enumerate(texts[d % 60], 1):
+                for w in words:
+                    n += 1
+                    rows.append((n, d, f"f{d}", s, w, "en"))
+        model = sentences.fit(sentences.lay(corpus(spark, rows), labelled), labelled)
+        gram, n1, _, total, _ = model.orders[0]
+        assert total.sum() == n1.sum() and len(gram)
+        return n1.sum(), n
+
+    (few, n), (many, m) = learned(1, 10_000), learned(6, 2_000)
+    assert few > n and 1_000 < many < 4_500 and m > 10_000
+
+
+def test_quotations_of_any_length(spark):
+    symbols = sentences.Symbols({("en", "a"), ("en", ".")})
+    words = ["“", "a", "."] + ["a"] * 200 + [".", "”", "a", ".", "“", "a", ".", "a", "“", "a", ".", "”", "."]
+    codes = symbols.of("en", pa.array(words))
+    inside = {sentences._code("q.")}
+    assert [i for i, c in enumerate(codes) if c in inside] == [2, 203, 213]
+    assert list(sentences.Symbols({("en", ".")}, 3).of("en", pa.array(['"', "a", "a", "a", "a", ".", '"', ".", '"']))).count(sentences._code("q.")) == 1
+
+
+def test_texts_decoded_together_equal_single_ones():
+    rng = np.random.default_rng(0)
+    stream = np.concatenate([np.append(rng.integers(20, 26, rng.integers(2, 7)), 20) for _ in range(200)])
+    held = [(o, h, g) for o, h, g in sentences.grams("en", sentences.merged(stream, stream == 20))]
+    counts = {"gram_order": [], "history": [], "gram": [], "n": []}
+    for o, h, g in held:
+        own, at, n = np.unique(g, return_index=True, return_counts=True)
+        for k, v in zip(counts, (np.full(len(own), o), h[at].view(np.int64), own.view(np.int64), n)):
+            counts[k].append(v)
+    model = sentences.Model({k: np.concatenate(v) for k, v in counts.items()})
+    texts = [rng.integers(19, 26, n) for n in (1, 40, 0, 7, 3, 90)]
+    flags = [bool(i % 2) for i in range(6)]
+    together = sentences.boundaries(model, "en", texts, flags, flags[::-1])
+    single = [sentences.boundaries(model, "en", [t], [a], [b]) for t, a, b in zip(texts, flags, flags[::-1])]
+    assert np.allclose(together, np.concatenate(single))
+
+
 def test_boundaries_without_training_or_rows(spark):
     only = corpus(spark, [(1, 1, "f", 0, "a", "en"), (2, 1, "f", None, None, "en"), (3, 1, "f", 0, "b", None)])
     assert 3 in {r["id"] for r in sentences.sentence_ends(only).collect()}
