@@ -14,6 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokenloom.llm.languages import code_of
 from tokenloom.session import materialize
 
 #: (encoding the text was written in, encoding it was read in). Fixed values.
@@ -414,10 +415,6 @@ def damaged_tokens(corpus: DataFrame, model: Classifier | None = None) -> DataFr
     )
 
 
-#: Language codes as documents spell them. Fixed values.
-_CODES = {"eng": "en", "in": "id", "jpn": "ja", "jp": "ja", "ger": "de", "deu": "de", "fra": "fr", "fre": "fr", "chi": "zh", "zho": "zh", "cn": "zh", "ara": "ar", "hin": "hi", "tha": "th", "ind": "id"}
-
-
 def repaired_documents(documents: DataFrame, corpus: DataFrame) -> DataFrame:
     """Texts with damaged words, repaired word by word: doc_id, n_damaged, n_restored
     (stretches), text. Words are cut at ASCII white space only (a no-break space may be
@@ -432,8 +429,7 @@ def repaired_documents(documents: DataFrame, corpus: DataFrame) -> DataFrame:
         for batch in batches:
             out = {"doc_id": [], "n_damaged": [], "n_restored": [], "text": []}
             for doc, lang, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "text"))):
-                code = (lang or "").strip().lower()[:3]
-                code = _CODES.get(code, code[:2]) or None
+                code = code_of(lang)
                 parts, damaged, restored = regex.split(r"([ \t\r\n]+)", text), 0, 0
                 for i in range(0, len(parts), 2):
                     if not parts[i].isascii():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,23 +14,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.llm.encoding import mend_word
+from tokenloom.llm.languages import code_of
 from tokenloom.session import materialize
 
 GENERAL = "General"
-#: Languages as documents spell them, to codes. Fixed values.
-CODES = {
-    "eng": "en", "in": "id", "ind": "id", "jp": "ja", "jpn": "ja", "ger": "de", "deu": "de", "fre": "fr", "fra": "fr", "chi": "zh", "zho": "zh", "cn": "zh",
-    "ara": "ar", "hin": "hi", "tha": "th",
-}
 #: Final particles that close Thai sentences. Fixed values.
 THAI_ENDS = {"ค่ะ", "คะ", "ครับ", "นะคะ", "นะครับ"}
 
-#: Dimensions of the embedding, least share of its language's documents a term needs,
-#: passes of subspace iteration and of centroid refinement.
-DIMENSIONS, TERM_SHARE, SVD_PASSES, REFINEMENTS = 16, 1 / 500, 3, 3
-#: Cosine from which a term belongs to a subject; share of sentences from which a
-#: document is about it.
-TERM_COSINE, SENTENCE_SHARE = 0.7, 0.25
+#: Buckets of the hashed terms, dimensions of the embedding, passes of subspace iteration
+#: and of centroid refinement.
+BUCKETS, DIMENSIONS, SVD_PASSES, REFINEMENTS = 1 << 16, 16, 3, 3
+#: Cosine from which a document helps to refine a centroid, and from which a sentence
+#: is about a subject; share of sentences from which a document is.
+REFINE_COSINE, SENTENCE_COSINE, SENTENCE_SHARE = 0.4, 0.5, 0.25
+#: Weight of the language against all languages when one must be told by its terms.
+OWN = 0.9
 
 _MARKUP = regex.compile(r"<[^<>]*>|&[a-z]+;")
 _END = re.compile(r"[.!?…؟]+[\"'”’»)\]]*\s+|[。！？｡।॥]+[」』”’»）)]*\s*|\n\s*")
@@ -39,11 +38,6 @@ _RUN = regex.compile(r"[\p{Han}\p{Katakana}ー]+")
 _ODD = regex.compile(r"[\x80-ɏˆ˜Ѐ-ӿ‘-⋿｡-ﾟ]")
 
 
-def code_of(lang: str | None) -> str | None:
-    low = (lang or "").strip().lower()
-    return CODES.get(low, low[:2]) or None
-
-
 def script_of(text: str) -> str | None:
     """The language that a script alone tells."""
     for pattern, lang in ((r"[\p{Hiragana}\p{Katakana}]", "ja"), (r"\p{Han}", "zh"), (r"\p{Thai}", "th"), (r"\p{Devanagari}", "hi"), (r"\p{Arabic}", "ar")):
@@ -53,17 +47,11 @@ def script_of(text: str) -> str | None:
 
 
 def sentences_of(text: str) -> list[str]:
-    """Parts of a text by its marks and line ends; a mark before a small letter and the
-    full stop of a short capitalised word (Prof., No.) end nothing."""
+    """Parts of a text by its marks and line ends; a mark before a small letter ends nothing."""
     out, start = [], 0
     for m in _END.finditer(text):
-        if text[m.start()] in ".!?…؟":
-            if text[m.end() : m.end() + 1].islower():
-                continue
-            if text[m.start()] == ".":
-                before = text[max(start, m.start() - 6) : m.start()].split()[-1:]
-                if before and len(before[0]) <= 4 and before[0][:1].isupper() and (len(before[0]) == 1 or before[0][1:].islower()):
-                    continue
+        if text[m.start()] in ".!?…؟" and text[m.end() : m.end() + 1].islower():
+            continue
         out.append(text[start : m.end()])
         start = m.end()
     out.append(text[start:])
@@ -72,12 +60,10 @@ def sentences_of(text: str) -> list[str]:
 
 class Terms:
     """Sentences of a text as lists of terms: lower-cased words; in Chinese and Japanese
-    the longest known words of each run of Han characters and katakana. Wrongly decoded
+    the pairs of neighbours in each run of Han characters and katakana. Wrongly decoded
     words are mended."""
 
-    def __init__(self, words: set[tuple[str, str]]) -> None:
-        self.words = words
-        self.longest = max((len(w) for _, w in words), default=1)
+    def __init__(self) -> None:
         self.mended: dict[tuple[str, str | None], str] = {}
 
     def _mend(self, text: str, lang: str | None) -> str:
@@ -96,16 +82,6 @@ class Terms:
                 parts[i] = self.mended[key]
         return "".join(parts)
 
-    def _segment(self, run: str, lang: str) -> list[str]:
-        found, i = [], 0
-        while i < len(run):
-            for size in range(min(self.longest, len(run) - i), 0, -1):
-                if size == 1 or (lang, run[i : i + size]) in self.words:
-                    found.append(run[i : i + size])
-                    i += size
-                    break
-        return found
-
     def __call__(self, text: str, lang: str | None) -> list[list[str]]:
         text = _MARKUP.sub(" ", self._mend(text, lang))
         out = []
@@ -117,7 +93,7 @@ class Terms:
             if not _WORD.search(part):
                 continue
             if lang in ("ja", "zh"):
-                out.append([w for run in _RUN.findall(part) for w in self._segment(run, lang)])
+                out.append([run[i : i + 2] for run in _RUN.findall(part) for i in range(max(1, len(run) - 1))])
             elif lang == "th":
                 sentence: list[str] = []
                 for word in part.split():
@@ -132,63 +108,44 @@ class Terms:
         return out
 
 
-def _cut(words: set[tuple[str, str]]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(words)
-        for batch in batches:
-            langs, flat, places, sizes = [], [], [], []
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                code = code_of(lang) or script_of(text)
-                found = terms(text, code)
-                langs.append(code)
-                flat.append([w for s in found for w in s])
-                places.append(np.repeat(np.arange(len(found), dtype=np.int32), [len(s) for s in found]))
-                sizes.append(len(found))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(langs, pa.string()), batch.column("label"), pa.array(sizes, pa.int32()), pa.array(places, pa.list_(pa.int32())), pa.array(flat, pa.list_(pa.string()))],
-                ["doc_id", "lang", "label", "n_sentences", "sentence", "word"],
-            )
-
-    return run
-
-
-def unspaced_words(corpus: DataFrame) -> set[tuple[str, str]]:
-    """(language, word) of the scripts without spaces: tokens of Han characters and
-    katakana that make at least 1/5000 of such tokens, so at most 5,000 a language."""
-    own = corpus.where(F.col("lang").isin("ja", "zh") & F.col("token").rlike(r"^[\p{IsHan}\p{IsKatakana}ー]{2,8}$"))
-    counted = own.groupBy("lang", "token").agg(F.count("*").alias("n"))
-    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-    kept = counted.join(F.broadcast(totals), "lang").where((F.col("n") >= 3) & (F.col("n") * 5000 >= F.col("total")))
-    return {(r["lang"], r["token"]) for r in kept.select("lang", "token").collect()}
-
-
-class Lexicon:
-    """Numbers and weights of the terms of each language."""
-
-    def __init__(self, rows: list[tuple[str, str, int]], sizes: dict[str, int]):
-        self.number: dict[str, dict[str, int]] = {}
-        self.idf: dict[str, np.ndarray] = {}
-        for lang in sizes:
-            own = sorted((t, n) for g, t, n in rows if g == lang)
-            self.number[lang] = {t: i for i, (t, _) in enumerate(own)}
-            self.idf[lang] = np.array([np.log((1 + sizes[lang]) / (1 + n)) + 1 for _, n in own])
-
-    def language(self, words: list[str]) -> str | None:
-        """The language most of whose terms a text of unknown language has."""
-        distinct = set(words)
-        hits = {g: sum(w in number for w in distinct) for g, number in self.number.items()}
-        best = max(hits, key=lambda g: (hits[g], g), default=None)
-        return best if best is not None and hits[best] else None
+def bucket_of(term: str) -> int:
+    return zlib.crc32(term.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
-CUT = "doc_id bigint, lang string, label string, n_sentences int, sentence array<int>, word array<string>"
-ENCODED = "doc_id bigint, lang string, label string, n_sentences int, sentence array<int>, term array<int>, distinct array<int>, weight array<float>"
+CUT = "doc_id bigint, lang string, label string, n_sentences int, sentence array<int>, term array<int>"
+ENCODED = CUT + ", distinct array<int>, weight array<float>"
 
 
-def _lists(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to sentences of hashed terms."""
+    terms, buckets = Terms(), {}
+    for batch in batches:
+        langs, flat, places, sizes = [], [], [], []
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            code = code_of(lang) or script_of(text)
+            found = terms(text, code)
+            own = []
+            for sentence in found:
+                for word in sentence:
+                    if word not in buckets:
+                        if len(buckets) > 500_000:
+                            buckets.clear()
+                        buckets[word] = bucket_of(word)
+                    own.append(buckets[word])
+            langs.append(code)
+            flat.append(np.array(own, dtype=np.int32))
+            places.append(np.repeat(np.arange(len(found), dtype=np.int32), [len(s) for s in found]))
+            sizes.append(len(found))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(langs, pa.string()), batch.column("label"), pa.array(sizes, pa.int32()), pa.array(places, pa.list_(pa.int32())), pa.array(flat, pa.list_(pa.int32()))],
+            ["doc_id", "lang", "label", "n_sentences", "sentence", "term"],
+        )
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """Values and the row of each value."""
     sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
-    return column.flatten(), np.repeat(np.arange(len(sizes)), sizes)
+    return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes)
 
 
 def _to_lists(values: np.ndarray, row: np.ndarray, n: int, kind: pa.DataType) -> pa.ListArray:
@@ -196,262 +153,317 @@ def _to_lists(values: np.ndarray, row: np.ndarray, n: int, kind: pa.DataType) ->
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, kind))
 
 
-def _by_language(batches: Iterator[pa.RecordBatch], langs: set[str], rows: int = 1024) -> Iterator[tuple[str | None, pa.RecordBatch]]:
-    """Parts of the batches of one language each; unknown languages as null."""
+def _by_language(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[tuple[str | None, pa.RecordBatch]]:
+    """Parts of the batches of one language each."""
     for batch in batches:
-        code = batch.column("lang").to_pylist()
         groups: dict[str | None, list[int]] = {}
-        for i, g in enumerate(code):
-            groups.setdefault(g if g in langs else None, []).append(i)
+        for i, g in enumerate(batch.column("lang").to_pylist()):
+            groups.setdefault(g, []).append(i)
         for g, at in groups.items():
             for k in range(0, len(at), rows):
                 yield g, batch.take(pa.array(at[k : k + rows]))
 
 
-def _encode(lexicon: Lexicon):
-    """Words to numbers, and the normed tf-idf weights of each document."""
+def _group_sums(values: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct groups in order and the sums of their rows; group is sorted."""
+    if not len(group):
+        return group, values[:0]
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    return group[starts], np.add.reduceat(values, starts, axis=0)
+
+
+def _spread(found: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
+    out = np.zeros((n, found[1].shape[1]), dtype=np.float64)
+    out[found[0]] = found[1]
+    return out
+
+
+class Sparse:
+    """Term weights of some documents by bucket, and products with them; no dense block."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.n = batch.num_rows
+        self.bucket, self.row = _lists(batch.column("distinct"))
+        self.weight = batch.column("weight").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        self.labels = batch.column("label").to_pylist()
+
+    def times(self, q: np.ndarray) -> np.ndarray:
+        return _spread(_group_sums(self.weight[:, None] * q[self.bucket], self.row), self.n)
+
+    def transposed_times(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(buckets, sums), and in a last row numbered BUCKETS the sum of y."""
+        order = np.argsort(self.bucket, kind="stable")
+        at, sums = _group_sums(self.weight[order, None] * y[self.row[order]], self.bucket[order].astype(np.int64))
+        return np.append(at, BUCKETS), np.concatenate([sums, y.sum(0)[None, :]])
+
+
+def _summed(df: DataFrame, width: int, work: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[str, np.ndarray, np.ndarray]]]) -> dict[str, np.ndarray]:
+    """Sums over all rows of one array per language: work yields (language, row numbers,
+    rows of `width` numbers). Rows are added up in each task before the exchange and
+    by it; the driver gets at most BUCKETS + 1 rows a language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, parts in held.items():
+                at = np.concatenate([a for a, _ in parts])
+                order = np.argsort(at, kind="stable")
+                at, sums = _group_sums(np.concatenate([v for _, v in parts])[order], at[order])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), *(pa.array(sums[:, k].astype(np.float64)) for k in range(width))], names)
+            held.clear()
+
+        for lang, at, values in work(batches):
+            held.setdefault(lang, []).append((at, values))
+            size += len(at)
+            if size > 2_000_000 // width:
+                yield from flush()
+                size = 0
+        yield from flush()
+
+    names = ["lang", "at", *(f"s{k}" for k in range(width))]
+    rows = df.mapInArrow(run, "lang string, at int, " + ", ".join(f"{c} double" for c in names[2:]))
+    t = rows.groupBy("lang", "at").agg(*[F.sum(c).alias(c) for c in names[2:]]).toArrow()
+    langs, at = np.array(t.column("lang").to_pylist(), dtype=object), t.column("at").to_numpy()
+    values = np.stack([t.column(c).to_numpy() for c in names[2:]], axis=1) if len(at) else np.zeros((0, width))
+    out: dict[str, np.ndarray] = {}
+    for lang in sorted(set(langs)):
+        own = langs == lang
+        out[lang] = np.zeros((BUCKETS + 1, width))
+        out[lang][at[own]] = values[own]
+    return out
+
+
+class Compact:
+    """An array by bucket that travels without its empty rows."""
+
+    def __init__(self, array: np.ndarray):
+        self.at = np.flatnonzero(array.any(axis=1))
+        self.rows = array[self.at].astype(np.float32)
+        self._array: np.ndarray | None = None
+
+    def __getstate__(self):
+        return {"at": self.at, "rows": self.rows, "_array": None}
+
+    @property
+    def array(self) -> np.ndarray:
+        if self._array is None:
+            self._array = np.zeros((BUCKETS + 1, self.rows.shape[1]), dtype=np.float32)
+            self._array[self.at] = self.rows
+        return self._array
+
+
+class Weights:
+    """Documents by bucket and language: inverse document frequencies, and the language
+    of a text without one."""
+
+    def __init__(self, counts: dict[str, np.ndarray]):
+        """counts: documents of each bucket, and of the language in the last row."""
+        self.df = {g: Compact(c) for g, c in counts.items()}
+        everywhere = sum((c[:-1, 0] for c in counts.values()), np.zeros(BUCKETS))
+        self.all = Compact(everywhere[:, None] / max(1.0, everywhere.sum()))
+
+    def idf(self, lang: str) -> np.ndarray:
+        df = self.df[lang].array[:, 0].astype(np.float64)
+        return np.log((1 + df[-1]) / (1 + df[:-1])) + 1
+
+    def language(self, buckets: np.ndarray) -> str | None:
+        """The language that makes the terms likeliest; null where no term is known."""
+        own = np.unique(buckets)
+        base = self.all.array[own, 0]
+        own, base = own[base > 0], base[base > 0]
+        if not len(own):
+            return None
+        score = {}
+        for g in sorted(self.df):
+            df = self.df[g].array[:-1, 0]
+            score[g] = float(np.log(OWN * df[own] / max(1.0, df.sum()) + (1 - OWN) * base).sum())
+        return max(score, key=score.get)
+
+
+def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    for lang, batch in _by_language(batches):
+        if lang is not None:
+            term, row = _lists(batch.column("term"))
+            at, n = np.unique(np.unique(row.astype(np.int64) * BUCKETS + term) % BUCKETS, return_counts=True)
+            yield lang, np.append(at, BUCKETS), np.append(n, batch.num_rows)[:, None]
+
+
+def _encode(weights: Weights):
+    """The normed tf-idf weights of each document, and a language for those without."""
 
     def part(lang: str | None, batch: pa.RecordBatch) -> pa.RecordBatch:
         n = batch.num_rows
-        words, row = _lists(batch.column("word"))
-        sentence = _lists(batch.column("sentence"))[0].to_numpy(zero_copy_only=False)
-        number = lexicon.number.get(lang, {})
-        found = pc.index_in(words, value_set=pa.array(list(number), pa.string())) if number else pa.nulls(len(words), pa.int32())
-        known = np.asarray(pc.is_valid(found))
-        term, row, sentence = np.asarray(pc.fill_null(found, 0))[known].astype(np.int64), row[known], sentence[known]
-        width = max(1, len(number))
-        key, count = np.unique(row * width + term, return_counts=True)
-        at, distinct = key // width, key % width
-        weight = (1 + np.log(count)) * lexicon.idf[lang][distinct] if number else np.zeros(0)
-        norm = np.sqrt(np.bincount(at, weight**2, minlength=n))
-        weight = weight / np.maximum(norm[at], 1e-9)
-        return pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"), pa.array([lang] * n, pa.string()), batch.column("label"), batch.column("n_sentences"),
-                _to_lists(sentence.astype(np.int32), row, n, pa.int32()), _to_lists(term.astype(np.int32), row, n, pa.int32()),
-                _to_lists(distinct.astype(np.int32), at, n, pa.int32()), _to_lists(weight.astype(np.float32), at, n, pa.float32()),
-            ],
-            ["doc_id", "lang", "label", "n_sentences", "sentence", "term", "distinct", "weight"],
-        )
+        term, row = _lists(batch.column("term"))
+        if lang in weights.df:
+            key, count = np.unique(row.astype(np.int64) * BUCKETS + term, return_counts=True)
+            at, distinct = key // BUCKETS, key % BUCKETS
+            weight = (1 + np.log(count)) * idf[lang][distinct]
+            weight = weight / np.maximum(np.sqrt(np.bincount(at, weight**2, minlength=n)), 1e-9)[at]
+        else:
+            at = distinct = np.zeros(0, np.int64)
+            weight = np.zeros(0)
+        lists = [_to_lists(distinct.astype(np.int32), at, n, pa.int32()), _to_lists(weight.astype(np.float32), at, n, pa.float32())]
+        own = [batch.column(c) for c in ("label", "n_sentences", "sentence", "term")]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([lang] * n, pa.string()), *own, *lists], ["doc_id", "lang", "label", "n_sentences", "sentence", "term", "distinct", "weight"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, batch in _by_language(batches, set(lexicon.number)):
+        for lang, batch in _by_language(batches):
+            if lang in weights.df and lang not in idf:
+                idf[lang] = weights.idf(lang)
             if lang is not None:
                 yield part(lang, batch)
                 continue
             told: dict[str | None, list[int]] = {}
-            for i, words in enumerate(batch.column("word").to_pylist()):
-                told.setdefault(lexicon.language(words), []).append(i)
+            for i, terms in enumerate(batch.column("term")):
+                told.setdefault(weights.language(terms.values.to_numpy()), []).append(i)
             for g, at in told.items():
+                if g is not None and g not in idf:
+                    idf[g] = weights.idf(g)
                 yield part(g, batch.take(pa.array(at)))
 
+    idf: dict[str, np.ndarray] = {}
     return run
 
 
-def _matrices(batches: Iterator[pa.RecordBatch], idf: dict[str, np.ndarray]) -> Iterator[tuple[str, np.ndarray, list]]:
-    """(language, dense term weights of some documents, their labels)."""
-    for lang, batch in _by_language(batches, set(idf)):
-        if lang is not None:
-            x = np.zeros((batch.num_rows, len(idf[lang])), dtype=np.float32)
-            distinct, row = _lists(batch.column("distinct"))
-            x[row, distinct.to_numpy()] = batch.column("weight").flatten().to_numpy()
-            yield lang, x, batch.column("label").to_pylist()
-
-
-def _summed(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[str, np.ndarray]]]) -> dict[str, np.ndarray]:
-    """Sums of one array per language over all partitions. The arrays have a fixed size
-    (terms by dimensions); they are summed in rounds of 16, so that neither a task nor
-    the driver ever holds more than 16 of them."""
-
-    def add(parts: Iterator[tuple[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
-        for lang, a in parts:
-            total[lang] = total[lang] + a if lang in total else a
-        for lang, a in total.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang]), pa.array([list(a.shape)], pa.list_(pa.int32())), pa.array([a.astype(np.float64).tobytes()], pa.binary())], ["lang", "shape", "sum"]
-            )
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray]]:
-        for b in batches:
-            for r in b.to_pylist():
-                yield r["lang"], np.frombuffer(r["sum"]).reshape(r["shape"])
-
-    schema = "lang string, shape array<int>, sum binary"
-    parts = df.mapInArrow(lambda batches: add(work(batches)), schema)
-    n = max(1, df.rdd.getNumPartitions())
-    while n > 16:
-        n = -(-n // 16)
-        parts = parts.repartition(n).mapInArrow(lambda batches: add(read(batches)), schema)
-    out: dict[str, np.ndarray] = {}
-    for r in parts.collect():
-        a = np.frombuffer(r["sum"]).reshape(r["shape"])
-        out[r["lang"]] = out[r["lang"]] + a if r["lang"] in out else a
-    return out
+def _unit(a: np.ndarray) -> np.ndarray:
+    return a / np.maximum(np.linalg.norm(a, axis=-1, keepdims=True), 1e-12)
 
 
 class Space:
-    """Term vectors and subject centroids of each language."""
+    """Of each language: projection of terms, mean document in it, centroids of the
+    subjects, and the weight of each term in a sentence."""
 
     def __init__(self, subjects: list[str]):
         self.subjects = subjects
-        self.idf: dict[str, np.ndarray] = {}
-        self.mean: dict[str, np.ndarray] = {}
-        self.terms: dict[str, np.ndarray] = {}
+        self.basis: dict[str, Compact] = {}
+        self.shift: dict[str, np.ndarray] = {}
         self.centroids: dict[str, np.ndarray] = {}
-        self.subject_of: dict[str, np.ndarray] = {}
-        self.misleading: dict[str, np.ndarray] = {}
+        self.weight: dict[str, Compact] = {}
 
 
-def _unit(a: np.ndarray) -> np.ndarray:
-    return a / np.maximum(np.linalg.norm(a, axis=-1, keepdims=True), 1e-12)
+def _one_hot(labels: list, subjects: list[str]) -> np.ndarray:
+    """By document: 1 in the column of its label and, for all, in a last column."""
+    at = {t: i for i, t in enumerate(subjects)}
+    out = np.zeros((len(labels), len(subjects) + 1))
+    out[:, -1] = 1
+    for i, label in enumerate(labels):
+        if label in at:
+            out[i, at[label]] = 1
+    return out
 
 
-def fit(encoded: DataFrame, lexicon: Lexicon, subjects: list[str]) -> Space:
+def fit(encoded: DataFrame, weights: Weights, subjects: list[str]) -> Space:
     """Truncated singular value decomposition by subspace iteration, then centroids seeded
-    by the labels and refined on all documents, then the subjects of the terms."""
+    by the labels and refined on all documents, then the weights of the terms."""
     space = Space(subjects)
-    space.idf = {g: a for g, a in lexicon.idf.items() if len(a)}
-    at = {t: i for i, t in enumerate(subjects)}
     m = len(subjects)
 
-    def one_hot(labels: list) -> np.ndarray:
-        out = np.zeros((m + 1, len(labels)), dtype=np.float32)
-        out[m] = 1
-        for i, label in enumerate(labels):
-            if label in at:
-                out[at[label], i] = 1
-        return out
+    def parts(batches):
+        for lang, batch in _by_language(batches):
+            if lang is not None:
+                yield lang, Sparse(batch)
+
+    def seeds(batches):  # sums by subject and of all; the last row holds their numbers
+        for lang, x in parts(batches):
+            yield lang, *x.transposed_times(_one_hot(x.labels, subjects))
 
-    def seeds(batches):  # sums by subject and of all, and in a last column their numbers
-        for lang, x, labels in _matrices(batches, space.idf):
-            h = one_hot(labels)
-            yield lang, np.concatenate([h @ x, h.sum(1, keepdims=True)], axis=1)
+    mean: dict[str, np.ndarray] = {}
+    for lang, sums in _summed(encoded, m + 1, seeds).items():
+        n = sums[-1]
+        mean[lang] = sums[:-1, m] / max(1.0, n[m])
+        own = (sums[:-1, :m] / np.maximum(n[:m], 1) - mean[lang][:, None]) * (n[:m] > 0)
+        extra = np.random.default_rng(7).standard_normal((BUCKETS, max(0, DIMENSIONS - m))) * (mean[lang] > 0)[:, None]
+        space.basis[lang] = Compact(np.linalg.qr(np.concatenate([own, extra * 1e-3], axis=1))[0])
 
-    basis: dict[str, np.ndarray] = {}
-    for lang, sums in _summed(encoded, seeds).items():
-        n = sums[:, -1:]
-        space.mean[lang] = sums[m, :-1] / max(1.0, n[m, 0])
-        own = (sums[:m, :-1] / np.maximum(n[:m], 1) - space.mean[lang]) * (n[:m] > 0)
-        extra = np.random.default_rng(7).standard_normal((max(0, DIMENSIONS - m), own.shape[1]))
-        basis[lang] = np.linalg.qr(np.concatenate([own, extra * 1e-3]).T)[0]
+    def shifts() -> dict[str, np.ndarray]:
+        return {g: mean[g] @ q.array[:-1] for g, q in space.basis.items()}
 
-    strength: dict[str, np.ndarray] = {}
     for _ in range(SVD_PASSES):
-        current = {g: (q.astype(np.float32), (space.mean[g] @ q).astype(np.float32)) for g, q in basis.items()}
+        basis, shift = space.basis, shifts()
 
-        def step(batches, current=current):  # of the centred matrix, without centring it
-            for lang, x, _ in _matrices(batches, space.idf):
-                if lang in current:
-                    q, shift = current[lang]
-                    y = x @ q - shift
-                    yield lang, np.concatenate([x.T @ y, y.sum(0, keepdims=True)])
+        def step(batches, basis=basis, shift=shift):  # of the centred matrix, without centring it
+            for lang, x in parts(batches):
+                yield lang, *x.transposed_times(x.times(basis[lang].array) - shift[lang])
 
-        for lang, z in _summed(encoded, step).items():
-            z = z[:-1] - np.outer(space.mean[lang], z[-1])
+        space.basis = {}
+        for lang, z in _summed(encoded, max(m, DIMENSIONS), step).items():
+            z = z[:-1] - np.outer(mean[lang], z[-1])
             # Rayleigh-Ritz: singular vectors in order of their values
-            values, turn = np.linalg.eigh((basis[lang].T @ z + z.T @ basis[lang]) / 2)
-            order = np.argsort(-values)
-            basis[lang], _ = np.linalg.qr(z @ turn[:, order])
-            strength[lang] = np.sqrt(np.maximum(values[order], 0))
-    space.terms = {g: q * strength[g] for g, q in basis.items()}
+            q = basis[lang].array[:-1].astype(np.float64)
+            values, turn = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
+            space.basis[lang] = Compact(np.linalg.qr(z @ turn[:, np.argsort(-values)])[0])
+    basis, space.shift = space.basis, shifts()
+    shift = space.shift
+    width = max(m, DIMENSIONS)
 
     def embed(batches):
-        for lang, x, labels in _matrices(batches, space.idf):
-            if lang in basis:
-                y = _unit(x @ basis[lang] - space.mean[lang] @ basis[lang]).astype(np.float32)
-                n, k = y.shape
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * n), pa.array(labels, pa.string()), _to_lists(y.ravel(), np.repeat(np.arange(n), k), n, pa.float32())], ["lang", "label", "vector"]
-                )
+        for lang, x in parts(batches):
+            y = _unit(x.times(basis[lang].array) - shift[lang]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * x.n), pa.array(x.labels, pa.string()), _to_lists(y.ravel(), np.repeat(np.arange(x.n), width), x.n, pa.float32())], ["lang", "label", "vector"]
+            )
 
     vectors = materialize(encoded.mapInArrow(embed, "lang string, label string, vector array<float>"), "subjects-vectors")
 
-    def centroids(batches, current=None):
-        for lang, batch in _by_language(batches, set(basis)):
-            y = batch.column("vector").flatten().to_numpy().reshape(batch.num_rows, -1)
-            if current is None:
-                h = one_hot(batch.column("label").to_pylist())[:m]
-            else:
-                cosine = y @ current[lang].T
-                h = ((cosine.argmax(1)[None, :] == np.arange(m)[:, None]) & (cosine.T > 0.4)).astype(np.float32)
-            yield lang, h @ y
+    def sums_by_subject(current=None):
+        def run(batches):
+            for lang, batch in _by_language(batches):
+                y = batch.column("vector").flatten().to_numpy().reshape(batch.num_rows, -1).astype(np.float64)
+                if current is None:
+                    h = _one_hot(batch.column("label").to_pylist(), subjects)[:, :m]
+                else:
+                    cosine = y @ current[lang].T
+                    h = (cosine.argmax(1)[:, None] == np.arange(m)) & (cosine > REFINE_COSINE)
+                yield lang, np.arange(m), h.T @ y
+
+        return {g: a[:m] for g, a in _summed(vectors, width, run).items()}
 
-    current = {g: _unit(c) for g, c in _summed(vectors, centroids).items()}
+    space.centroids = {g: _unit(c) for g, c in sums_by_subject().items()}
     for _ in range(REFINEMENTS):
-        held = current
-        moved = _summed(vectors, lambda b, held=held: centroids(b, held))
+        held = space.centroids
         # a subject that lost all its documents keeps its seed
-        current = {g: np.where(np.linalg.norm(c, axis=1, keepdims=True) > 0, _unit(c), held[g]) for g, c in moved.items()}
-    space.centroids = current
-
-    general = at.get(GENERAL, -1)
-    for lang, c in current.items():
-        cosine = _unit(space.terms[lang]) @ c.T
-        best = cosine.argmax(1)
-        space.subject_of[lang] = np.where((cosine.max(1) > TERM_COSINE) & (best != general), best, -1)
-
-    # words beside which a subject's terms have another sense: the rest of such documents is not about it
-    def context(batches):
-        for lang, batch in _by_language(batches, set(space.subject_of)):
-            if lang is None:
-                continue
-            d = _Said(space, lang, batch, m)
-            long = d.sizes[d.doc_of] >= 3
-            rest = np.where((d.said >= 0) & long, (d.counts[d.doc_of, d.said] - 1) / np.maximum(1, d.sizes[d.doc_of] - 1), 0.0)
-            beside = (space.subject_of[lang][d.term] < 0) & (d.said[d.sentence] >= 0) & long[d.sentence]
-            width = len(space.subject_of[lang])
-            yield lang, np.stack([np.bincount(d.term[beside], rest[d.sentence[beside]], width), np.bincount(d.term[beside], minlength=width)])
-
-    for lang, sums in _summed(encoded, context).items():
-        usual = sums[0].sum() / max(1.0, sums[1].sum())
-        space.misleading[lang] = (sums[1] >= 5) & (sums[0] / np.maximum(1, sums[1]) < 0.4 * usual)
+        space.centroids = {g: np.where(np.linalg.norm(c, axis=1, keepdims=True) > 0, _unit(c), held[g]) for g, c in sums_by_subject(held).items()}
+    for lang, c in space.centroids.items():
+        # a term says as much as its own vector lies by a subject's centroid
+        near = np.maximum(0, (_unit(basis[lang].array[:-1]) @ c.T).max(1, initial=0))
+        space.weight[lang] = Compact((weights.idf(lang) * near**2)[:, None])
     return space
 
 
-class _Said:
-    """What the sentences of some documents of one language are about.
-
-    term and sentence: term numbers and the sentence each stands in (counted through);
-    said: subject of each sentence by its terms, -1 for none; doc_of: document of each
-    sentence; sizes and counts: sentences of each document, in all and by subject."""
-
-    def __init__(self, space: Space, lang: str, batch: pa.RecordBatch, m: int, heed: bool = False):
-        n = batch.num_rows
-        self.sizes = batch.column("n_sentences").to_numpy().astype(np.int64)
-        first = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.doc_of = np.repeat(np.arange(n), self.sizes)
-        term, row = _lists(batch.column("term"))
-        self.term = term.to_numpy().astype(np.int64)
-        self.sentence = batch.column("sentence").flatten().to_numpy().astype(np.int64) + first[row]
-        own = space.subject_of[lang][self.term]
-        hit = own >= 0
-        votes = np.bincount(self.sentence[hit] * m + own[hit], minlength=int(first[-1]) * m).reshape(-1, m)
-        self.said = np.where(votes.max(1, initial=0) > 0, votes.argmax(1), -1) if len(votes) else np.zeros(0, np.int64)
-        if heed and lang in space.misleading:
-            self.said[self.sentence[space.misleading[lang][self.term]]] = -1
-        ok = self.said >= 0
-        self.counts = np.bincount(self.doc_of[ok] * m + self.said[ok], minlength=n * m).reshape(n, m)
-
-
 def _assign(space: Space, share: float):
     m = len(space.subjects)
+    general = space.subjects.index(GENERAL) if GENERAL in space.subjects else -1
+
+    def said(lang: str, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """(document, subject) of each sentence that is about one."""
+        sizes = batch.column("n_sentences").to_numpy().astype(np.int64)
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        term, row = _lists(batch.column("term"))
+        sentence = batch.column("sentence").flatten().to_numpy(zero_copy_only=False).astype(np.int64) + first[row]
+        at, vectors = _group_sums(space.weight[lang].array[term] * space.basis[lang].array[term], sentence)
+        cosine = _unit(vectors) @ space.centroids[lang].T
+        best = cosine.argmax(1) if len(cosine) else np.zeros(0, np.int64)
+        ok = (cosine.max(1, initial=-1) > SENTENCE_COSINE) & (best != general)
+        return np.repeat(np.arange(len(sizes)), sizes)[at[ok]], best[ok]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, batch in _by_language(batches, set(space.subject_of)):
+        for lang, batch in _by_language(batches):
             n = batch.num_rows
             sizes = batch.column("n_sentences").to_numpy()
-            shares = np.zeros((n, m))
-            if lang is not None:
-                shares = _Said(space, lang, batch, m, heed=True).counts / np.maximum(1, sizes)[:, None]
+            counts = np.zeros((n, max(2, m)))
+            if lang in space.weight:
+                np.add.at(counts, said(lang, batch), 1)
+            shares = counts / np.maximum(1, sizes)[:, None]
             order = np.argsort(-shares, axis=1, kind="stable")[:, :2]
             best = np.take_along_axis(shares, order, axis=1)
-            row, place = np.nonzero(best >= share)
-            none = np.flatnonzero((best < share).all(axis=1))
-            docs = batch.column("doc_id").take(pa.array(np.concatenate([row, none])))
+            row, place = np.nonzero((best >= share) & (best > 0))
+            none = np.setdiff1d(np.arange(n), row)
             topics = [space.subjects[j] for j in order[row, place]] + [GENERAL] * len(none)
+            rows = np.concatenate([row, none])
             yield pa.RecordBatch.from_arrays(
-                [docs, pa.array(topics, pa.string()), pa.array(np.concatenate([best[row, place], np.zeros(len(none))])), pa.array(sizes[np.concatenate([row, none])], pa.int32())],
+                [batch.column("doc_id").take(pa.array(rows)), pa.array(topics, pa.string()), pa.array(np.concatenate([best[row, place], np.zeros(len(none))])), pa.array(sizes[rows], pa.int32())],
                 ["doc_id", "topic", "share", "n_sentences"],
             )
 
@@ -473,39 +485,33 @@ def labels_of(corpus: DataFrame, topic_list: DataFrame) -> DataFrame:
 def document_subjects(documents: DataFrame, corpus: DataFrame, topic_list: DataFrame, *, share: float = SENTENCE_SHARE) -> DataFrame:
     """One or two subject areas of every document.
 
-    Method: documents are embedded per language by tf-idf weights and truncated singular
-    value decomposition (subspace iteration over all documents); centroids are seeded by
-    the documents labelled in corpus.topic and refined on all documents by cosine, which
-    outvotes wrong labels; terms join the centroid within TERM_COSINE. A sentence has the
-    subject of its terms, unless it holds a word beside which those terms are known to
-    mean something else (documents with it are not about the subject otherwise). A
+    Method: documents are embedded per language by tf-idf weights of hashed terms and
+    truncated singular value decomposition (subspace iteration over all documents);
+    centroids are seeded by the documents labelled in corpus.topic and refined on all
+    documents by cosine, which outvotes wrong labels. Subjects are assigned by cosine to
+    those centroids: each sentence is embedded in the same space (a term weighs by its
+    inverse document frequency and the square of its own cosine to the nearest
+    centroid) and has the subject of the nearest centroid from SENTENCE_COSINE on. A
     subject counts from `share` of the sentences (the splitter leaves fragments, so that
     a third of the true sentences is a little less here); the two largest are kept;
     without any the document is General.
 
+    No term is left out and nothing depends on the size of the collection: terms are
+    hashed into BUCKETS, so what reaches the driver and the tasks has at most BUCKETS
+    rows of DIMENSIONS numbers a language.
+
     Columns: doc_id, topic (as in topic_list), share, n_sentences. Null and blank texts
     and null ids give no row; texts without any word are General; a null or unknown
-    language is told by script or by its words; repeated rows give a row each. The
+    language is told by script or by its terms; repeated rows give a row each. The
     subjects number as many as topic_list has rows; without labels in a language all its
     documents are General."""
     subjects = sorted(r["topic"] for r in topic_list.where(F.col("topic").isNotNull()).select("topic").distinct().collect())
     texts = documents.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"\S")).select("doc_id", "lang", "text")
     labelled = texts.join(labels_of(corpus, topic_list), "doc_id", "left").select("doc_id", "lang", "text", "label")
-    cut = materialize(labelled.mapInArrow(_cut(unspaced_words(corpus)), CUT), "subjects-cut")
-    sizes = {r["lang"]: r["n"] for r in cut.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    known = cut.where(F.col("lang").isNotNull()).select("lang", F.explode(F.array_distinct("word")).alias("term"))
-    total = documents.sparkSession.createDataFrame(sorted(sizes.items()), "lang string, size bigint")
-    kept = (
-        known.groupBy("lang", "term")
-        .agg(F.count("*").alias("df"))
-        .join(F.broadcast(total), "lang")
-        .where(F.col("df") >= F.greatest(F.lit(3), F.col("size") * TERM_SHARE))
-        .select("lang", "term", "df")
-        .collect()
-    )
-    lexicon = Lexicon([(r["lang"], r["term"], r["df"]) for r in kept], sizes)
-    encoded = materialize(cut.mapInArrow(_encode(lexicon), ENCODED), "subjects-encoded")
-    space = fit(encoded, lexicon, subjects)
+    cut = materialize(labelled.mapInArrow(_cut, CUT), "subjects-cut")
+    weights = Weights(_summed(cut.select("lang", "term"), 1, _document_counts))
+    encoded = materialize(cut.mapInArrow(_encode(weights), ENCODED), "subjects-encoded")
+    space = fit(encoded.where(F.col("lang").isNotNull()).select("lang", "label", "distinct", "weight"), weights, subjects)
     return encoded.mapInArrow(_assign(space, share), "doc_id bigint, topic string, share double, n_sentences int")
 
 
