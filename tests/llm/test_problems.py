@@ -263,27 +263,22 @@ def test_subjects_of_held_out_texts(spark, scale):
     assert sum(small) >= 0.8 * len(small), (sum(small), len(small))
 
 
-def test_one_more_document_of_a_rare_word_never_drops_it(spark):
-    """Terms are never left out: the same rare word decides in a small and a large
-    collection."""
-    topic_list = spark.createDataFrame([("Sport", "d"), ("Economy", "d"), ("General", "d")], "topic string, description string")
-    rng = random.Random(6)
-    special = {"Sport": ["match", "goal", "striker"], "Economy": ["market", "price", "tariff"], "General": ["soup", "lamp", "river"]}
-
-    def text(topic, words):
-        return " ".join(f"{rng.choice(['Then', 'Here', 'Now'])} the {rng.choice(words)} and the {rng.choice(words)} were {rng.choice(['old', 'big', 'new'])}." for _ in range(5))
-
-    for n in (150, 3000):
-        rows = [(i, text(t, special[t]), "en") for i in range(n) for t in [list(special)[i % 3]]]
-        rows += [(n + k, f"The quarterback and the {special['Sport'][k % 3]} were old. " * 3, "en") for k in range(5)]
-        rows.append((n + 9, "The quarterback and the quarterback were big.", "en"))
-        seeds = corpus(spark, [(i, i, "f", 1, "x", "en") for i in range(90)]).drop("topic")
-        seeds = seeds.withColumn("topic", F.element_at(F.array(*map(F.lit, special)), (F.col("doc_id") % 3 + 1).cast("int")))
-        docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
-        found = {r["doc_id"]: r["topic"] for r in subjects.document_subjects(docs, seeds, topic_list).collect()}
-        assert found[n + 9] == "Sport"
-        right = sum(found[i] == list(special)[i % 3] for i in range(n))
-        assert right >= 0.97 * n
+@pytest.mark.parametrize("n", [60, 3000])
+def test_no_term_is_left_out(spark, n):
+    """Every term keeps its bucket and its weight, however rare and however large the
+    collection is."""
+    rows = [(i, f"common word{i}. Common river.", "en") for i in range(n)]
+    cut = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("label", F.lit(None).cast("string"))
+    cut = cut.mapInArrow(subjects._cut, subjects.CUT)
+    weights = subjects.Weights(subjects._summed(cut.select("lang", "term"), 1, subjects._document_counts))
+    df = weights.df["en"].array[:, 0]
+    # digits part the words, so that all of them are "word"; the two others stand in every text
+    assert {subjects.bucket_of(w) for w in ("common", "word", "river")} == set(np.flatnonzero(df[:-1])) and df[-1] == n
+    assert set(df[df > 0]) == {n} and weights.language(np.array([subjects.bucket_of("river")])) == "en"
+    rare = subjects.bucket_of("quarterback")
+    one = cut.unionByName(spark.createDataFrame([(n, "a quarterback", "en", None)], "doc_id bigint, text string, lang string, label string").mapInArrow(subjects._cut, subjects.CUT))
+    counted = subjects.Weights(subjects._summed(one.select("lang", "term"), 1, subjects._document_counts))
+    assert counted.df["en"].array[rare, 0] == 1 and counted.idf("en")[rare] == pytest.approx(np.log((2 + n) / 2) + 1)
 
 
 def test_subjects_of_edge_texts(spark):
