@@ -391,10 +391,67 @@ def test_planted_passages_are_found(spark, monkeypatch):
     assert contamination.contained_items(df, items.limit(0)).count() == 0 and contamination.contained_items(df.limit(0), items).count() == 0
     spans = contamination.removal_spans(df, items).where("doc_id = 0").collect()
     assert len(spans) == 1 and spans[0]["char_end"] <= len(docs[0][1])
-    monkeypatch.setattr(contamination, "ITEMS", 4)
+    monkeypatch.setattr(contamination, "PASS", 1_000)
+    monkeypatch.setattr(contamination, "HITS", 50)
+    monkeypatch.setattr(contamination, "CELLS", 3_000)
     assert {(r["doc_id"], r["item_id"]) for r in contamination.contained_items(df, items).collect()} == want
 
 
+def brute_stretches(passages, docs, share, other):
+    found = set()
+    for k, p in enumerate(passages):
+        half = -(-len(p) * share // 1)
+        for d, w in enumerate(docs):
+            for diagonal in range(1 - len(p), len(w)):
+                low, high = max(0, -diagonal), min(len(p), len(w) - diagonal)
+                wrong = [0, *itertools.accumulate(p[i] != w[diagonal + i] for i in range(low, high))]
+                if any(wrong[e] - wrong[s] <= contamination.allowed(e - s, other) for s in range(len(wrong)) for e in range(s + int(half), len(wrong))):
+                    found.add((d, k))
+                    break
+    return found
+
+
+@pytest.mark.parametrize("other", [0.125, 0.15])
+def test_no_stretch_is_lost(other):
+    """Passages of 4 to 60 words: halves with as many other words as are allowed, at
+    random places, at the ends and next to each other, all of them found; what is found
+    besides is found by brute force too."""
+    rng = random.Random(int(other * 1000))
+    passages, docs, want = [], [], set()
+    for n in [*range(4, 61), *range(4, 61, 3)]:
+        passages.append([f"p{rng.randrange(3 * n)}" for _ in range(n)])
+    for k, p in enumerate(passages):
+        half = -(-len(p) // 2)
+        for kind in range(6):
+            size = rng.choice([half, half, rng.randint(half, len(p))])
+            start = rng.randint(0, len(p) - size)
+            copy = p[start : start + size]
+            n = contamination.allowed(size, other)
+            spots = {0: range(n), 1: range(size - n, size), 2: [0, *range(size - n + 1, size)][:n], 3: [int((i + 1) * size / (n + 1)) for i in range(n)]}.get(kind, rng.sample(range(size), n))
+            for i in spots:
+                copy[i] = f"x{i}"
+            docs.append([f"f{rng.randrange(50)}" for _ in range(rng.randint(0, 5))] + copy + [f"f{rng.randrange(50)}" for _ in range(rng.randint(0, 5))])
+            want.add((len(docs) - 1, k))
+        docs.append(p[: half - 1] + ["y"] * 3)
+    items = contamination.Items([(i, " ".join(p)) for i, p in enumerate(passages)], 0.5, other)
+    got = {(d, k) for d, k, *_ in contamination.Shard(items, docs).found()}
+    assert want <= got
+    assert got == brute_stretches(passages, docs, 0.5, other)
+
+
+def test_many_short_passages_in_one_pass(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    passages = [[rng.choice(words) for _ in range(rng.randint(8, 14))] for _ in range(10_000)]
+    docs = [[rng.choice(words) for _ in range(40)] for _ in range(30)]
+    for i in range(0, 30, 3):
+        docs[i][10 : 10 + len(passages[i * 7])] = passages[i * 7]
+    items = spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(passages)], "item_id bigint, passage string")
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in contamination.contained_items(df, items).collect()}
+    assert {(i, i * 7) for i in range(0, 30, 3)} <= got
+
+
 def test_spans_hold_through_normalising(spark):
     passage = "the old lamp of the river house stood beside the quiet garden wall until morning came"
     inner = passage.replace("lamp of", "<b>la</b>mp&nbsp;of").replace("quiet", "ｑｕｉｅｔ").replace("river", "RIVER")
