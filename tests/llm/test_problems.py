@@ -90,6 +90,39 @@ def test_damaged_stretches_of_unspaced_texts_are_repaired(spark):
     assert got == {i: (want, n, n) for i, (_, _, want, n) in enumerate(texts) if want}
 
 
+def test_lost_characters_of_documents_come_from_the_corpus(spark):
+    words = ["über", "für", "Hügel", "Straße", "schön", "Bär", "Bör"]
+    c = corpus(spark, [(i, i, "f", 1, w, "de") for i, w in enumerate(words)])
+    docs = spark.createDataFrame([(1, "„H�gel“ \n�ber B�r, fÃ¼r �ber.", "GER"), (1, "�ber", "de"), (2, "�ber", "fr"), (3, "a � b", "de")], "doc_id bigint, text string, lang string")
+    got = sorted((r["doc_id"], r["n_damaged"], r["n_restored"], r["text"]) for r in encoding.repaired_documents(docs, c).collect())
+    assert got == [(1, 1, 1, "über"), (1, 5, 4, "„Hügel“ \nüber B�r, für über."), (2, 1, 0, "�ber"), (3, 1, 0, "a � b")]
+
+
+def test_restored_tokens_are_restored_in_their_documents(spark):
+    """No damaged token of the corpus that was restored is left in its repaired text: 0.9
+    or more in every language."""
+    d = "/root/testdata/sf0.1"
+    c, docs = spark.read.parquet(f"{d}/corpus.parquet"), spark.read.parquet(f"{d}/documents.parquet")
+    tokens = encoding.damaged_tokens(c).where("original IS NOT NULL").join(c.select("id", "doc_id", "lang").distinct(), "id").select("doc_id", "lang", "token").distinct().collect()
+    text = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    after = text | {r["doc_id"]: r["text"] for r in encoding.repaired_documents(docs, c).collect()}
+    seen, left = Counter(), Counter()
+    for doc, lang, token in tokens:
+        if token in text.get(doc, ""):
+            seen[lang] += 1
+            left[lang] += token in after[doc]
+    assert len(seen) >= 9 and all(left[g] <= 0.1 * seen[g] for g in seen), (seen, left)
+
+
+def test_the_model_is_fitted_in_many_tasks(spark):
+    words = spark.createDataFrame([("de", f"wört{i}") for i in range(400)], "lang string, word string").coalesce(1)
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert words.repartition(spread, "lang", "word").rdd.glom().map(len).filter(lambda n: n > 0).count() > 1
+    weights = encoding.fit(words)
+    assert {encoding.CLEAN, encoding.GONE, "utf-8>cp1252"} <= set(weights)
+    assert encoding.Classifier(weights)("wÃ¶rt5", "de")[1] == "wört5" and encoding.Classifier(weights)("w�rt5", "de") == (encoding.GONE, None)
+
+
 # 2 -------------------------------------------------------------------------------------
 
 

@@ -56,7 +56,8 @@ BUCKETS = 8192
 QUALITY = 3.0
 #: What it costs (log likelihood) to enter a damaged stretch inside a run. Fixed value.
 ENTER = 10.0
-CLEAN = "clean"
+#: Labels beside the chains: not damaged, and damaged beyond any way back.
+CLEAN, GONE = "clean", "lost"
 LOST = "�"
 NON_ASCII = r"[^\x00-\x7F]"
 MODEL = "label string, bucket int, n bigint"
@@ -134,9 +135,10 @@ def _may_start(text: str, chain: tuple) -> bool:
 
 
 def _buckets(text: str, lang: str | None) -> list[int]:
+    """Hashed byte bigrams, the language, and a last one that every word has."""
     raw = b"\x02" + text.encode("utf-8", "surrogatepass") + b"\x03"
     out = [zlib.crc32(raw[i : i + 2]) % BUCKETS for i in range(len(raw) - 1) if raw[i] > 127 or raw[i + 1] > 127]
-    return out + [zlib.crc32(b"lang:" + (lang or "").encode()) % BUCKETS]
+    return out + [zlib.crc32(b"lang:" + (lang or "").encode()) % BUCKETS, BUCKETS]
 
 
 def _labels(lang: str | None) -> list[tuple]:
@@ -161,32 +163,47 @@ def _seems_clean(text: str, lang: str | None) -> bool:
     return not _CONTROL.search(text) and not any((o := invert(text, c)) and plausible(o, lang) for c in _labels(lang))
 
 
+def _gone(word: str) -> Iterator[str]:
+    """The word as it looks when bytes of it are lost: characters replaced, bytes that the
+    wrong encoding has no character for, half of a character left."""
+    yield regex.sub(NON_ASCII, LOST, word)
+    yield word.encode("utf-8", "surrogatepass").decode("cp1252", "replace")
+    yield regex.sub(r"[\xc2-\xf4](?=[\x80-\xbf])", "", garble(word, (STEPS[1],)) or "")
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bigram counts per label: clean words as they stand, and garbled along every chain."""
+    """Bigram counts per label: clean words as they stand, garbled along every chain, and
+    with bytes lost."""
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
         for lang, word in zip(batch.column("lang").to_pylist(), batch.column("word").to_pylist()):
             if not _seems_clean(word, lang):
                 continue
-            np.add.at(counts.setdefault(CLEAN, np.zeros(BUCKETS, np.int64)), _buckets(word, lang), 1)
+            np.add.at(counts.setdefault(CLEAN, np.zeros(BUCKETS + 1, np.int64)), _buckets(word, lang), 1)
             for chain in _labels(lang):
                 if bad := garble(word, chain):
-                    np.add.at(counts.setdefault(label_of(chain), np.zeros(BUCKETS, np.int64)), _buckets(bad, lang), 1)
+                    np.add.at(counts.setdefault(GONE if LOST in bad else label_of(chain), np.zeros(BUCKETS + 1, np.int64)), _buckets(bad, lang), 1)
+            for bad in _gone(word):
+                if _CONTROL.search(bad):
+                    np.add.at(counts.setdefault(GONE, np.zeros(BUCKETS + 1, np.int64)), _buckets(bad, lang), 1)
     for label, n in counts.items():
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array([label] * len(at)), pa.array(at.astype(np.int32)), pa.array(n[at])], ["label", "bucket", "n"])
 
 
 def fit(words: DataFrame) -> dict[str, np.ndarray]:
-    """Log weights of the multinomial classifier, one vector of BUCKETS per label.
-
-    words(lang, word): all distinct words with a character beyond ASCII. The model's size
-    is fixed: BUCKETS numbers for each of the labels, whatever the corpus."""
-    rows = words.mapInArrow(_count, MODEL).groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect()
+    """Log weights of the multinomial classifier, one vector per label: BUCKETS of them for
+    the bigrams, a last one for how frequent the label is.
+
+    words(lang, word): all distinct words with a character beyond ASCII, spread over as
+    many tasks as the session shuffles to. The model's size is fixed: BUCKETS + 1 numbers for
+    each of the labels, whatever the corpus."""
+    spread = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = words.repartition(spread, "lang", "word").mapInArrow(_count, MODEL).groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect()
     counts: dict[str, np.ndarray] = {}
     for r in rows:
-        counts.setdefault(r["label"], np.zeros(BUCKETS))[r["bucket"]] = r["n"]
-    return {label: np.log((n + 0.02) / (n.sum() + 0.02 * BUCKETS)) for label, n in counts.items()}
+        counts.setdefault(r["label"], np.zeros(BUCKETS + 1))[r["bucket"]] = r["n"]
+    return {label: np.append(np.log((n[:-1] + 0.02) / (n[:-1].sum() + 0.02 * BUCKETS)), np.log(n[-1])) for label, n in counts.items()}
 
 
 class Classifier:
@@ -201,39 +218,33 @@ class Classifier:
     def __getstate__(self):
         return {"weights": {k: v.astype(np.float32) for k, v in self.weights.items()}, "seen": {}, "starts": {}, "pairs": {}, "like": {}}
 
-    def once(self, word: str, lang: str | None) -> tuple[str | None, str | None]:
-        """(chain, original) of one wrong decoding, (null, null) for a clean word."""
-        at = _buckets(word, lang)
-        clean = self.weights.get(CLEAN)
-        bar = -np.inf if clean is None else float(clean[at].sum())
-        best = (-np.inf, None, None)
-        for chain in _labels(lang):
-            weights = self.weights.get(label_of(chain))
-            if weights is None or (score := float(weights[at].sum())) <= bar:
-                continue
-            out = invert(word, chain)
-            if out is not None and plausible(out, lang):
-                # of several strict ways back, the one whose outcome is most like clean words
-                back = _buckets(out, lang)
-                total = score / len(at) + (0.0 if clean is None else float(clean[back].mean()))
-                best = max(best, (total, label_of(chain), out))
-        return best[1], best[2]
-
     def __call__(self, word: str, lang: str | None) -> tuple[str | None, str | None]:
-        """(chains, original): ('', None) for a clean word; original is null where it is lost."""
+        """(chains, original): ('', None) for a clean word; original is null where it is lost.
+
+        The chains more likely than clean are taken in order of their likelihood; the
+        first that leads strictly back to a word of the language is the prediction. A
+        word for which there is none is lost if that label is likelier than clean and
+        the word holds what no text has: replacement or control characters."""
         key = (lang, word)
         if key not in self.seen:
             if len(self.seen) > 200_000:
                 self.seen.clear()
-            chain, original = self.once(word, lang)
-            if chain:
-                self.seen[key] = (chain, original)
-            elif _CONTROL.search(unicodedata.normalize("NFC", word)):
-                self.seen[key] = ("lost", None)
-            else:
-                self.seen[key] = ("", None)
+            self.seen[key] = self._predict(word, lang)
         return self.seen[key]
 
+    def _predict(self, word: str, lang: str | None) -> tuple[str, str | None]:
+        at = _buckets(word, lang)
+        score = {label: float(w[at].sum()) for label, w in self.weights.items()}
+        bar = score.get(CLEAN, -np.inf)
+        likely = [c for c in _labels(lang) if score.get(label_of(c), -np.inf) > bar]
+        for chain in sorted(likely, key=lambda c: -score[label_of(c)]):
+            out = invert(word, chain)
+            if out is not None and plausible(out, lang):
+                return label_of(chain), out
+        if score.get(GONE, np.inf) > bar and _CONTROL.search(unicodedata.normalize("NFC", word)):
+            return GONE, None
+        return "", None
+
     def _units(self, text: str, at: int, lang: str | None) -> Iterator[tuple[str, int, str]]:
         """(chain, end, original character): the damaged characters that may begin here."""
         key = (lang, text[at : at + 2])
@@ -346,13 +357,28 @@ class Classifier:
         for text, chain, back in self.stretches(run, lang):
             if chain:
                 damaged, restored = damaged + 1, restored + 1
-            elif _CONTROL.search(unicodedata.normalize("NFC", text)):
+            elif self(text, lang)[0] == GONE:
                 damaged += 1
             parts.append(text if back is None else back)
         return "".join(parts), damaged, restored
 
 
 
+def guesses(lost: DataFrame, words: DataFrame) -> DataFrame:
+    """(lang, token, guess) of the lost tokens that agree with exactly one clean word of
+    their language in all characters but those beyond ASCII."""
+    blurred = F.regexp_replace("word", NON_ASCII, LOST)
+    return (
+        words.where(~F.col("word").contains(LOST))
+        .select("lang", "word", blurred.alias("token"))
+        .join(lost, ["lang", "token"], "left_semi")
+        .groupBy("lang", "token")
+        .agg(F.max("word").alias("guess"), F.count("*").alias("n"))
+        .where(F.col("n") == 1)
+        .drop("n")
+    )
+
+
 def words_of(corpus: DataFrame) -> DataFrame:
     return corpus.where(F.col("token").rlike(NON_ASCII)).select("lang", F.col("token").alias("word")).distinct()
 
@@ -362,10 +388,10 @@ def damaged_tokens(corpus: DataFrame, model: Classifier | None = None) -> DataFr
 
     Method: a multinomial classifier on hashed bigrams of the UTF-8 bytes, fitted on all
     distinct clean words of the corpus and on the same words garbled along each known
-    chain of encodings, predicts the chain (one wrong decoding or two); the chain is
-    inverted, every step strictly, and the outcome must be written in the language's
-    script, else the next likely chain is tried. Tokens with the
-    replacement character or control characters that no chain explains are 'lost'; for
+    chain of encodings or with bytes lost, predicts the chain (one wrong decoding or
+    two); the chain is inverted, every step strictly, and the outcome must be written in
+    the language's script, else the next likely chain is tried. Tokens predicted as
+    'lost' hold the replacement character or control characters; for
     those the one clean word of the same language that agrees in all other characters is
     taken where there is exactly one (how = 'vocabulary').
 
@@ -385,20 +411,9 @@ def damaged_tokens(corpus: DataFrame, model: Classifier | None = None) -> DataFr
             yield out.append_column("original", pa.array([o for _, o in marks], pa.string())).filter(hit)
 
     found = materialize(rows.mapInArrow(mark, schema).distinct(), "encoding-found")
-    lost = found.where(F.col("chain") == "lost").select("lang", "token").distinct()
-    blurred = F.regexp_replace("word", NON_ASCII, LOST)
-    vocabulary = (
-        words_of(corpus)
-        .join(lost.select("lang").distinct(), "lang", "left_semi")
-        .where(~F.col("word").contains(LOST))
-        .join(found.select("lang", F.col("token").alias("word")).distinct(), ["lang", "word"], "left_anti")
-        .select("lang", "word", blurred.alias("token"))
-        .join(lost, ["lang", "token"], "left_semi")
-        .groupBy("lang", "token")
-        .agg(F.max("word").alias("guess"), F.count("*").alias("n"))
-        .where(F.col("n") == 1)
-        .drop("n")
-    )
+    lost = found.where(F.col("chain") == GONE).select("lang", "token").distinct()
+    damaged = found.select("lang", F.col("token").alias("word")).distinct()
+    vocabulary = guesses(lost, words_of(corpus).join(lost.select("lang").distinct(), "lang", "left_semi").join(damaged, ["lang", "word"], "left_anti"))
     joined = found.join(vocabulary, ["lang", "token"], "left")
     original = F.coalesce("original", "guess")
     return joined.select(
@@ -420,27 +435,62 @@ def repaired_documents(documents: DataFrame, corpus: DataFrame) -> DataFrame:
     (stretches), text. Words are cut at ASCII white space only (a no-break space may be
     part of the damage). A word that no chain fits as a whole, as in scripts without
     spaces, is cut into its clean and damaged stretches, and each of these is restored by
-    itself. The model is fitted on the corpus. Texts without damage, null and blank
-    texts give no row; a language that is null or unknown is treated as Latin-written."""
-    model = Classifier(fit(words_of(corpus)))
+    itself. Words with lost characters are restored like tokens are: by the one clean
+    word of the corpus, of the same language, that agrees in all other characters.
+
+    The model is fitted on the corpus. Texts without damage, null and blank texts give no
+    row; a language that is null or unknown is treated as Latin-written."""
+    words = materialize(words_of(corpus), "encoding-words")
+    model = Classifier(fit(words))
     rows = documents.where(F.col("text").rlike(NON_ASCII)).select("doc_id", "lang", "text")
 
     def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {"doc_id": [], "n_damaged": [], "n_restored": [], "text": []}
+            out = {k: [] for k in ("doc_id", "lang", "n_damaged", "n_restored", "parts", "lost")}
             for doc, lang, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "text"))):
                 code = code_of(lang)
-                parts, damaged, restored = regex.split(r"([ \t\r\n]+)", text), 0, 0
-                for i in range(0, len(parts), 2):
-                    if not parts[i].isascii():
-                        parts[i], bad, good = model.mend(parts[i], code)
+                parts, damaged, restored, lost = regex.split(r"([ \t\r\n]+)", text), 0, 0, []
+                # white space and clean words go together, words with lost characters stand alone
+                joined = [""]
+                for part in parts:
+                    if not part.isascii():
+                        part, bad, good = model.mend(part, code)
                         damaged, restored = damaged + bad, restored + good
+                        if LOST in part:
+                            core = part.strip(_TAIL + "“”„«»‘’‹›")
+                            left, right = part.split(core, 1) if core else (part, "")
+                            joined[-1] += left
+                            lost.append(core)
+                            joined += [core, right]
+                            continue
+                    joined[-1] += part
                 if damaged:
-                    for k, v in zip(out, (doc, damaged, restored, "".join(parts))):
+                    for k, v in zip(out, (doc, code, damaged, restored, joined, sorted(set(lost)))):
                         out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["n_damaged"], pa.int64()), pa.array(out["n_restored"], pa.int64()), pa.array(out["text"], pa.string())], list(out))
+            types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in zip(out, types)], list(out))
+
+    schema = "doc_id bigint, lang string, n_damaged bigint, n_restored bigint, parts array<string>, lost array<string>"
+    mended = materialize(rows.mapInArrow(mend, schema).withColumn("_row", F.monotonically_increasing_id()), "encoding-documents")
+    lost = mended.select("_row", "lang", F.explode("lost").alias("token"))
 
-    return rows.mapInArrow(mend, "doc_id bigint, n_damaged bigint, n_restored bigint, text string")
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([model(w, g)[0] == "" for w, g in zip(batch.column("word").to_pylist(), batch.column("lang").to_pylist())], pa.bool_()))
+
+    known = words.join(lost.select("lang").distinct(), "lang", "left_semi").mapInArrow(clean, words.schema)
+    found = lost.join(guesses(lost.select("lang", "token").distinct(), known), ["lang", "token"])
+    by_row = found.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("token", "guess"))).alias("_guess"))
+    # every second part is a word with lost characters
+    said = F.transform("parts", lambda part, i: F.when(i % 2 == 1, F.coalesce(F.try_element_at("_guess", part), part)).otherwise(part))
+    guessed = F.size(F.filter("parts", lambda part, i: (i % 2 == 1) & F.try_element_at("_guess", part).isNotNull()))
+    none = F.col("_guess").isNull()
+    return mended.join(by_row, "_row", "left").select(
+        "doc_id",
+        "n_damaged",
+        F.when(none, F.col("n_restored")).otherwise(F.col("n_restored") + guessed).alias("n_restored"),
+        F.array_join(F.when(none, F.col("parts")).otherwise(said), "").alias("text"),
+    )
 
 
 def mend_word(word: str, lang: str | None) -> str:
