@@ -199,7 +199,7 @@ def fit(words: DataFrame) -> dict[str, np.ndarray]:
     many tasks as the session shuffles to. The model's size is fixed: BUCKETS + 1 numbers for
     each of the labels, whatever the corpus."""
     spread = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = words.repartition(spread, "lang", "word").mapInArrow(_count, MODEL).groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect()
+    rows = words.repartition(spread, "word").mapInArrow(_count, MODEL).groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect()
     counts: dict[str, np.ndarray] = {}
     for r in rows:
         counts.setdefault(r["label"], np.zeros(BUCKETS + 1))[r["bucket"]] = r["n"]
