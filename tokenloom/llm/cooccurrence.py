@@ -13,57 +13,73 @@ from pyspark.sql import functions as F
 from tokenloom.plans.dense import dense_number
 from tokenloom.session import materialize
 
-#: Items of a record that one row of pair work pairs with all later items.
+#: Items of a record that one row of pair work pairs with each other or with as many others.
 SLICE = 1024
 #: Pair codes in one sorted run of a map task.
 RUN = 2_000_000
 
 
-def _runs(slice_size: int):
-    """Packed codes (low id << 32 | high id) of all pairs, as sorted run-length-coded runs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            codes, counts = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts.astype(np.int64))], ["code", "n"])
-
-        for batch in batches:
-            lists, firsts = batch.column("items"), batch.column("first").to_numpy(zero_copy_only=False)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            offsets = np.concatenate([[0], np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)))])
-            lengths = np.diff(offsets)
-            # records of equal length make one rectangular numpy step
-            whole = (firsts == 0) & (lengths <= slice_size)
-            for length in np.unique(lengths[whole]):
-                if length < 2:
-                    continue
-                rows = np.flatnonzero(whole & (lengths == length))
-                step = max(1, RUN // int(length * (length - 1) // 2))
-                left, right = np.triu_indices(int(length), 1)
-                for at in range(0, len(rows), step):
-                    block = flat[offsets[rows[at : at + step], None] + np.arange(length)]
-                    block.sort(axis=1)
-                    codes = ((block[:, left] << 32) | block[:, right]).ravel()
-                    held.append(codes)
-                    size += len(codes)
-                    if size >= RUN:
-                        yield flush()
-                        held, size = [], 0
-            for row in np.flatnonzero(~whole):
-                items = np.sort(flat[offsets[row] : offsets[row + 1]])
-                for i in range(int(firsts[row]), min(int(firsts[row]) + slice_size, len(items))):
-                    held.append((items[i] << 32) | items[i + 1 :])
-                    size += len(items) - i - 1
-                    if size >= RUN:
-                        yield flush()
-                        held, size = [], 0
-        if size:
-            yield flush()
-
-    return run
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed codes (low id << 32 | high id) as sorted run-length-coded runs: of all pairs
+    in items, or where others is not null of each in items with each in others."""
+    held: list[np.ndarray] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        codes, counts = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts.astype(np.int64))], ["code", "n"])
+
+    def parts(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        lists, others = batch.column("items"), batch.column("others")
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        offsets = np.concatenate([[0], np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)))])
+        lengths = np.diff(offsets)
+        single = np.asarray(others.is_null())
+        # records of equal length make one rectangular numpy step
+        for length in np.unique(lengths[single]):
+            if length < 2:
+                continue
+            rows = np.flatnonzero(single & (lengths == length))
+            step = max(1, RUN // int(length * (length - 1) // 2))
+            left, right = np.triu_indices(int(length), 1)
+            for at in range(0, len(rows), step):
+                block = flat[offsets[rows[at : at + step], None] + np.arange(length)]
+                block.sort(axis=1)
+                yield ((block[:, left] << 32) | block[:, right]).ravel()
+        for row in np.flatnonzero(~single):
+            a = flat[offsets[row] : offsets[row + 1], None]
+            b = others[int(row)].values.to_numpy().astype(np.int64)[None, :]
+            yield ((np.minimum(a, b) << 32) | np.maximum(a, b)).ravel()
+
+    for batch in batches:
+        for codes in parts(batch):
+            held.append(codes)
+            size += len(codes)
+            if size >= RUN:
+                yield flush()
+                held, size = [], 0
+    if size:
+        yield flush()
+
+
+def _chunked(rows: DataFrame, keys: list[str], slice_size: int) -> DataFrame:
+    """items, others: the records of more than slice_size items, cut into chunks of about
+    slice_size; each chunk once alone and once with every other chunk of its record. No
+    row holds more than two chunks, whatever the record."""
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > slice_size)
+    chunks = (
+        rows.join(sizes, keys)
+        .withColumn("_k", F.ceil(F.col("_n") / slice_size).cast("int"))
+        .withColumn("_c", F.pmod(F.xxhash64("item_id"), F.col("_k")).cast("int"))
+        .groupBy(*keys, "_k", "_c")
+        .agg(F.sort_array(F.collect_list("item_id")).alias("items"))
+    )
+    met = chunks.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).select(
+        *keys, F.least("_c", "_o").alias("_low"), F.greatest("_c", "_o").alias("_high"), "items"
+    )
+    return met.groupBy(*keys, "_low", "_high").agg(F.collect_list("items").alias("_met")).where((F.size("_met") > 1) | (F.col("_low") == F.col("_high"))).select(
+        F.col("_met")[0].alias("items"), F.try_element_at("_met", F.lit(2)).alias("others")
+    )
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,26 +127,27 @@ def pair_counts(
     pairing that no selected pair can hold: n_ab <= min(n_a, n_b), so an item with fewer
     than min_count records, or with n_a*min_lift > N, is in none. Results are whole.
 
-    Skew: records are gathered only as distinct item ids, bounded by the vocabulary; a
-    record of more than slice_size items is paired in slices by several tasks. An empty table
-    gives an empty result."""
+    Skew: a record is gathered as distinct item ids, and only if it has at most
+    slice_size of them; a larger one is cut into chunks that are paired chunk with chunk
+    by as many tasks as there are such pairs. An empty table gives an empty result."""
     name = "_item"
     clean = reduce(lambda d, k: d.where(F.col(k).isNotNull()), keys, rows).where(F.col(item).isNotNull())
     held = materialize(clean.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(item).alias(name)).distinct(), "pairs-rows")
     ks = [f"_k{i}" for i in range(len(keys))]
-    n_records = held.select(*ks).distinct().count()
+    each = held.groupBy(*ks).agg(F.count("*").alias("_n")).agg(F.count("*").alias("records"), F.max("_n").alias("largest")).first()
+    n_records, largest = each["records"], each["largest"] or 0
     counts = held.groupBy(name).agg(F.count("*").alias("n_item"))
     counts = counts.where((F.col("n_item") >= min_count) & (F.col("n_item") * min_lift <= F.lit(n_records)))
     terms = materialize(dense_number(counts, [name], "item_id", label="pairs-order"), "pairs-items")
-    sized = held.join(terms.select(name, "item_id"), name)
-    records = sized.groupBy(*ks).agg(F.sort_array(F.collect_list("item_id")).alias("items")).where(F.size("items") > 1)
-    sliced = records.select(
-        "items",
-        F.explode(
-            F.when(F.size("items") <= slice_size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.size("items") - 2, F.lit(slice_size)))
-        ).alias("first"),
-    )
-    runs = sliced.mapInArrow(_runs(slice_size), "code bigint, n bigint")
+    sized = held.join(terms.select(name, "item_id"), name).drop(name)
+    records = sized.groupBy(*ks).agg(F.collect_list("item_id").alias("items")).where(F.size("items") > 1)
+    if largest > slice_size:
+        large = sized.groupBy(*ks).agg(F.count("*").alias("_n")).where(F.col("_n") > slice_size).select(*ks)
+        records = sized.join(large, ks, "left_anti").groupBy(*ks).agg(F.collect_list("item_id").alias("items")).where(F.size("items") > 1)
+    work = records.select("items", F.lit(None).cast("array<bigint>").alias("others"))
+    if largest > slice_size:
+        work = work.unionByName(_chunked(sized, ks, slice_size))
+    runs = work.mapInArrow(_runs, "code bigint, n bigint")
     merged = runs.repartition("code").sortWithinPartitions("code").mapInArrow(_merge, "code bigint, n bigint")
     pairs = merged.where(F.col("n") >= min_count).select(
         F.shiftright("code", 32).alias("id_a"), F.col("code").bitwiseAND(0xFFFFFFFF).alias("id_b"), F.col("n").alias("n_ab")
