@@ -5,12 +5,13 @@ from __future__ import annotations
 import heapq
 from bisect import insort
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm.splitting import hard_pieces
-from tokenloom.llm.tokens import VOCABULARY, n_tokens
+from tokenloom.llm.tokens import n_tokens, ship_vocabulary
 from tokenloom.session import materialize
 
 #: Items that are packed together; containers never mix two such groups.
@@ -60,16 +61,58 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
     return windows
 
 
+def repair(windows: list[list[int]], sizes: list[int], capacity: int) -> bool:
+    """Move items out of windows that exceed the capacity, or exchange them for smaller
+    ones, as long as the total excess falls. Tells whether none is left; changes windows."""
+    size = np.array([*sizes, *[0] * len(windows)], dtype=np.int64)
+    home = np.empty(len(size), dtype=np.int64)  # one item of size 0 in each window: a plain move
+    for w, items in enumerate(windows):
+        home[items] = w
+        home[len(sizes) + w] = w
+    used = np.bincount(home, size, len(windows)).astype(np.int64)
+    while (excess := used.max(initial=0) - capacity) > 0:
+        w = int(used.argmax())
+        room = capacity - used[home]
+        best = (0, 0, 0, 0)
+        for x in np.flatnonzero((home == w) & (size > 0)):
+            moved = size[x] - size
+            gain = np.minimum(moved, excess) - np.maximum(0, moved - room) + np.maximum(0, -room)
+            gain[(home == w) | (moved <= 0)] = 0
+            top = gain.max()
+            if top > 0:
+                # of equal gains the exchange that leaves the least room behind
+                y = int(np.flatnonzero(gain == top)[np.argmin((room - moved)[gain == top])])
+                best = max(best, (int(top), -int(room[y] - moved[y]), int(x), y))
+        if best[0] == 0:
+            return False
+        x, y = best[2:]
+        other = int(home[y])
+        used[w] -= size[x] - size[y]
+        used[other] += size[x] - size[y]
+        home[x] = other
+        if y < len(sizes):
+            home[y] = w
+    for items in windows:
+        items.clear()
+    for i, w in enumerate(home[: len(sizes)].tolist()):
+        windows[w].append(i)
+    return True
+
+
 def pack(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Windows of at most capacity; their number rises while differencing exceeds it."""
+    """Windows of at most capacity; their number rises while the windows of differencing
+    exceed it and moving items does not help. An item above the capacity stands alone."""
+    alone = [[i] for i, s in enumerate(sizes) if s > capacity]
+    if alone:
+        rest = [i for i, s in enumerate(sizes) if s <= capacity]
+        return [*([rest[i] for i in w] for w in pack([sizes[i] for i in rest], capacity)), *alone]
     if not sizes:
         return []
-    if max(sizes) > capacity:
-        raise ValueError("an item exceeds the capacity")
 
     def fits(k: int) -> list[list[int]] | None:
         windows = difference(sizes, k)
-        return windows if all(sum(sizes[i] for i in w) <= capacity for w in windows) else None
+        windows += [[] for _ in range(k - len(windows))]
+        return [w for w in windows if w] if repair(windows, sizes, capacity) else None
 
     low = max(1, -(-sum(sizes) // capacity)) - 1
     step, k = 1, low + 1
@@ -89,16 +132,19 @@ def pack_documents(
     documents: DataFrame,
     size_limits: DataFrame,
     *,
-    vocabulary: str = VOCABULARY,
+    vocabulary: str,
     group: int = GROUP,
 ) -> DataFrame:
     """Group texts into containers of the capacities of size_limits (purpose 'pack').
 
     Method: Karmarkar-Karp multiway differencing inside even groups of about `group`
     items, chosen by a hash of the item, so that no task holds more; a group's window
-    count starts at its total size over the capacity and rises while a window exceeds
-    it. The only loss against one global packing is the last, part-filled share of a
-    window in each group.
+    count starts at its total size over the capacity; windows that exceed it give items
+    away or exchange them, and the count rises where that does not help. Against one
+    packing of all items each group loses at least the unfilled share of its last window.
+
+    vocabulary: rank file of the public tokenizer, readable on the driver; it is shipped
+    to the executors.
 
     Columns: limit_name, capacity, container (string, unique), doc_id, piece (0 for a
     whole text), n_tokens. A text above the capacity, and only such, is divided into
@@ -112,6 +158,7 @@ def pack_documents(
     ]
     schema = "limit_name string, capacity int, container string, doc_id bigint, piece int, n_tokens bigint"
     spark = documents.sparkSession
+    ship_vocabulary(spark, vocabulary)
     if not limits:
         return spark.createDataFrame([], schema)
     smallest = min(c for _, c in limits)

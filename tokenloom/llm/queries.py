@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from tokenloom.llm import contamination, cooccurrence, encoding, frequency, packing, sentences, splitting, subjects
 from tokenloom.session import table
 
+#: Rank file of the public tokenizer in which sizes are counted.
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+
 
 def _p3(spark, d):
     return cooccurrence.sentence_pairs(table(spark, d, "corpus"))
@@ -27,7 +30,7 @@ def _p5(spark, d):
 
 
 def _p7(spark, d):
-    return packing.pack_documents(table(spark, d, "documents"), table(spark, d, "size_limits"))
+    return packing.pack_documents(table(spark, d, "documents"), table(spark, d, "size_limits"), vocabulary=VOCABULARY)
 
 
 def _p8(spark, d, operator):
@@ -35,7 +38,7 @@ def _p8(spark, d, operator):
 
 
 def _p9(spark, d, limit_name=None):
-    return splitting.split_documents(table(spark, d, "documents"), table(spark, d, "size_limits"), limit_name=limit_name)
+    return splitting.split_documents(table(spark, d, "documents"), table(spark, d, "size_limits"), vocabulary=VOCABULARY, limit_name=limit_name)
 
 
 def queries() -> dict:

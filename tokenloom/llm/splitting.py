@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.tokens import VOCABULARY, encoding, token_lengths
+from tokenloom.llm.tokens import encoding, ship_vocabulary, token_lengths
 
 #: Natural boundaries, strongest first: blank line, line end, sentence end, clause mark,
 #: white space. A cut lies after the match. Fixed values.
@@ -70,7 +70,7 @@ class Offsets:
         return int(np.searchsorted(self.char_at, self.ends[i]))
 
 
-def split(text: str, limit: int, overlap: int, vocabulary: str = VOCABULARY, natural: bool = True) -> list[tuple[int, int, int, str]]:
+def split(text: str, limit: int, overlap: int, vocabulary: str, natural: bool = True) -> list[tuple[int, int, int, str]]:
     """(first character, end character, tokens, cut kind) of the pieces; one if it fits.
 
     Every piece has at most limit tokens, counted on the piece itself."""
@@ -152,8 +152,8 @@ def split_documents(
     documents: DataFrame,
     size_limits: DataFrame,
     *,
+    vocabulary: str,
     limit_name: str | None = None,
-    vocabulary: str = VOCABULARY,
 ) -> DataFrame:
     """Pieces of the texts that exceed a limit of size_limits (purpose 'split').
 
@@ -168,13 +168,15 @@ def split_documents(
     exceed the limit (a token has at least one byte), so it is passed over before any
     tokenizing. Columns: limit_name, max_tokens, doc_id, piece (from 1), char_start,
     char_end (in characters), n_tokens, cut, text. Texts within the limit give no row.
-    Null texts give no row; null overlap counts as 0; overlap above half of the limit
+    vocabulary: rank file of the public tokenizer, readable on the driver; it is shipped
+    to the executors. Null texts give no row; null overlap counts as 0; overlap above half of the limit
     is taken as half of it. Limits with null or non-positive max_tokens are ignored."""
     chosen = size_limits.where((F.col("purpose") == "split") & (F.col("max_tokens") > 0))
     if limit_name is not None:
         chosen = chosen.where(F.col("limit_name") == limit_name)
     limits = chosen.select("limit_name", "max_tokens", "overlap_tokens").distinct().collect()
     spark = documents.sparkSession
+    ship_vocabulary(spark, vocabulary)
     out = spark.createDataFrame([], PIECES)
     for r in sorted(limits, key=lambda r: str(r["limit_name"])):
         long = documents.where(F.octet_length("text") > r["max_tokens"]).select("doc_id", "text")
