@@ -91,9 +91,24 @@ def build(rows: DataFrame, label: str = "ids") -> DataFrame:
     return with_ids(rows, ["filename", "sent_id", "_k"], label).drop("_k")
 
 
-def tag_with(documents: DataFrame, tagger, name: str = "filename", text: str = "text") -> DataFrame:
+def guarded(tagger, failures=None):
+    """A tagger that gives nothing where it fails; an accumulator counts how often."""
+
+    def run(text: str) -> list:
+        try:
+            return list(tagger(text))
+        except Exception:  # noqa: BLE001  whatever the injected code raises
+            if failures is not None:
+                failures.add(1)
+            return []
+
+    return run
+
+
+def tag_with(documents: DataFrame, tagger, name: str = "filename", text: str = "text", failures=None) -> DataFrame:
     """TOK3: rows by an injected tagger (text to a list of (token, pos, lemma)), sentence by
-    sentence; a sentence on which the tagger fails is tokenised plainly."""
+    sentence; a sentence on which the tagger fails is tokenised plainly and counted in
+    failures, an accumulator."""
     import re
 
     import pyarrow as pa
@@ -102,11 +117,7 @@ def tag_with(documents: DataFrame, tagger, name: str = "filename", text: str = "
         for batch in batches:
             out: dict[str, list] = {"filename": [], "sent_id": [], "_k": [], "token": [], "pos": [], "lemma": []}
             for file, s, part in zip(*(batch.column(c).to_pylist() for c in ("filename", "_s", "_text"))):
-                try:
-                    made = list(tagger(part))
-                except Exception:  # noqa: BLE001
-                    made = []
-                made = made or [(t, "TAG", t) for t in re.sub(r"([^\w\s])", r" \1 ", part).split()]
+                made = guarded(tagger, failures)(part) or [(t, "TAG", t) for t in re.sub(r"([^\w\s])", r" \1 ", part).split()]
                 for k, (token, pos, lemma) in enumerate(made):
                     for c, v in zip(out, (file, s + 1, k, token, pos, lemma)):
                         out[c].append(v)
