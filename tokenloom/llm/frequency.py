@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokenloom.session import materialize
+
 #: Sentinels that stand for a missing lemma. Fixed values.
 NO_LEMMA = ("##", "###")
 
@@ -35,7 +37,8 @@ def term_frequencies(
     as occurrences but as no document. Empty tables give an empty result. Extra columns
     of either table are ignored."""
     rows = corpus.where(F.col("id").isNotNull()).select("id", "doc_id", F.col("_token_low").alias("token"), F.when(~F.col("lemma").isin(*NO_LEMMA), F.col("lemma")).alias("lemma"))
-    repeated = rows.groupBy("id").agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select("id")
+    # written first, so that the planner knows their size: few are met by broadcast, many by a join behind a bloom filter
+    repeated = materialize(rows.groupBy("id").agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select("id"), "terms-repeated")
     surplus = rows.join(repeated, "id", "left_semi").groupBy("id", "doc_id", "token", "lemma").agg((1 - F.count("*")).alias("w")).where(F.col("w") < 0)
     counted = rows.select("doc_id", "token", "lemma", F.lit(1).cast("bigint").alias("w")).unionByName(surplus.select("doc_id", "token", "lemma", "w"))
     none = F.lit(0).cast("bigint")
