@@ -1,6 +1,7 @@
 """Worked examples: small token tables with known results."""
 
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -223,3 +224,103 @@ def test_repeated_null_and_clashing_rows(spark):
     empty = Corpus(c.tokens.limit(0))
     assert kwic.kwic(empty, "a").count() == 0 and collocation.collocations(empty, "a").count() == 0
     assert distribution.by_attributes(c, "a", ["block"]).collect()[0]["absolute"] == 1
+
+
+def test_neighbours_far_apart(spark, monkeypatch):
+    """Rows left out thickly: chunks whose halo is too short are numbered densely, words
+    whose neighbours are far are looked for further away."""
+    from tokenloom.operators import dictionary
+    from tokenloom.plans import positions
+
+    monkeypatch.setattr(positions, "CHUNK", 8)
+    monkeypatch.setattr(positions, "HALO", 3)
+    words = ["x" if i % 7 == 0 else "," for i in range(200)]
+    for k, w in ((63, "lamp"), (70, "a"), (77, "b"), (56, "c"), (49, "d"), (196, "lamp")):
+        words[k] = w
+    c = table(spark, words)
+    kept = [w for w in words if w != ","]
+    got = {r["ngram"]: r["frequency"] for r in ngram.ngrams(c, 3, skip_punctuation=True).collect()}
+    assert got == dict(Counter(" ".join(kept[i : i + 3]) for i in range(len(kept) - 2)))
+    near = {r["id"]: r["_at"] for r in dictionary.nearest(c.tokens.where("_token_low <> ','"), "lamp", 3, reach=2).collect()}
+    first, last = sorted(near)
+    assert near[first] == {0: "lamp", 1: "a", 2: "b", 3: "x", -1: "c", -2: "d", -3: "x"} and set(near[last]) == {0, -1, -2, -3}
+    assert dictionary.nearest(c.tokens, "nowhere", 3).count() == 0
+
+
+def test_many_hits_and_few_give_the_same(spark, monkeypatch):
+    from tokenloom.operators import kwic as concordance
+    from tokenloom.plans import positions
+
+    c = table(spark, ["a", "b", "c", "a", "d"] * 20)
+    few = sorted(map(tuple, concordance.kwic(c, "a", left=2, right=2, limit=None, metadata=False).collect()))
+    monkeypatch.setattr(positions, "FEW", 3)
+    assert sorted(map(tuple, concordance.kwic(c, "a", left=2, right=2, limit=None, metadata=False).collect())) == few
+
+
+def test_running_sums_and_corrections(spark):
+    from tokenloom.operators import stats
+    from tokenloom.plans.dense import running
+
+    df = spark.createDataFrame([(float(i), i % 5) for i in range(100)], "k double, v int")
+    got = {r["k"]: r["s"] for r in running(df, "k", "v", "s").collect()}
+    assert got == {float(i): float(sum(j % 5 for j in range(i + 1))) for i in range(100)}
+    low = {r["k"]: r["s"] for r in running(df.withColumn("v", F.abs(F.col("k") - 50)), "k", "v", "s", how="min", descending=True).collect()}
+    assert low[99.0] == 49.0 and low[50.0] == 0.0 and low[0.0] == 0.0
+    p = [0.01, 0.02, 0.02, 0.5, 0.9]
+    tested = spark.createDataFrame([(i, x) for i, x in enumerate(p)], "i int, p_value double")
+    adjusted = {r["i"]: r["p_corrected"] for r in stats.adjusted(tested, "bh").collect()}
+    want, least = {}, 1.0
+    for i in reversed(range(5)):
+        least = min(least, p[i] * 5 / (i + 1))
+        want[i] = least
+    want[1] = want[2]
+    assert all(abs(adjusted[i] - want[i]) < 1e-12 for i in range(5))
+    assert running(df.limit(0), "k", "v", "s").count() == 0
+
+
+def test_tail_probabilities():
+    import math
+
+    import numpy as np
+
+    from tokenloom.functions.special import erfc
+
+    z = np.array([0.0, 1e-9, 0.3, 1.0, 1.999, 2.0, 3.0, 5.0, 10.0, 26.0, np.nan])
+    got = erfc(z)
+    assert np.isnan(got[-1]) and all(abs(g - math.erfc(x)) <= 1e-12 * math.erfc(x) for g, x in zip(got[:-1], z[:-1]))
+
+
+def test_unnumbered_rows_and_groups(spark):
+    from tokenloom.operators import features, overview
+
+    c = table(spark, ["a", "b", "c", "d"])
+    texts = overview.sentence_texts(c)
+    assert texts.count() >= 1 and sum(len(r["text"].split()) for r in texts.collect()) == 4
+    with pytest.raises(ValueError):
+        overview.by_attribute(c, "_token_low", max_values=3)
+    m = spark.createDataFrame([(g, f, v) for g, f, v in (("x", "a", 1), ("x", "b", 0), ("y", "a", 3), ("y", "b", 4))], "group string, feature string, freq int")
+    assert [r["distance"] for r in features.distances(m).collect()] == [6.0] and features.distances(m, metric="euclidean").first()["distance"] == pytest.approx(20**0.5)
+    with pytest.raises(ValueError):
+        features.distances(m, max_groups=1)
+
+
+def test_shared_folder_is_required_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from tokenloom import session
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077", applicationId="x"))
+    with pytest.raises(RuntimeError):
+        session.shared_dir(cluster)
+
+
+def test_changed_tables_are_loaded_again(spark, tmp_path):
+    from tokenloom.model import Corpus
+
+    path = f"{tmp_path}/corpus.parquet"
+    table(spark, ["a", "b"]).tokens.write.parquet(path)
+    first = Corpus.load(spark, path)
+    assert Corpus.load(spark, path) is first and first.size == 2
+    table(spark, ["a", "b", "c"]).tokens.write.mode("overwrite").parquet(path)
+    assert Corpus.load(spark, path).size == 3

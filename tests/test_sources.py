@@ -76,6 +76,57 @@ def test_structure_and_language(spark):
     assert xml.language(INLINE) == "en" and xml.language("<a/>") is None
 
 
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [
+        (None, ""), ("", ""), ("<a>x & y &amp z &lt; &#65; &nbsp; &foo;</a>", "<a>x &amp; y &amp; z &lt; &#65; \xa0 &amp;foo;</a>"), ("<?xml version='1.0'?>\n<a>\x00\U0001f600b</a> junk", "<a>b</a>"),
+        ("<a>1</a><b>2</b>", "<root><a>1</a><b>2</b></root>"), ("text <a/>", "<root>text <a/></root>"), ("<a>\n<\tSYM\t<\n<s>\tx</s>\n</a>", "<a>\n&lt;\tSYM\t&lt;\n<s>\tx</s>\n</a>"),
+        ("<a><b/><!-- </a> --></a>tail", "<a><b/><!-- </a> --></a>"), ("<a><b>", "<a><b>"), ("plain", "<root>plain</root>"),
+    ],
+)
+def test_mended_xml(given, want):
+    assert xml.sanitise(given) == want
+
+
+def test_vertical_rules():
+    assert xml.is_vertical(["a\tb"] * 7 + ["x y z w"] * 3) and not xml.is_vertical(["a\tb"] * 6 + ["x"] * 4)
+    assert xml.is_vertical(["a"] * 9 + ["one two three four"], "short") and not xml.is_vertical(["a"] * 8 + ["one two three four"] * 2, "short")
+
+
+def test_taggers_failures_are_counted(spark):
+    failed = spark.sparkContext.accumulator(0)
+
+    def tagger(text):
+        if "bad" in text:
+            raise RuntimeError
+        return [(w, "T", w) for w in text.split()]
+
+    rows = xml.read_xml(docs(spark, "<s>good one</s>", "<s>bad one</s>"), tagger=tagger, failures=failed).collect()
+    assert {r["filename"]: r["pos"] for r in rows} == {"f0": "T", "f1": "##TAG"} and failed.value == 1
+
+
+def test_parallel_xml(spark):
+    a, b = '<text><s n="1">One two</s><s n="2">Three</s></text>', '<text><s n="1">Eins zwei</s><s n="2">Drei</s></text>'
+    tokens, targets = side.parallel_xml(spark, a, b)
+    assert [r["token"] for r in tokens.orderBy("id").collect()] == ["One", "two", "Three"] and {r["sent_id"]: r["text"] for r in targets.collect()} == {1: "Eins zwei", 2: "Drei"}
+    with pytest.raises(ValueError):
+        side.parallel_xml(spark, a, '<text><s n="1">Eins</s></text>')
+
+
+def test_exports(spark, tmp_path):
+    import zipfile
+
+    df = spark.createDataFrame([(1, "a & <b>", None), (2, 'q"\x01,x', 1.5)], "n int, t string, v double")
+    for fmt in ("csv", "parquet", "xlsx", "zip"):
+        side.export(df.orderBy("n"), f"{tmp_path}/out.{fmt}", fmt)
+        side.export(df.limit(0), f"{tmp_path}/none.{fmt}", fmt)
+        assert not (tmp_path / f"none.{fmt}").exists()
+    assert side.xlsx_rows(f"{tmp_path}/out.xlsx") == [["n", "t", "v"], ["1", "a & <b>", None], ["2", 'q",x', "1.5"]]
+    assert side.read_table(spark, f"{tmp_path}/out.xlsx", header=True).count() == 2 and side.read_table(spark, f"{tmp_path}/out.csv", header=True).count() == 2
+    assert zipfile.ZipFile(tmp_path / "out.zip").read("data.csv").decode().splitlines()[1] == "1,a & <b>,"
+    assert spark.read.parquet(f"{tmp_path}/out.parquet").count() == 2
+
+
 def test_very_deep_xml(spark):
     body = "<text><s>" + "<q>" * 3000 + "x" + "</q>" * 3000 + "</s></text>"
     assert [r["token"] for r in xml.read_xml(docs(spark, body)).collect()] == ["x"]
@@ -226,23 +277,42 @@ def test_plain_language(asked, want):
     assert nl_rules.parse(asked)["query"] == want
 
 
+@pytest.mark.parametrize(
+    ("asked", "want"),
+    [
+        ("a followed by b followed by c", "a b c"), ("x followed by the y and z", "x y z"), ("x followed by an y", "x y"), ("x preceded by y", "y x"), ("x before y", "x y"), ("x after y", "y x"),
+        ("x following y", "y x"), ("x and y", "x y"), ("x preceding y", "x y"), ("noun and verb before adjective", "_VB _JJ"), ("starts with Un and ends with ing", "un* *ing"), ("contains ab", "*ab*"),
+        ("Any word after HOUSE", "house *"), ("nouns, verbs", "_NN, _VB"), ("a followed by", "a followed by"), ("", ""), ("look up examples of adverbs", "_RB"), ("[be] followed by _VBN", "[be] _vbn"),
+    ],
+)
+def test_plain_language_order(asked, want):
+    assert nl_rules.parse(asked)["query"] == want
+
+
 def test_plain_language_definitions_and_modules():
     assert nl_rules.parse("adverbs", "ngram", {"RB": "adverb, plain"})["search_term"] == "_RB"
     with pytest.raises(ValueError):
         nl_rules.parse("x", "charts")
 
 
-def test_pronunciation():
-    assert g2p.transcribe("nyanyi") == "ɲa.ɲi" and g2p.transcribe("anak") == "a.naʔ" and g2p.transcribe("empat") == "əm.pat"
-    assert g2p.transcribe("<b>") == "<b>" and g2p.transcribe("besok", divide=False) == "bəsɔʔ"
+def test_pronunciation(spark):
+    want = {"nyanyi": "ɲa.ɲi", "anak": "a.naʔ", "empat": "əm.pat", "<b>": "<b>", "kereta": "kə.rə.ta", "": "", "aia": "a.i.a", "bak-bak": "baʔ-baʔ", "panti": "pan.ti"}
+    df = spark.createDataFrame([(w,) for w in want] + [(None,)], "w string").select("w", g2p.ipa(F.col("w")).alias("ipa"), g2p.ipa(F.col("w"), divide=False).alias("plain"))
+    got = {r["w"]: r["ipa"] for r in df.collect()}
+    assert got.pop(None) is None and {k: got[k] for k in ("nyanyi", "anak", "empat", "<b>", "", "panti")} == {k: want[k] for k in ("nyanyi", "anak", "empat", "<b>", "", "panti")}
+    assert spark.createDataFrame([("besok",)], "w string").select(g2p.ipa(F.col("w"), divide=False)).first()[0] == "bəsɔʔ"
 
 
 def test_topics_and_sentiment(spark):
     t = spark.createDataFrame([(1, "The match and the team won the cup."), (2, "Nothing here."), (3, None), (4, "The senate and the vote")], "text_id int, text string")
     assert {r["text_id"]: r["topic"] for r in classify.topics_by_seeds(t).collect()} == {1: "Sport", 2: "General", 3: "General", 4: "Politics"}
-    scorer = classify.LexiconScorer({"good": 2.0, "bad": -2.0})
-    s = spark.createDataFrame([(1, "good day"), (2, "not good"), (3, "day"), (4, None)], "text_id int, text string")
-    assert {r["text_id"]: r["sentiment"] for r in classify.sentiment(s, scorer).collect()} == {1: "Positive", 2: "Negative", 3: "Neutral", 4: "Neutral"}
+    bounded = classify.topics_by_seeds(t, stop_words=("match", "team", "cup"), max_terms=200)
+    assert {r["text_id"]: r["topic"] for r in bounded.collect()} == {1: "Sport" if "won" in classify.TOPIC_SEEDS["Sport"] else "General", 2: "General", 3: "General", 4: "Politics"}
+    lexicon = spark.createDataFrame([("Good", 3.0), ("good", 1.0), ("bad", -2.0), (None, 1.0), ("day", None)], "word string, valence double")
+    s = spark.createDataFrame([(1, "“good” (Good) day!"), (2, "not a very good"), (3, "day"), (4, None), (5, "no one said it was good"), (6, "")], "text_id int, text string")
+    got = {r["text_id"]: r["sentiment"] for r in classify.sentiment(s, lexicon).collect()}
+    assert got == {1: "Positive", 2: "Negative", 3: "Neutral", 4: "Neutral", 5: "Positive", 6: "Neutral"}
+    assert classify.sentiment(s.limit(0), lexicon).count() == 0
 
 
 def test_streaming_equals_batch(spark, tmp_path):

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,50 +14,28 @@ SPELLINGS = (
     ("ng", "ŋ"), ("ny", "ɲ"), ("sy", "ʃ"), ("kh", "x"),
     ("c", "tʃ"), ("j", "dʒ"), ("y", "j"), ("x", "ks"), ("q", "k"),
 )
-VOWELS = frozenset("aiueoəɛɔ")
-_CONSONANT = "[bcdfghjklmnpqrstvwxyz]"
-
-
-def syllables(word: str) -> str:
-    """Parts divided by dots: between two vowels, before one consonant and a vowel, within
-    two consonants and a vowel."""
-    cuts, i = [], 0
-    while i < len(word):
-        if word[i] in VOWELS:
-            ahead = [c in VOWELS for c in word[i + 1 : i + 4]]
-            if ahead[:1] == [True] or ahead[:2] == [False, True]:
-                cuts.append(i + 1)
-            elif ahead == [False, False, True]:
-                cuts.append(i + 2)
-                i += 1
-        i += 1
-    edges = [0, *cuts, len(word)]
-    return ".".join(word[a:b] for a, b in zip(edges[:-1], edges[1:]) if a < b)
+VOWELS = "aiueoəɛɔ"
+CONSONANTS = "bcdfghjklmnpqrstvwxyz"
 
-
-def transcribe(token: str, e_words: dict[str, str] | None = None, divide: bool = True) -> str:
-    """The word in phonetic letters; markup comes back as it is."""
-    word = token.lower().strip()
-    if re.search(r"[<>{}=\\/]", word):
-        return token
-    listed = (E_WORDS if e_words is None else e_words).get(word)
-    if listed is not None:
-        word = listed
-    else:
-        word = re.sub(rf"^([bmpkst])e(?={_CONSONANT})", r"\1ə", word)
-        word = re.sub("e(?=[rktp])", "ɛ", word).replace("e", "ə")
-    word = re.sub(rf"o(?={_CONSONANT})", "ɔ", word)
-    for spelling, sound in SPELLINGS:
-        word = word.replace(spelling, sound)
-    word = re.sub(r"k\b", "ʔ", word)
-    return syllables(word) if divide else word
+# Where a syllable ends: between two vowels, before one consonant and a vowel, and within
+# two consonants before a vowel.
+_ENDS = rf"([{VOWELS}])(?=[^{VOWELS}]?[{VOWELS}])|([{VOWELS}][^{VOWELS}])(?=[^{VOWELS}][{VOWELS}])"
 
 
-def ipa(token: Column, divide: bool = True) -> Column:
-    """transcribe() as a Column; null for null. Apply it to distinct words."""
+def syllables(word: Column) -> Column:
+    """Syllables divided by dots."""
+    return F.regexp_replace(word, _ENDS, "$1$2.")
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else transcribe(t, None, divide))
 
-    return run(token)
+def ipa(token: Column, divide: bool = True, e_words: dict[str, str] | None = None) -> Column:
+    """A word in phonetic letters, syllables divided by dots; markup comes back as it is,
+    null for null. Spark functions only. Apply it to distinct words."""
+    word = F.lower(F.regexp_replace(token, r"^\s+|\s+$", ""))
+    listed = F.create_map(*[F.lit(x) for pair in (E_WORDS if e_words is None else e_words).items() for x in pair])
+    first = F.regexp_replace(word, rf"^([bmpkst])e(?=[{CONSONANTS}])", "$1ə")
+    vowels = F.replace(F.regexp_replace(first, "e(?=[rktp])", "ɛ"), F.lit("e"), F.lit("ə"))
+    out = F.regexp_replace(F.coalesce(F.try_element_at(listed, word), vowels), rf"o(?=[{CONSONANTS}])", "ɔ")
+    for spelling, sound in SPELLINGS:
+        out = F.replace(out, F.lit(spelling), F.lit(sound))
+    out = F.regexp_replace(out, r"k(?![\p{L}\p{N}_])", "ʔ")
+    return F.when(word.rlike(r"[<>{}=\\/]"), token).otherwise(syllables(out) if divide else out)

@@ -12,7 +12,18 @@ from tokenloom.plans.blocks import distinct_rows
 from tokenloom.plans.restrict import Restrictions, predicate
 from tokenloom.session import materialize
 
-_LOADED: dict[tuple[str, str], Corpus] = {}
+_LOADED: dict[tuple, Corpus] = {}
+
+
+def _state(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files of a path: another table has another state."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target)
+    state = []
+    for f in files or []:
+        inner = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(f.getPath())
+        state += [(g.getPath().toString(), g.getLen(), g.getModificationTime()) for g in inner]
+    return tuple(sorted(state))
 
 
 @dataclass(frozen=True)
@@ -30,14 +41,26 @@ class Corpus:
         return Corpus(rows.withColumn("_token_low", F.coalesce("_token_low", F.lower("token"))))
 
     def where(self, restrictions: Restrictions | None) -> Corpus:
-        return self if not restrictions else replace(self, tokens=self.tokens.where(predicate(restrictions)))
+        """The part that fits the restrictions; the same handle each time, so that what is
+        known of it (its size) is counted once."""
+        if not restrictions:
+            return self
+        key = repr(sorted(restrictions.items()))
+        if key not in self._parts:
+            self._parts[key] = replace(self, tokens=self.tokens.where(predicate(restrictions)))
+        return self._parts[key]
+
+    @cached_property
+    def _parts(self) -> dict[str, Corpus]:
+        return {}
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Corpus:
         """The corpus of a stored token table, loaded once a session as the first step of
         any analysis: cleaned like of(), written to the shared folder in id order, so that
-        later queries read only their columns and rows. Loading again gives the same handle."""
-        key = (spark.sparkContext.applicationId, path)
+        later queries read only their columns and rows. Loading again gives the same handle,
+        unless the files at the path have changed."""
+        key = (spark.sparkContext.applicationId, path, _state(spark, path))
         if key not in _LOADED:
             rows = Corpus.of(spark.read.parquet(path)).tokens
             _LOADED[key] = Corpus(materialize(rows.repartitionByRange("id").sortWithinPartitions("id"), "corpus"))

@@ -27,11 +27,14 @@ def write_annotations(annotations: DataFrame, *, key: str, corpus_path: str, cor
     return json.dumps({"key": key, "corpus_path": corpus_path, "corpus_name": corpus_name, "search_term": search_term, "annotations": found}, ensure_ascii=False)
 
 
-def persist_annotations(tokens: DataFrame, annotations: DataFrame) -> DataFrame:
+def persist_annotations(tokens: DataFrame, annotations: DataFrame, max_columns: int = 500) -> DataFrame:
     """SNK5: tokens with a string column per attribute; the last value written of an id and
-    attribute wins, what is not annotated keeps its old value."""
+    attribute wins, what is not annotated keeps its old value. More than max_columns
+    attributes are refused with ValueError."""
     last = annotations.withColumn("_r", F.row_number().over(Window.partitionBy("id", "attribute").orderBy(F.desc("n")))).where(F.col("_r") == 1)
-    attributes = sorted(r["attribute"] for r in last.select("attribute").distinct().collect())
+    attributes = sorted(r["attribute"] for r in last.select("attribute").distinct().limit(max_columns + 1).collect())
+    if len(attributes) > max_columns:
+        raise ValueError(f"more than {max_columns} attributes")
     wide = last.groupBy("id").pivot("attribute", attributes).agg(F.first("value")) if attributes else last.select("id").distinct()
     renamed = wide.select("id", *[F.col(a).alias(f"_new_{a}") for a in attributes])
     out = tokens.join(renamed, "id", "left")

@@ -2,37 +2,64 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Seed words of the topics. Fixed values.
 TOPIC_SEEDS = {
-    "Sport": "match game score player team tournament league cup football basketball tennis golf win lose champion stadium goal coach athlete medal olympic",
-    "Religion": "god church pray faith belief holy bible quran mosque temple divine soul spirit worship sacred priest monk prophet religion religious spiritual",
-    "Science": "study research data experiment theory method analysis result scientist laboratory physics chemistry biology observation evidence hypothesis technology scientific journal",
-    "Politics": "government policy law election vote party minister president parliament senate campaign candidate democracy political state republic tax regulation diplomacy",
-    "Economy": "market price money business company trade finance cost profit loss bank stock investment growth economic industry supply demand inflation currency revenue",
-    "Technology": "computer software internet device system app mobile digital code algorithm network server user interface hardware processor ai robot tech online",
+    "Sport": [
+        "match", "game", "score", "player", "team", "tournament", "league", "cup", "football", "basketball", "tennis",
+        "golf", "win", "lose", "champion", "stadium", "goal", "coach", "athlete", "medal", "olympic",
+    ],
+    "Religion": [
+        "god", "church", "pray", "faith", "belief", "holy", "bible", "quran", "mosque", "temple", "divine", "soul",
+        "spirit", "worship", "sacred", "priest", "monk", "prophet", "religion", "religious", "spiritual",
+    ],
+    "Science": [
+        "study", "research", "data", "experiment", "theory", "method", "analysis", "result", "scientist",
+        "laboratory", "physics", "chemistry", "biology", "observation", "evidence", "hypothesis", "technology",
+        "scientific", "journal",
+    ],
+    "Politics": [
+        "government", "policy", "law", "election", "vote", "party", "minister", "president", "parliament", "senate",
+        "campaign", "candidate", "democracy", "political", "state", "republic", "tax", "regulation", "diplomacy",
+    ],
+    "Economy": [
+        "market", "price", "money", "business", "company", "trade", "finance", "cost", "profit", "loss", "bank",
+        "stock", "investment", "growth", "economic", "industry", "supply", "demand", "inflation", "currency",
+        "revenue",
+    ],
+    "Technology": [
+        "computer", "software", "internet", "device", "system", "app", "mobile", "digital", "code", "algorithm",
+        "network", "server", "user", "interface", "hardware", "processor", "ai", "robot", "tech", "online",
+    ],
 }
+#: Words that turn the valence of a word after them, and how far before it they are
+#: looked for; weight of a turned valence; constant of the normal form. Fixed values.
+NEGATIONS = ("not", "no", "never", "without", "cannot")
+NEGATION_SPAN, TURNED, ALPHA = 3, -0.74, 15.0
 GENERAL = "General"
 
 
-def topics_by_seeds(texts: DataFrame, key: str = "text_id", text: str = "text") -> DataFrame:
+def topics_by_seeds(texts: DataFrame, key: str = "text_id", text: str = "text", *, stop_words: tuple[str, ...] = (), max_terms: int | None = None) -> DataFrame:
     """CLS2: key, topic, score: the topic whose seed list is most similar by tf-idf cosine,
     'General' where no seed word occurs.
 
-    The inverse frequencies are counted over all texts and the six seed lists (not over a
-    sample), so no vocabulary has to be held: only seed words bear on the products, and
-    the norms need each text's own words alone. Ties go to the first topic by name. Null
-    texts are General."""
+    The inverse frequencies are counted over all texts and the six seed lists, not over a
+    sample. stop_words are no terms; max_terms keeps the commonest terms only (ties by
+    the word), as a bounded vocabulary does; without it every word counts. Ties go to
+    the first topic by name. Null texts are General."""
     spark = texts.sparkSession
-    seeds = [(t, w) for t, words in TOPIC_SEEDS.items() for w in words.split()]
+    seeds = [(t, w) for t, words in TOPIC_SEEDS.items() for w in words if w not in stop_words]
     seed = spark.createDataFrame(seeds, "topic string, word string")
     docs = texts.select(key, F.explode(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))).alias("word"))
+    if stop_words:
+        docs = docs.where(~F.col("word").isin(*stop_words))
     counts = docs.groupBy(key, "word").agg(F.count("*").alias("tf"))
+    if max_terms is not None:
+        used = counts.select("word", "tf").unionByName(seed.select("word", F.lit(1).cast("bigint").alias("tf"))).groupBy("word").agg(F.sum("tf").alias("n"))
+        terms = used.orderBy(F.desc("n"), "word").limit(max_terms).select("word")
+        counts, seed = counts.join(terms, "word", "left_semi"), seed.join(terms, "word", "left_semi")
     n = texts.count() + len(TOPIC_SEEDS)
     frequency = counts.select("word").unionByName(seed.select("word")).groupBy("word").agg(F.count("*").alias("df"))
     idf = frequency.select("word", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf"))
@@ -48,36 +75,26 @@ def topics_by_seeds(texts: DataFrame, key: str = "text_id", text: str = "text")
     return joined.select(key, F.coalesce(F.col("_b.topic"), F.lit(GENERAL)).alias("topic"), F.coalesce(-F.col("_b.s"), F.lit(0.0)).alias("score"))
 
 
-def sentiment(texts: DataFrame, score: Callable[[str], float], key: str = "text_id", text: str = "text") -> DataFrame:
-    """CLS1: key, compound, sentiment with an injected scorer (text to -1..1): Positive from
-    0.05, Negative from -0.05 down, else Neutral. Null texts are Neutral."""
-
-    @F.pandas_udf("double")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: 0.0 if t is None else float(score(t)))
-
-    scored = texts.select(key, run(F.col(text)).alias("compound"))
+def sentiment(texts: DataFrame, lexicon: DataFrame, key: str = "text_id", text: str = "text") -> DataFrame:
+    """CLS1: key, compound, sentiment by a lexicon(word, valence) of the caller: the sum of
+    the valences of the words of a text, turned after a negation, in the normal form
+    s / sqrt(s^2 + ALPHA). Positive from 0.05, Negative from -0.05 down, else Neutral.
+
+    Words are parted at white space, marks at their edges and case aside, and meet the
+    lexicon in a join. Texts without a listed word, and null ones, are Neutral. Of several
+    entries of a word the mean counts. Keys are unique."""
+    listed = lexicon.where(F.col("word").isNotNull() & F.col("valence").isNotNull()).groupBy(F.lower("word").alias("word")).agg(F.avg("valence").alias("valence"))
+    low = F.transform(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: F.lower(F.regexp_replace(w, r"^[.,;:!?\"'()]+|[.,;:!?\"'()]+$", "")))
+    words = texts.select(key, low.alias("_w")).select(key, "_w", F.posexplode("_w").alias("_i", "word"))
+    start = F.greatest(F.col("_i") - NEGATION_SPAN, F.lit(0))
+    turned = F.exists(F.slice("_w", start + 1, F.col("_i") - start), lambda w: w.isin(*NEGATIONS))
+    found = words.select(key, "word", turned.alias("_turned")).join(listed, "word").where(F.col("valence") != 0)
+    sums = found.groupBy(key).agg(F.sum(F.when(F.col("_turned"), F.col("valence") * TURNED).otherwise(F.col("valence"))).alias("_s"))
+    compound = F.coalesce(F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + ALPHA), F.lit(0.0))
+    scored = texts.select(key).join(sums, key, "left").select(key, compound.alias("compound"))
     return scored.withColumn("sentiment", F.when(F.col("compound") >= 0.05, "Positive").when(F.col("compound") <= -0.05, "Negative").otherwise("Neutral"))
 
 
-class LexiconScorer:
-    """Normalised sum of word valences, turned by a negation among the three words before.
-    The lexicon is the caller's."""
-
-    NEGATIONS = frozenset(("not", "no", "never", "without", "cannot"))
-
-    def __init__(self, lexicon: dict[str, float], alpha: float = 15.0):
-        self.lexicon, self.alpha = lexicon, alpha
-
-    def __call__(self, text: str) -> float:
-        words = [w.strip(".,;:!?\"'()").lower() for w in text.split()]
-        total = 0.0
-        for i, w in enumerate(words):
-            if v := self.lexicon.get(w, 0.0):
-                total += -0.74 * v if self.NEGATIONS & set(words[max(0, i - 3) : i]) else v
-        return total / (total * total + self.alpha) ** 0.5 if total else 0.0
-
-
 def discover_topics(texts: DataFrame, n_topics: int = 5, *, key: str = "text_id", text: str = "text", seed: int = 42) -> DataFrame:
     """CLS3: key, topic (number), found without seeds: hashed term frequencies and k-means
     on their tf-idf. Another model than a neural one, with the same interface."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions.expr import collocation_cells, collocation_ll, mutual_information, significance
 from tokenloom.model import Corpus
-from tokenloom.plans.positions import around, matches
+from tokenloom.plans.positions import around, few, matches
 from tokenloom.plans.restrict import Restrictions, no_digits, no_punctuation, smart_filter
 from tokenloom.plans.terms import parse_query
 
@@ -40,7 +40,8 @@ def collocations(
         terms = [type(t)("word", t.value) if t.kind == "lemma" else t for t in terms]
     found = matches(corpus, terms, restrictions, raw=raw, alternation=True)
     region = corpus.where(restrictions)
-    node = found.count()
+    found, rows = few(found)
+    node = found.count() if rows is None else len(rows)
     total = region.size
     beside = around(found, corpus.tokens, window, window, ["_token_low", "pos", "lemma"]).where(
         ((F.col("offset") < 0) | (F.col("offset") >= F.col("len"))) & no_punctuation("_token_low") & no_digits("_token_low")

@@ -35,9 +35,10 @@ def compare_collocations(a: DataFrame, b: DataFrame) -> DataFrame:
     return compare(a, b, "collocate", {"observed": "freq", "ll": "ll"})[0]
 
 
-def by_difference(shared: DataFrame, column: str) -> DataFrame:
-    """SRT5."""
-    return shared.orderBy(F.abs(F.col(column)).desc())
+def by_difference(shared: DataFrame, column: str, key: str, top: int | None = None) -> DataFrame:
+    """SRT5: shared rows by the size of a difference, then by the key; with top the first so many."""
+    out = shared.orderBy(F.abs(F.col(column)).desc(), key)
+    return out if top is None else out.limit(top)
 
 
 def summary(shared: DataFrame, only_a: DataFrame, only_b: DataFrame) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions.expr import band, pmw, zipf
 from tokenloom.model import Corpus
 from tokenloom.operators.collocation import collocations
-from tokenloom.plans.dense import dense_number
-from tokenloom.plans.positions import around
+from tokenloom.plans.positions import around, few
 from tokenloom.plans.restrict import PUNCT, Restrictions
+from tokenloom.session import materialize
 
 #: The nine frames of a node in its context: name and offsets. Fixed values.
 FRAMES = (
@@ -37,21 +39,49 @@ def lemma_forms(corpus: Corpus, word: str, restrictions: Restrictions | None = N
     return rated.withColumn("zipf", F.round(z, 2)).withColumn("band", band(z))
 
 
+def nearest(kept: DataFrame, word: str, n: int, reach: int = 16) -> DataFrame:
+    """id and _at, a map from offset to word, of every occurrence of a word: itself and the
+    n rows before and after it, by order, not by id.
+
+    Only the ids within `reach` of an occurrence are read; occurrences that find fewer
+    than n rows on a side there are looked at again within four times as many, until
+    the ends of the corpus are reached."""
+    nodes = kept.where(F.col("_token_low") == word).select("id", F.lit(1).cast("bigint").alias("len"))
+    nodes, _ = few(nodes)
+    ends = kept.agg(F.min("id").alias("low"), F.max("id").alias("high")).first()
+    done = []
+    while True:
+        lines = around(nodes, kept, reach, reach, ["_token_low"])
+        packed = lines.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("offset", F.col("_token_low").alias("t")))).alias("_w"))
+        before = F.reverse(F.filter("_w", lambda x: x["offset"] < 0))
+        after = F.filter("_w", lambda x: x["offset"] > 0)
+        sides = packed.select("id", before.alias("_b"), after.alias("_a"))
+        row = F.concat(
+            F.array(F.struct(F.lit(0).cast("bigint").alias("o"), F.lit(word).alias("t"))),
+            F.transform(F.slice("_b", 1, n), lambda x, i: F.struct((-1 - i).cast("bigint").alias("o"), x["t"].alias("t"))),
+            F.transform(F.slice("_a", 1, n), lambda x, i: F.struct((i + 1).cast("bigint").alias("o"), x["t"].alias("t"))),
+        )
+        whole = ((F.size("_b") >= n) | (F.col("id") - reach <= F.lit(ends["low"]))) & ((F.size("_a") >= n) | (F.col("id") + reach >= F.lit(ends["high"])))
+        sides = materialize(sides.select("id", F.map_from_entries(row).alias("_at"), whole.alias("_whole")), "nearest")
+        done.append(sides.where("_whole").select("id", "_at"))
+        open_ = sides.where(~F.col("_whole"))
+        if open_.isEmpty():
+            return reduce(lambda a, b: a.unionByName(b), done)
+        nodes, reach = open_.select("id", F.lit(1).cast("bigint").alias("len")), reach * 4
+
+
 def context_ngrams(corpus: Corpus, word: str, *, top: int = 5, restrictions: Restrictions | None = None) -> DataFrame:
     """AGG20, WIN2: the commonest bigrams, trigrams and four-grams around a word by frame:
-    frame, ngram, frequency, rank. Punctuation is left out before neighbours are looked
+    frame, ngram, frequency, first_id (of its first occurrence), rank. Punctuation is left out before neighbours are looked
     at, so frames bridge it; contexts cross sentence boundaries."""
     kept = corpus.where(restrictions).tokens.where(~F.col("_token_low").isin(*PUNCT) & F.col("_token_low").isNotNull())
-    numbered = dense_number(kept.select("id", "_token_low"), ["id"], "_n", 1, "dictionary").select(F.col("_n").alias("id"), "_token_low")
-    nodes = numbered.where(F.col("_token_low") == word.lower()).select("id", F.lit(1).cast("bigint").alias("len"))
-    lines = around(nodes, numbered, 3, 3, ["_token_low"])
-    wide = lines.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("offset", F.col("_token_low").alias("t")))).alias("_at"))
+    wide = nearest(kept, word.lower(), 3)
     pieces = [
         F.struct(F.lit(name).alias("frame"), F.array(*[F.element_at("_at", F.lit(o).cast("bigint")) for o in offsets]).alias("words"))
         for name, offsets in FRAMES
     ]
-    long = wide.select(F.inline(F.array(*pieces))).where(~F.exists("words", lambda w: w.isNull()))
-    counts = long.groupBy("frame", F.array_join("words", " ").alias("ngram")).agg(F.count("*").alias("frequency"))
+    long = wide.select("id", F.inline(F.array(*pieces))).where(~F.exists("words", lambda w: w.isNull()))
+    counts = long.groupBy("frame", F.array_join("words", " ").alias("ngram")).agg(F.count("*").alias("frequency"), F.min("id").alias("first_id"))
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("frame").orderBy(F.desc("frequency"), "ngram")))
     return ranked.where(F.col("rank") <= top)
 
@@ -72,14 +102,29 @@ def _sentences_with(corpus: Corpus, nodes: DataFrame) -> DataFrame:
     return rows.groupBy("filename", "sent_id").agg(F.sort_array(F.collect_list(F.struct("id", "token"))).alias("_w"))
 
 
-def examples(corpus: Corpus, word: str, *, prefer_below: int = 15, seed: int = 42, restrictions: Restrictions | None = None) -> DataFrame:
+def sentence_lengths(corpus: Corpus, word: str) -> DataFrame:
+    """JN6: filename, sent_id, length of every numbered sentence with the word."""
+    nodes = corpus.tokens.where(F.col("_token_low") == word.lower()).select("filename", "sent_id")
+    return _sentences_with(corpus, nodes).select("filename", "sent_id", F.size("_w").alias("length"))
+
+
+def with_lookup(rows: DataFrame, lookup: DataFrame, key: str = "token", word: str = "word") -> DataFrame:
+    """FN12: rows with the columns of a word list (level, pronunciation or whatever the
+    caller has) by the word without case, null where it is not listed. Of several entries
+    of a word the least is taken, so rows never multiply."""
+    values = [c for c in lookup.columns if c != word]
+    one = lookup.where(F.col(word).isNotNull()).groupBy(F.lower(F.trim(word)).alias("_k")).agg(F.min(F.struct(*values)).alias("_v"))
+    return rows.join(one, F.lower(F.col(key)) == F.col("_k"), "left").select(*[rows[c] for c in rows.columns], *[F.col(f"_v.{c}").alias(c) for c in values])
+
+
+def examples(corpus: Corpus, word: str, *, prefer_below: int = 15, seed: int | None = 42, restrictions: Restrictions | None = None) -> DataFrame:
     """DIC1, WIN4: one example per POS of a word: pos, filename, sent_id, length, example.
     Sentences below prefer_below tokens come first, then the shortest; ties fall to a
-    seeded hash instead of chance. Sentences are (filename, sent_id) (Q19)."""
+    seeded hash instead of chance, or with seed None to the first by id. Sentences are (filename, sent_id) (Q19)."""
     nodes = corpus.where(restrictions).tokens.where(F.col("_token_low") == word.lower()).select("id", "pos", "filename", "sent_id")
     sentences = _sentences_with(corpus, nodes)
     joined = nodes.join(sentences, ["filename", "sent_id"]).withColumn("length", F.size("_w"))
-    order = [F.col("length") >= prefer_below, F.col("length"), F.xxhash64("id", F.lit(seed)), F.col("id")]
+    order = [F.col("length") >= prefer_below, F.col("length"), *([] if seed is None else [F.xxhash64("id", F.lit(seed))]), F.col("id")]
     first = joined.withColumn("_r", F.row_number().over(Window.partitionBy("pos").orderBy(*order))).where(F.col("_r") == 1)
     at = F.array_position(F.transform("_w", lambda x: x["id"]), F.col("id")).cast("int")
     return first.select("pos", "filename", "sent_id", "length", excerpt(F.transform("_w", lambda x: x["token"]), at).alias("example"))
@@ -99,13 +144,18 @@ def related_forms(corpus: Corpus, word: str, limit: int = 50) -> DataFrame:
 
 
 def entry(corpus: Corpus, word: str) -> DataFrame:
-    """DIC2: one row: word, freq, per_million, zipf, band, and the strongest frames and
-    collocates (window 5, at least 3)."""
+    """DIC2: one row: word, freq, per_million, zipf, band, patterns and collocates.
+
+    patterns: per frame of two, three and four words the 2, 3 and 4 commonest, each with
+    its frequency and the first line that shows it; collocates: the 20 strongest (window
+    5, at least 3)."""
     low = word.lower()
     n = corpus.size
     head = corpus.tokens.where(F.col("_token_low") == low).agg(F.count("*").alias("freq")).withColumn("per_million", pmw(F.col("freq"), F.lit(n)))
     z = zipf(F.col("per_million"))
-    patterns = context_ngrams(corpus, low, top=1).agg(F.array_sort(F.collect_list(F.struct("frame", "ngram"))).alias("patterns"))
+    picks = F.when(F.col("frame").startswith("bi"), 2).when(F.col("frame").startswith("tri"), 3).otherwise(4)
+    best = context_ngrams(corpus, low, top=4).where(F.col("rank") <= picks)
+    patterns = best.agg(F.array_sort(F.collect_list(F.struct("frame", "rank", "ngram", "frequency", "first_id"))).alias("patterns"))
     top = collocations(corpus, low, window=5, min_freq=3, limit=20).agg(F.array_sort(F.collect_list("collocate")).alias("collocates"))
     one = F.lit(1)
     return (

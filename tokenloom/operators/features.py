@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.model import Corpus
+from tokenloom.plans.positions import leads
 from tokenloom.plans.restrict import Restrictions, no_punctuation
 from tokenloom.session import materialize
 
@@ -21,17 +22,22 @@ def feature_matrix(
     restrictions: Restrictions | None = None,
 ) -> DataFrame:
     """group, feature, freq in long form: the top n-grams of each size by frequency in
-    every group (0 filled in). N-grams lie within (filename, sent_id); all sizes are made
-    in one pass. Ties of the top go by the feature."""
+    every group (0 filled in). N-grams lie within runs of rows of one filename and
+    sent_id; all sizes are made in one pass. Ties of the top go by the feature. Neighbours
+    come from chunks of ids, so that a file without sentence numbers is no single task."""
     rows = corpus.where(restrictions).tokens.where(F.col(group).isNotNull() & F.col("_token_low").isNotNull())
     if groups is not None:
         rows = rows.where(F.col(group).isin(*groups))
     if exclude_punctuation:
         rows = rows.where(no_punctuation("_token_low"))
     widest = max(sizes)
-    inside = Window.partitionBy("filename", "sent_id").orderBy("id")
-    names = [F.col("_token_low") if k == 0 else F.lead("_token_low", k).over(inside) for k in range(widest)]
-    wide = rows.select(F.col(group).alias("group"), *[c.alias(f"w{k}") for k, c in enumerate(names)])
+    if widest == 1:
+        wide = rows.select(F.col(group).alias("group"), F.col("_token_low").alias("w0"))
+    else:
+        run = F.xxhash64("filename", "sent_id")
+        near = leads(rows.select("id", F.col(group).alias("_g"), "_token_low", run.alias("_s")), ["_g", "_token_low", "_s"], widest, label="features")
+        same = [F.when(F.col(f"_s_{k + 1}") == F.col("_s_1"), F.col(f"_token_low_{k + 1}")).alias(f"w{k}") for k in range(widest)]
+        wide = near.select(F.col("_g_1").alias("group"), *same)
     grams = [
         F.struct(F.lit(n).alias("size"), F.when(F.col(f"w{n - 1}").isNotNull(), F.concat_ws(" ", *[f"w{k}" for k in range(n)])).alias("feature")) for n in sizes
     ]
@@ -66,9 +72,12 @@ def group_authors(corpus: Corpus, author: str, group: str = "filename") -> DataF
     return corpus.tokens.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("group")).agg(F.max(author).alias("author"))
 
 
-def distances(matrix: DataFrame, value: str = "freq", metric: str = "cityblock") -> DataFrame:
+def distances(matrix: DataFrame, value: str = "freq", metric: str = "cityblock", max_groups: int = 5_000) -> DataFrame:
     """a, b (a < b), distance between groups: cityblock or euclidean, by a join on the
-    feature. The groups of a matrix are few (chosen documents or attribute values)."""
+    feature. Every pair of groups is a row of the result, so more than max_groups groups
+    (checked) are refused with ValueError: choose documents or attribute values."""
+    if matrix.select("group").distinct().limit(max_groups + 1).count() > max_groups:
+        raise ValueError(f"more than {max_groups} groups")
     left = matrix.select(F.col("group").alias("a"), "feature", F.col(value).alias("x"))
     right = matrix.select(F.col("group").alias("b"), "feature", F.col(value).alias("y"))
     pairs = left.join(right, "feature").where(F.col("a") < F.col("b"))

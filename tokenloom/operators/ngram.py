@@ -26,6 +26,7 @@ def ngrams(
     negative: list[str] | None = None,
     min_freq: int = 1,
     raw: bool | None = None,
+    top: int | None = None,
 ) -> DataFrame:
     """Counts of runs of n tokens: ngram, frequency, per_million.
 
@@ -33,7 +34,8 @@ def ngrams(
     (n-grams bridge the tokens left out), slot filters (slot numbers from 1) and the
     negative list, no null slot, count, only n-grams with some token that is neither one
     ASCII punctuation mark nor all digits. basis is t, p or l for all slots or one each.
-    Empty when fewer than n tokens are left."""
+    Empty when fewer than n tokens are left. top gives the so many commonest, ordered by
+    frequency, then n-gram (SRT3)."""
     raw = corpus.is_raw if raw is None and slots else bool(raw)
     region = corpus.where(restrictions)
     kept = region.tokens
@@ -57,7 +59,8 @@ def ngrams(
     wide = reduce(lambda d, c: d.where(F.col(c).isNotNull()), shown, wide)
     counts = wide.groupBy(*dict.fromkeys(shown)).agg(F.count("*").alias("frequency"))
     content = reduce(lambda a, c: a | ~F.col(c).rlike(r"^(\p{Punct}|\p{Nd}+)\z"), shown, F.lit(False))
-    return counts.where(content & (F.col("frequency") >= min_freq)).select(
+    out = counts.where(content & (F.col("frequency") >= min_freq)).select(
         F.concat_ws(" ", *shown).alias("ngram"), "frequency", pmw(F.col("frequency"), F.lit(region.size)).alias("per_million")
     )
+    return out if top is None else out.orderBy(F.desc("frequency"), "ngram").limit(top)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions.expr import ttr
 from tokenloom.model import Corpus
+from tokenloom.plans.blocks import block_of
 from tokenloom.plans.restrict import Restrictions, no_digits, no_punctuation
 
 #: POS values that stand for a missing tag. Fixed values.
@@ -32,11 +33,11 @@ def pos_tags(corpus: Corpus) -> DataFrame:
 
 
 def by_attribute(corpus: Corpus, attribute: str, max_values: int | None = None) -> DataFrame:
-    """AGG7, AGG8: value, tokens, types, ttr per value of a column. An attribute with more
-    than max_values values gives no row."""
+    """AGG7, AGG8: value, tokens, types, ttr per value of a column, all values. With
+    max_values an attribute of more values is refused with ValueError."""
     counts = corpus.tokens.where(F.col(attribute).isNotNull()).groupBy(F.col(attribute).alias("value"), "_token_low").agg(F.count("*").alias("n"))
     if max_values is not None and counts.select("value").distinct().limit(max_values + 1).count() > max_values:
-        counts = counts.limit(0)
+        raise ValueError(f"{attribute} has more than {max_values} values")
     return counts.groupBy("value").agg(F.sum("n").alias("tokens"), F.count("_token_low").alias("types")).withColumn("ttr", ttr(F.col("types"), F.col("tokens")))
 
 
@@ -45,11 +46,23 @@ def label_counts(corpus: Corpus, column: str) -> DataFrame:
     return corpus.tokens.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("label")).agg(F.count("*").alias("tokens"))
 
 
-def sentence_texts(corpus: Corpus) -> DataFrame:
-    """AGG21: filename, sent_id, text: the tokens of each numbered sentence in order.
+#: Ids of a block in which the tokens of a sentence are joined first.
+PART = 4096
 
-    Rows without a sentence number (null or 0) make no sentence: together they are no
-    unit of text but may be a third of a corpus."""
-    rows = corpus.tokens.where((F.col("sent_id") > 0) & F.col("filename").isNotNull())
-    grouped = rows.groupBy("filename", "sent_id").agg(F.sort_array(F.collect_list(F.struct("id", "token"))).alias("_w"))
-    return grouped.select("filename", "sent_id", F.array_join(F.transform("_w", lambda x: x["token"]), " ").alias("text"))
+
+def sentence_texts(corpus: Corpus, numbered_only: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """AGG21: filename, sent_id, text (and further keys): the tokens of each sentence in order.
+
+    Rows without a sentence number (null or 0) are one sentence per file and number, as
+    whoever reads a file without sentences sees it; numbered_only leaves them out. The
+    tokens of such a group are joined block by block before the blocks are joined, so
+    that no task holds them one by one."""
+    rows = corpus.tokens.where(F.col("filename").isNotNull())
+    if numbered_only:
+        rows = rows.where(F.col("sent_id") > 0)
+    names = ["filename", "sent_id", *keys]
+    words = lambda c: F.array_join(F.transform(c, lambda x: x["token"]), " ")
+    parts = rows.groupBy(*names, block_of("id", PART).alias("_b")).agg(F.sort_array(F.collect_list(F.struct("id", "token"))).alias("_w"))
+    joined = parts.where(F.exists("_w", lambda x: x["token"].isNotNull())).select(*names, "_b", words("_w").alias("token"))
+    grouped = joined.groupBy(*names).agg(F.sort_array(F.collect_list(F.struct("_b", "token"))).alias("_w"))
+    return grouped.select(*names, words("_w").alias("text"))

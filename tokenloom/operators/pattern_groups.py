@@ -15,9 +15,9 @@ from tokenloom.plans.positions import around
 from tokenloom.plans.restrict import Restrictions
 
 
-def node_lines(corpus: Corpus, word: str, *, window: int = 5, limit: int | None = 10_000, restrictions: Restrictions | None = None) -> DataFrame:
-    """PAT7, SMP4: id, line (array of token, pos, lemma) around each occurrence of a word;
-    the first `limit` occurrences, all with None. One job for all lines."""
+def node_lines(corpus: Corpus, word: str, *, window: int = 5, limit: int | None = None, restrictions: Restrictions | None = None) -> DataFrame:
+    """PAT7: id, line (array of token, pos, lemma) around each occurrence of a word; with a
+    limit the first so many by id (SMP4). One job for all lines."""
     nodes = corpus.where(restrictions).tokens.where(F.col("_token_low") == word.lower()).select("id", F.lit(1).cast("bigint").alias("len"))
     if limit is not None:
         nodes = nodes.orderBy("id").limit(limit)

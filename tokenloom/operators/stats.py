@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions.expr import chi2_yates, cohen_h, correlation_label, stars, ttr
 from tokenloom.functions.special import chi2_p, correlation_p
 from tokenloom.model import Corpus
+from tokenloom.plans.dense import running
 from tokenloom.plans.positions import matches, with_text
 from tokenloom.plans.restrict import Restrictions
 from tokenloom.plans.terms import compile_term, parse_query
@@ -74,7 +75,7 @@ def adjusted(tested: DataFrame, method: str) -> DataFrame:
 
     The Benjamini-Hochberg minimum from the top runs over the tests in p order; equal p
     share the last of their ranks, which leaves the minimum as it is, so the running
-    minimum is kept on the distinct p values only (one small row each)."""
+    minimum is kept on the distinct p values only, range by range."""
     if method == "none":
         return tested.withColumn("p_corrected", F.col("p_value"))
     m = tested.count()
@@ -82,11 +83,10 @@ def adjusted(tested: DataFrame, method: str) -> DataFrame:
         return tested.withColumn("p_corrected", F.col("p_value"))
     if method == "bonferroni":
         return tested.withColumn("p_corrected", F.least(F.col("p_value") * m, F.lit(1.0)))
-    values = tested.groupBy("p_value").agg(F.count("*").alias("_n"))
-    up = Window.orderBy("p_value").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.orderBy(F.desc("p_value")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = values.withColumn("_rank", F.sum("_n").over(up)).withColumn("p_corrected", F.least(F.min(F.col("p_value") * m / F.col("_rank")).over(down), F.lit(1.0)))
-    return tested.join(ranked.select("p_value", "p_corrected"), "p_value")
+    values = running(tested.groupBy("p_value").agg(F.count("*").alias("_n")), "p_value", "_n", "_rank", label="ranks")
+    stepped = values.withColumn("_step", F.col("p_value") * m / F.col("_rank"))
+    ranked = running(stepped, "p_value", "_step", "_low", how="min", descending=True, label="steps")
+    return tested.join(ranked.select("p_value", F.least("_low", F.lit(1.0)).alias("p_corrected")), "p_value")
 
 
 def frequency_vector(corpus: Corpus, query: str, group: str = "filename", restrictions: Restrictions | None = None) -> DataFrame:
@@ -119,8 +119,7 @@ def correlation(x: DataFrame, y: DataFrame, *, method: str = "pearson", zero_fil
     if method == "spearman":
         for c in ("x", "y"):
             ranks = both.groupBy(c).agg(F.count("*").alias("_n"))
-            up = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0)  # distinct values, one small row each
-            ranks = ranks.withColumn("_r", F.sum("_n").over(up) - (F.col("_n") - 1) / 2)
+            ranks = running(ranks, c, "_n", "_up", label="ranks").withColumn("_r", F.col("_up") - (F.col("_n") - 1) / 2)
             both = both.join(ranks.select(c, "_r"), c).drop(c).withColumnRenamed("_r", c)
     r = both.agg(F.count("*").alias("n"), F.corr("x", "y").alias("r")).first()
     usable = r["n"] >= 3 and r["r"] is not None and r["r"] == r["r"]

@@ -6,16 +6,21 @@ joined on the id itself (P1), so no plan needs a nested-loop or range join.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.model import Corpus
+from tokenloom.plans.blocks import BLOCK
 from tokenloom.plans.dense import dense_number
 from tokenloom.plans.restrict import Restrictions, predicate
 from tokenloom.plans.terms import Term, compile_term, term_length
 
-#: Rows of a window chunk.
-CHUNK = 65_536
+#: Ids of a window chunk, and of the next chunk that are read with it.
+CHUNK, HALO = 65_536, 1_024
+#: Hits that are few; id ranges that a scan is asked for.
+FEW, RANGES = 20_000, 64
 
 
 def matches(corpus: Corpus, terms: list[Term], restrictions: Restrictions | None = None, *, raw: bool | None = None, alternation: bool = False) -> DataFrame:
@@ -37,15 +42,52 @@ def matches(corpus: Corpus, terms: list[Term], restrictions: Restrictions | None
     return found
 
 
+def few(hits: DataFrame, most: int = FEW) -> tuple[DataFrame, list | None]:
+    """The hits and, if they are at most `most` (checked), their rows on the driver; then the
+    hits are a local table that costs no second search."""
+    rows = hits.limit(most + 1).collect()
+    if len(rows) > most:
+        return hits, None
+    return hits.sparkSession.createDataFrame(rows, hits.schema), rows
+
+
+def in_reach(tokens: DataFrame, rows: list, left: int, right: int) -> DataFrame:
+    """The tokens of the id ranges around some hits. The corpus is stored in id order, so
+    the ranges prune files and row groups; near ranges are joined until few are left."""
+    spans = sorted((r["id"] - left, r["id"] + r["len"] + right) for r in rows)
+    gap, merged = BLOCK, spans
+    while True:
+        out: list[list[int]] = []
+        for low, high in merged:
+            if out and low <= out[-1][1] + gap:
+                out[-1][1] = max(out[-1][1], high)
+            else:
+                out.append([low, high])
+        if len(out) <= RANGES:
+            break
+        merged, gap = [tuple(x) for x in out], gap * 4
+    if not out:
+        return tokens.where(F.lit(False))
+    return tokens.where(reduce(lambda a, b: a | b, [F.col("id").between(low, high) for low, high in out]))
+
+
 def around(hits: DataFrame, tokens: DataFrame, left: int, right: int, columns: list[str]) -> DataFrame:
     """Token rows from left before to right after each hit: the columns of hits, pos_id,
-    offset (negative before, 0 to len-1 inside, len and more after) and the token columns (JN2)."""
+    offset (negative before, 0 to len-1 inside, len and more after) and the token columns (JN2).
+
+    Few hits (checked) read only their id ranges and meet them by broadcast; many are
+    joined on the id."""
+    hits, rows = few(hits)
+    if rows is not None:
+        tokens = in_reach(tokens, rows, left, right)
+        hits = F.broadcast(hits)
     spread = hits.withColumn("offset", F.explode(F.sequence(F.lit(-left).cast("bigint"), F.col("len") + right - 1))).withColumn("pos_id", F.col("id") + F.col("offset"))
     return spread.join(tokens.select(F.col("id").alias("pos_id"), *[c for c in columns if c != "id"]), "pos_id")
 
 
 def with_text(hits: DataFrame, tokens: DataFrame, column: str = "token", name: str = "match_token") -> DataFrame:
     """Each hit with the text of its span (PRJ3, JN5)."""
+    hits, _ = few(hits)
     inside = around(hits.select("id", "len"), tokens, 0, 0, [column])
     joined = inside.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("offset", F.col(column).alias("t")))).alias("_w"))
     return hits.join(joined.select("id", F.array_join(F.transform("_w", lambda x: x["t"]), " ").alias(name)), "id")
@@ -60,16 +102,29 @@ def near(hits: DataFrame, collocates: DataFrame, window: int) -> DataFrame:
     return hits.join(kept.select("id").distinct(), "id", "left_semi")
 
 
+def _halo_suffices(rows: DataFrame, n: int) -> bool:
+    """Whether every chunk of ids that holds rows is followed by n-1 more rows within HALO
+    ids, but for the last one. One small row per chunk is exchanged."""
+    chunk = F.floor(F.col("id") / CHUNK).cast("bigint")
+    each = rows.select(chunk.alias("_c"), (F.pmod("id", F.lit(CHUNK)) < HALO).alias("_h")).groupBy("_c").agg(F.count_if("_h").alias("_n"))
+    good = each.where(F.col("_n") >= n - 1).select((F.col("_c") - 1).alias("_c"))
+    return each.join(good, "_c", "left_anti").limit(2).count() <= 1
+
+
 def leads(rows: DataFrame, columns: list[str], n: int, *, dense: bool = False, label: str = "leads") -> DataFrame:
     """For every row the values of the columns in it and the n-1 next rows by id, as
     <column>_1 .. <column>_n (WIN1, P2).
 
-    Without one global window: rows are numbered densely (P3), cut into chunks, and the
-    first n-1 rows of each chunk are copied to the chunk before. dense tells that the ids
-    of rows are already without gaps."""
-    numbered = rows.select(F.col("id").alias("_n"), *columns) if dense else dense_number(rows.select("id", *columns), ["id"], "_n", 1, label)
-    own = F.floor((F.col("_n") - 1) / CHUNK).cast("bigint")
-    copies = F.when(((F.col("_n") - 1) % CHUNK < n - 1) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    Without one global window and without renumbering: rows are exchanged by chunks of
+    ids, and the rows in the first HALO ids of each chunk are copied to the chunk before.
+    Where rows were left out so thickly that this is not enough (checked), they are
+    numbered densely first (P3). dense tells that the ids are without gaps."""
+    if dense or _halo_suffices(rows, n):
+        numbered, halo = rows.select(F.col("id").alias("_n"), *columns), (n - 1 if dense else HALO)
+    else:
+        numbered, halo = dense_number(rows.select("id", *columns), ["id"], "_n", 1, label), n - 1
+    own = F.floor(F.col("_n") / CHUNK).cast("bigint")
+    copies = F.when(F.pmod("_n", F.lit(CHUNK)) < halo, F.array(own, own - 1)).otherwise(F.array(own))
     spread = numbered.withColumn("_own", own).withColumn("_chunk", F.explode(copies))
     window = Window.partitionBy("_chunk").orderBy("_n")
     wide = spread.select(

@@ -47,6 +47,12 @@ def integer_columns(tokens: DataFrame, columns: list[str]) -> DataFrame:
     return tokens.agg(*bad).select(F.inline(pairs))
 
 
+def value_range(tokens: DataFrame, column: str) -> DataFrame:
+    """PRD12: low, high of an attribute's integer values, one row, null without any."""
+    value = F.expr(f"try_cast(`{column}` AS bigint)")
+    return tokens.agg(F.min(value).alias("low"), F.max(value).alias("high"))
+
+
 def value_domain(tokens: DataFrame, column: str) -> DataFrame:
     """PRD12: the distinct values of an attribute, blank ones and 'nan' left out."""
     value = F.col(column).cast("string")

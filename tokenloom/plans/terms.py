@@ -26,18 +26,31 @@ class Term:
 
 
 _SPLIT = re.compile(r"<[^>]+>|\S+")
-_ATTR = re.compile(r"(\w+)=([\"'])([^\"']*)\2")
 
 
 def split_query(query: str) -> list[str]:
     return _SPLIT.findall(query.strip())
 
 
+def _attributes(text: str) -> tuple[tuple[str, str], ...]:
+    """Names and quoted values in the text of a tag. What has no quoted value says nothing."""
+    out, at = [], 0
+    while (equals := text.find("=", at)) >= 0:
+        at = equals + 1
+        quote = text[at : at + 1]
+        end = text.find(quote, at + 1) if quote in ("'", '"') else -1
+        name = re.split(r"\W", text[:equals])[-1]
+        if end > 0:
+            if name:
+                out.append((name.lower(), text[at + 1 : end]))
+            at = end + 1
+    return tuple(out)
+
+
 def parse_tag(text: str) -> Term:
     inside = text.strip("<>").strip()
     name = re.match(r"[\w\-]+", inside)
-    attrs = tuple((k.lower(), v) for k, _, v in _ATTR.findall(inside))
-    return Term("tag", name[0].lower() if name else "", attrs=attrs)
+    return Term("tag", name[0].lower() if name else "", attrs=_attributes(inside))
 
 
 def parse_term(text: str, *, keep_affixes: bool = False, alternatives: bool = False) -> Term:

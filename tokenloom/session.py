@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -36,10 +37,13 @@ def local_session(cpus: int | str = 8, memory: str = "8g", **conf: str) -> Spark
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: spark.checkpoint.dir where the session
-    names one; a folder of our own only where it is unset (single machine, tests)."""
+    names one. A folder of our own only on a single machine (master local[...], tests):
+    on a cluster executors would write to disks of their own, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         folder = tempfile.mkdtemp(prefix="tokenloom-")

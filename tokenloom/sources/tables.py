@@ -119,10 +119,89 @@ def write_corpus(tokens: DataFrame, path: str, rows_per_file: int = 4_000_000) -
     )
 
 
+def parallel_xml(spark: SparkSession, source: str, target: str, **options) -> tuple[DataFrame, DataFrame]:
+    """SRC10: (source tokens, targets(sent_id, text)) of two XML texts with the same
+    sentence ids; options are those of xml.xml_rows."""
+    from tokenloom.sources.xml import read_xml
+
+    sides = [read_xml(spark.createDataFrame([(name, text)], "filename string, text string"), **options) for name, text in (("source", source), ("target", target))]
+    return parallel_corpus(*sides)
+
+
+#: Rows that a sheet of a workbook holds. Fixed value.
+SHEET_ROWS = 1_048_576
+_SHEET = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_RELATIONS = "http://schemas.openxmlformats.org/package/2006/relationships"
+_OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def _cell(value) -> str:
+    from xml.sax.saxutils import escape
+
+    if value is None:
+        return "<c/>"
+    if isinstance(value, (int, float)) and not isinstance(value, bool) and value == value:
+        return f"<c><v>{value}</v></c>"
+    shown = "".join(c for c in str(value) if c >= " " or c in "\t\n\r")
+    return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(shown)}</t></is></c>'
+
+
+def write_workbook(df: DataFrame, path: str) -> None:
+    """A result as the only sheet of an .xlsx file on the driver, by the standard library.
+    More rows than a sheet holds are refused with ValueError; the rows come one by one."""
+    import zipfile
+
+    if df.limit(SHEET_ROWS).count() >= SHEET_ROWS:
+        raise ValueError(f"a sheet holds {SHEET_ROWS} rows with its header")
+    part = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+    files = {
+        "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
+        '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
+        f'<Override PartName="/xl/workbook.xml" ContentType="{part}.sheet.main+xml"/>'
+        f'<Override PartName="/xl/worksheets/sheet1.xml" ContentType="{part}.worksheet+xml"/></Types>',
+        "_rels/.rels": f'<Relationships xmlns="{_RELATIONS}"><Relationship Id="r1" Type="{_OFFICE}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook xmlns="{_SHEET}" xmlns:r="{_OFFICE}"><sheets><sheet name="Data" sheetId="1" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{_RELATIONS}"><Relationship Id="r1" Type="{_OFFICE}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+    }
+    with zipfile.ZipFile(path.removeprefix("file://"), "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in files.items():
+            z.writestr(name, head + text)
+        with z.open("xl/worksheets/sheet1.xml", "w") as sheet:
+            sheet.write((head + f'<worksheet xmlns="{_SHEET}"><sheetData>').encode())
+            for row in (df.columns,):
+                sheet.write(("<row>" + "".join(map(_cell, row)) + "</row>").encode())
+            for row in df.toLocalIterator():
+                sheet.write(("<row>" + "".join(map(_cell, row)) + "</row>").encode("utf-8", "replace"))
+            sheet.write(b"</sheetData></worksheet>")
+
+
+def write_bundle(tables: dict[str, DataFrame], path: str) -> None:
+    """Several results as csv files in one zip on the driver, their rows one by one; empty
+    ones are left out."""
+    import csv
+    import io
+    import zipfile
+
+    with zipfile.ZipFile(path.removeprefix("file://"), "w", zipfile.ZIP_DEFLATED) as z:
+        for name, df in tables.items():
+            if df.isEmpty():
+                continue
+            with z.open(f"{name}.csv", "w") as raw, io.TextIOWrapper(raw, "utf-8", newline="") as text:
+                writer = csv.writer(text)
+                writer.writerow(df.columns)
+                writer.writerows(df.toLocalIterator())
+
+
 def export(df: DataFrame, path: str, fmt: str = "csv") -> None:
-    """SNK2: a result as csv (with header) or parquet; an empty result writes nothing."""
+    """SNK2: a result as csv (with header) or parquet, written by the executors, or as xlsx
+    or zip, a file on the driver; an empty result writes nothing."""
     if df.isEmpty():
         return
+    if fmt == "xlsx":
+        return write_workbook(df, path)
+    if fmt == "zip":
+        return write_bundle({"data": df}, path)
     writer = df.write.mode("overwrite")
     writer.option("header", True).csv(path) if fmt == "csv" else writer.parquet(path)
 
