@@ -197,10 +197,11 @@ class Sparse:
         return np.append(at, BUCKETS), np.concatenate([sums, y.sum(0)[None, :]])
 
 
-def _summed(df: DataFrame, width: int, work: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[str, np.ndarray, np.ndarray]]]) -> dict[str, np.ndarray]:
+def _summed(df: DataFrame, width: int, work: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[str, np.ndarray, np.ndarray]]]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Sums over all rows of one array per language: work yields (language, row numbers,
-    rows of `width` numbers). Rows are added up in each task before the exchange and
-    by it; the driver gets at most BUCKETS + 1 rows a language."""
+    rows of `width` numbers), and so does the result, in order of the row numbers. Rows
+    are added up in each task before the exchange and by it; the driver gets at most
+    BUCKETS + 1 rows a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -227,20 +228,16 @@ def _summed(df: DataFrame, width: int, work: Callable[[Iterator[pa.RecordBatch]]
     t = rows.groupBy("lang", "at").agg(*[F.sum(c).alias(c) for c in names[2:]]).toArrow()
     langs, at = np.array(t.column("lang").to_pylist(), dtype=object), t.column("at").to_numpy()
     values = np.stack([t.column(c).to_numpy() for c in names[2:]], axis=1) if len(at) else np.zeros((0, width))
-    out: dict[str, np.ndarray] = {}
-    for lang in sorted(set(langs)):
-        own = langs == lang
-        out[lang] = np.zeros((BUCKETS + 1, width))
-        out[lang][at[own]] = values[own]
-    return out
+    order = np.argsort(at, kind="stable")
+    langs, at, values = langs[order], at[order], values[order]
+    return {lang: (at[langs == lang], values[langs == lang]) for lang in sorted(set(langs))}
 
 
 class Compact:
     """An array by bucket that travels without its empty rows."""
 
-    def __init__(self, array: np.ndarray):
-        self.at = np.flatnonzero(array.any(axis=1))
-        self.rows = array[self.at].astype(np.float32)
+    def __init__(self, at: np.ndarray, rows: np.ndarray):
+        self.at, self.rows = at, rows.astype(np.float32)
         self._array: np.ndarray | None = None
 
     def __getstate__(self):
@@ -258,11 +255,14 @@ class Weights:
     """Documents by bucket and language: inverse document frequencies, and the language
     of a text without one."""
 
-    def __init__(self, counts: dict[str, np.ndarray]):
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         """counts: documents of each bucket, and of the language in the last row."""
-        self.df = {g: Compact(c) for g, c in counts.items()}
-        everywhere = sum((c[:-1, 0] for c in counts.values()), np.zeros(BUCKETS))
-        self.all = Compact(everywhere[:, None] / max(1.0, everywhere.sum()))
+        self.df = {g: Compact(*c) for g, c in counts.items()}
+        everywhere = np.zeros(BUCKETS)
+        for at, n in counts.values():
+            everywhere[at[:-1]] += n[:-1, 0]
+        known = np.flatnonzero(everywhere)
+        self.all = Compact(known, everywhere[known, None] / max(1.0, everywhere.sum()))
 
     def idf(self, lang: str) -> np.ndarray:
         df = self.df[lang].array[:, 0].astype(np.float64)
@@ -327,6 +327,14 @@ def _encode(weights: Weights):
     return run
 
 
+def _orthonormal(a: np.ndarray) -> np.ndarray:
+    """A basis of the columns; columns of zeros where there are fewer rows than columns."""
+    out = np.zeros_like(a)
+    q = np.linalg.qr(a)[0]
+    out[:, : q.shape[1]] = q
+    return out
+
+
 def _unit(a: np.ndarray) -> np.ndarray:
     return a / np.maximum(np.linalg.norm(a, axis=-1, keepdims=True), 1e-12)
 
@@ -359,6 +367,7 @@ def fit(encoded: DataFrame, weights: Weights, subjects: list[str]) -> Space:
     by the labels and refined on all documents, then the weights of the terms."""
     space = Space(subjects)
     m = len(subjects)
+    width = max(m, DIMENSIONS)
 
     def parts(batches):
         for lang, batch in _by_language(batches):
@@ -369,16 +378,16 @@ def fit(encoded: DataFrame, weights: Weights, subjects: list[str]) -> Space:
         for lang, x in parts(batches):
             yield lang, *x.transposed_times(_one_hot(x.labels, subjects))
 
-    mean: dict[str, np.ndarray] = {}
-    for lang, sums in _summed(encoded, m + 1, seeds).items():
+    mean: dict[str, np.ndarray] = {}  # of the buckets that the language has
+    for lang, (at, sums) in _summed(encoded, m + 1, seeds).items():
         n = sums[-1]
         mean[lang] = sums[:-1, m] / max(1.0, n[m])
         own = (sums[:-1, :m] / np.maximum(n[:m], 1) - mean[lang][:, None]) * (n[:m] > 0)
-        extra = np.random.default_rng(7).standard_normal((BUCKETS, max(0, DIMENSIONS - m))) * (mean[lang] > 0)[:, None]
-        space.basis[lang] = Compact(np.linalg.qr(np.concatenate([own, extra * 1e-3], axis=1))[0])
+        extra = np.random.default_rng(7).standard_normal((len(own), width - m))
+        space.basis[lang] = Compact(at[:-1], _orthonormal(np.concatenate([own, extra * 1e-3], axis=1)))
 
     def shifts() -> dict[str, np.ndarray]:
-        return {g: mean[g] @ q.array[:-1] for g, q in space.basis.items()}
+        return {g: mean[g] @ q.rows for g, q in space.basis.items()}
 
     for _ in range(SVD_PASSES):
         basis, shift = space.basis, shifts()
@@ -388,15 +397,16 @@ def fit(encoded: DataFrame, weights: Weights, subjects: list[str]) -> Space:
                 yield lang, *x.transposed_times(x.times(basis[lang].array) - shift[lang])
 
         space.basis = {}
-        for lang, z in _summed(encoded, max(m, DIMENSIONS), step).items():
-            z = z[:-1] - np.outer(mean[lang], z[-1])
+        for lang, (at, sums) in _summed(encoded, width, step).items():
+            own, q = basis[lang].at, basis[lang].rows.astype(np.float64)
+            z = np.zeros(q.shape)
+            z[np.searchsorted(own, at[:-1])] = sums[:-1]
+            z -= np.outer(mean[lang], sums[-1])
             # Rayleigh-Ritz: singular vectors in order of their values
-            q = basis[lang].array[:-1].astype(np.float64)
             values, turn = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
-            space.basis[lang] = Compact(np.linalg.qr(z @ turn[:, np.argsort(-values)])[0])
+            space.basis[lang] = Compact(own, _orthonormal(z @ turn[:, np.argsort(-values)]))
     basis, space.shift = space.basis, shifts()
     shift = space.shift
-    width = max(m, DIMENSIONS)
 
     def embed(batches):
         for lang, x in parts(batches):
@@ -418,7 +428,11 @@ def fit(encoded: DataFrame, weights: Weights, subjects: list[str]) -> Space:
                     h = (cosine.argmax(1)[:, None] == np.arange(m)) & (cosine > REFINE_COSINE)
                 yield lang, np.arange(m), h.T @ y
 
-        return {g: a[:m] for g, a in _summed(vectors, width, run).items()}
+        out = {}
+        for g, (at, sums) in _summed(vectors, width, run).items():
+            out[g] = np.zeros((m, width))
+            out[g][at] = sums
+        return out
 
     space.centroids = {g: _unit(c) for g, c in sums_by_subject().items()}
     for _ in range(REFINEMENTS):
@@ -427,8 +441,8 @@ def fit(encoded: DataFrame, weights: Weights, subjects: list[str]) -> Space:
         space.centroids = {g: np.where(np.linalg.norm(c, axis=1, keepdims=True) > 0, _unit(c), held[g]) for g, c in sums_by_subject(held).items()}
     for lang, c in space.centroids.items():
         # a term says as much as its own vector lies by a subject's centroid
-        near = np.maximum(0, (_unit(basis[lang].array[:-1]) @ c.T).max(1, initial=0))
-        space.weight[lang] = Compact((weights.idf(lang) * near**2)[:, None])
+        near = np.maximum(0, (_unit(basis[lang].rows) @ c.T).max(1, initial=0))
+        space.weight[lang] = Compact(basis[lang].at, (weights.idf(lang)[basis[lang].at] * near**2)[:, None])
     return space
 
 
