@@ -188,6 +188,38 @@ def test_interval_labels_hold_every_parent_link(spark, sf):
                 assert r["n_tokens"] == len(inside)
 
 
+def test_parents_by_intervals_in_flat_and_deep_trees():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(4)
+    for deep in (0.3, 0.97):
+        parent = [-1]
+        for i in range(1, 800):
+            at = i - 1
+            while rng.random() > deep and parent[at] >= 0:
+                at = parent[at]
+            parent.append(at)
+        depth = [0]
+        for i in range(1, 800):
+            depth.append(depth[parent[i]] + 1)
+        size = [1] * 800
+        for i in reversed(range(1, 800)):
+            size[parent[i]] += size[i]
+        pre, size, depth = np.arange(1, 801), np.array(size), np.array(depth)
+        post = size - 1 + pre - depth
+        assert nested.enclosing(pre, post, size, np.ones(800, bool)).tolist() == parent
+        own = np.array([rng.random() < 0.2 for _ in range(800)])
+        want = []
+        for i in range(800):
+            at = parent[i]
+            while at >= 0 and not own[at]:
+                at = parent[at]
+            want.append(at)
+        assert nested.enclosing(pre, post, size, own).tolist() == want
+
+
 def test_iterative_json_equals_the_library():
     for text in ('{"a": [1, 2.5e3, "x\\u00e9", null, true, {}], "b": {"c": []}}', " [ ] ", '"s"', "3"):
         assert nested._loads_deep(text) == json.loads(text)

@@ -36,7 +36,7 @@ class Tree:
     """Nodes of one record in pre-order, labelled while they open and close."""
 
     def __init__(self) -> None:
-        self.tag, self.pre_parent, self.depth, self.post = [], [], [], []
+        self.tag, self.depth, self.post = [], [], []
         self.attrs, self.token = [], []
         self._open: list[int] = []
         self._closed = 0
@@ -45,7 +45,6 @@ class Tree:
         self.tag.append(tag)
         self.attrs.append(attrs or {})
         self.token.append(token)
-        self.pre_parent.append(self._open[-1] if self._open else -1)
         self.depth.append(len(self._open))
         self.post.append(0)
         self._open.append(len(self.tag) - 1)
@@ -228,11 +227,16 @@ def parse(fmt: str | None, body: str | None) -> Tree | None:
         return None
 
 
-def enclosing(pre: np.ndarray, post: np.ndarray, is_parent: np.ndarray) -> np.ndarray:
+def enclosing(pre: np.ndarray, post: np.ndarray, size: np.ndarray, is_parent: np.ndarray) -> np.ndarray:
     """Row of the nearest enclosing parent of every node, by interval containment; -1
-    where there is none. Rows must be in pre-order."""
+    where there is none. Rows must be in pre-order; size counts the nodes of subtrees."""
     out = np.full(len(pre), -1, dtype=np.int64)
-    held: list[int] = []
+    parents = np.flatnonzero(is_parent & (size > 1))
+    if size[parents].sum() <= 64 * len(pre):
+        for i in parents:  # inner parents come later and take their part of the interval
+            out[i + 1 : i + size[i]] = i
+        return out
+    held: list[int] = []  # very deep trees: one pass over the nodes
     for i in range(len(pre)):
         while held and post[held[-1]] < post[i]:
             held.pop()
@@ -264,13 +268,13 @@ def _rows(tree: Tree) -> dict[str, list]:
     for name, own in numbers.items():
         no[own] = np.arange(1, own.sum() + 1)
         if name != "token":
-            at = enclosing(pre, post, own)
+            at = enclosing(pre, post, size, own)
             links[name] = np.where(at >= 0, np.cumsum(own)[at], 0)
     rest = kind == "element"
     no[rest] = np.arange(1, rest.sum() + 1)
     return {
         "kind": kind.tolist(), "no": no, "tag": [None if t else g for t, g in zip(is_token, tree.tag)], "pre": pre, "post": post, "depth": depth,
-        "parent_pre": np.array(tree.pre_parent, dtype=np.int64) + 1, "text_no": links["text"], "sent_no": links["sentence"], "pn_no": links["pn"],
+        "parent_pre": enclosing(pre, post, size, np.ones(n, dtype=bool)) + 1, "text_no": links["text"], "sent_no": links["sentence"], "pn_no": links["pn"],
         "first_token_no": tokens_before[pre - 1] + 1, "n_tokens": n_tokens, "attrs": [list(a.items()) for a in tree.attrs],
         "token": [t and t[0] for t in tree.token], "pos": [t and t[1] for t in tree.token], "lemma": [t and t[2] for t in tree.token],
     }
