@@ -41,9 +41,9 @@ def collocations(
     found = matches(corpus, terms, restrictions, raw=raw, alternation=True)
     region = corpus.where(restrictions)
     found, rows = few(found)
-    node = found.count() if rows is None else len(rows)
+    node = found.count() if rows is None else rows.num_rows
     total = region.size
-    beside = around(found, corpus.tokens, window, window, ["_token_low", "pos", "lemma"]).where(
+    beside = around(found, corpus.tokens, window, window, ["_token_low", "pos", "lemma"], rows).where(
         ((F.col("offset") < 0) | (F.col("offset") >= F.col("len"))) & no_punctuation("_token_low") & no_digits("_token_low")
     )
     sides = beside.groupBy(F.col("_token_low").alias("collocate"), "pos", F.lower("lemma").alias("lemma")).agg(

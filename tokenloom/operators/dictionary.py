@@ -47,11 +47,11 @@ def nearest(kept: DataFrame, word: str, n: int, reach: int = 16) -> DataFrame:
     than n rows on a side there are looked at again within four times as many, until
     the ends of the corpus are reached."""
     nodes = kept.where(F.col("_token_low") == word).select("id", F.lit(1).cast("bigint").alias("len"))
-    nodes, _ = few(nodes)
+    nodes, rows = few(nodes)
     ends = kept.agg(F.min("id").alias("low"), F.max("id").alias("high")).first()
     done = []
     while True:
-        lines = around(nodes, kept, reach, reach, ["_token_low"])
+        lines = around(nodes, kept, reach, reach, ["_token_low"], rows)
         packed = lines.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("offset", F.col("_token_low").alias("t")))).alias("_w"))
         before = F.reverse(F.filter("_w", lambda x: x["offset"] < 0))
         after = F.filter("_w", lambda x: x["offset"] > 0)
@@ -67,7 +67,8 @@ def nearest(kept: DataFrame, word: str, n: int, reach: int = 16) -> DataFrame:
         open_ = sides.where(~F.col("_whole"))
         if open_.isEmpty():
             return reduce(lambda a, b: a.unionByName(b), done)
-        nodes, reach = open_.select("id", F.lit(1).cast("bigint").alias("len")), reach * 4
+        nodes, rows = few(open_.select("id", F.lit(1).cast("bigint").alias("len")))
+        reach *= 4
 
 
 def context_ngrams(corpus: Corpus, word: str, *, top: int = 5, restrictions: Restrictions | None = None) -> DataFrame:

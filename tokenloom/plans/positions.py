@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,42 +44,43 @@ def matches(corpus: Corpus, terms: list[Term], restrictions: Restrictions | None
     return found
 
 
-def few(hits: DataFrame, most: int = FEW) -> tuple[DataFrame, list | None]:
-    """The hits and, if they are at most `most` (checked), their rows on the driver; then the
+def few(hits: DataFrame) -> tuple[DataFrame, pa.Table | None]:
+    """The hits and, if they are at most FEW (checked), their rows on the driver; then the
     hits are a local table that costs no second search."""
-    rows = hits.limit(most + 1).collect()
-    if len(rows) > most:
-        return hits, None
-    return hits.sparkSession.createDataFrame(rows, hits.schema), rows
+    rows = hits.limit(FEW + 1).toArrow()
+    return (hits, None) if rows.num_rows > FEW else (hits.sparkSession.createDataFrame(rows, hits.schema), rows)
 
 
-def in_reach(tokens: DataFrame, rows: list, left: int, right: int) -> DataFrame:
+def in_reach(tokens: DataFrame, rows: pa.Table, left: int, right: int) -> DataFrame:
     """The tokens of the id ranges around some hits. The corpus is stored in id order, so
-    the ranges prune files and row groups; near ranges are joined until few are left."""
-    spans = sorted((r["id"] - left, r["id"] + r["len"] + right) for r in rows)
-    gap, merged = BLOCK, spans
+    the ranges prune files and row groups; near ranges are joined until few are left, and
+    all are one if they leave out less than half."""
+    if rows.num_rows == 0:
+        return tokens.where(F.lit(False))
+    ids = rows.column("id").to_numpy()
+    order = np.argsort(ids)
+    low, high = (ids - left)[order], np.maximum.accumulate((ids + rows.column("len").to_numpy() + right)[order])
+    gap = BLOCK
     while True:
-        out: list[list[int]] = []
-        for low, high in merged:
-            if out and low <= out[-1][1] + gap:
-                out[-1][1] = max(out[-1][1], high)
-            else:
-                out.append([low, high])
-        if len(out) <= RANGES:
+        first = np.flatnonzero(np.concatenate([[True], low[1:] > high[:-1] + gap]))
+        last = np.append(first[1:], len(low)) - 1
+        if len(first) <= RANGES:
             break
-        merged, gap = [tuple(x) for x in out], gap * 4
-    if not out:
-        return tokens.where(F.lit(False))
-    return tokens.where(reduce(lambda a, b: a | b, [F.col("id").between(low, high) for low, high in out]))
+        gap *= 4
+    if 2 * (high[last] - low[first]).sum() > high[-1] - low[0]:
+        first, last = first[:1], last[-1:]
+    ranges = [F.col("id").between(int(a), int(b)) for a, b in zip(low[first], high[last])]
+    return tokens.where(reduce(lambda a, b: a | b, ranges))
 
 
-def around(hits: DataFrame, tokens: DataFrame, left: int, right: int, columns: list[str]) -> DataFrame:
+def around(hits: DataFrame, tokens: DataFrame, left: int, right: int, columns: list[str], rows: pa.Table | None = None) -> DataFrame:
     """Token rows from left before to right after each hit: the columns of hits, pos_id,
     offset (negative before, 0 to len-1 inside, len and more after) and the token columns (JN2).
 
-    Few hits (checked) read only their id ranges and meet them by broadcast; many are
-    joined on the id."""
-    hits, rows = few(hits)
+    Few hits (checked, or given as rows) read only their id ranges and meet them by
+    broadcast; many are joined on the id."""
+    if rows is None:
+        hits, rows = few(hits)
     if rows is not None:
         tokens = in_reach(tokens, rows, left, right)
         hits = F.broadcast(hits)
@@ -87,8 +90,8 @@ def around(hits: DataFrame, tokens: DataFrame, left: int, right: int, columns: l
 
 def with_text(hits: DataFrame, tokens: DataFrame, column: str = "token", name: str = "match_token") -> DataFrame:
     """Each hit with the text of its span (PRJ3, JN5)."""
-    hits, _ = few(hits)
-    inside = around(hits.select("id", "len"), tokens, 0, 0, [column])
+    hits, rows = few(hits)
+    inside = around(hits.select("id", "len"), tokens, 0, 0, [column], rows)
     joined = inside.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("offset", F.col(column).alias("t")))).alias("_w"))
     return hits.join(joined.select("id", F.array_join(F.transform("_w", lambda x: x["t"]), " ").alias(name)), "id")
 
