@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import heapq
-from bisect import insort
+from bisect import bisect_left, insort
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +15,8 @@ from tokenloom.session import materialize
 
 #: Items that are packed together; containers never mix two such groups.
 GROUP = 2048
+#: How full a window must be to stay as it is when others are repaired, in turn.
+KEEP = (1.0, 0.99, 0.97, 0.95, 0.9)
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
@@ -61,47 +62,38 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
     return windows
 
 
-def repair(windows: list[list[int]], sizes: list[int], capacity: int) -> bool:
-    """Move items out of windows that exceed the capacity, or exchange them for smaller
-    ones, as long as the total excess falls. Tells whether none is left; changes windows."""
-    size = np.array([*sizes, *[0] * len(windows)], dtype=np.int64)
-    home = np.empty(len(size), dtype=np.int64)  # one item of size 0 in each window: a plain move
-    for w, items in enumerate(windows):
-        home[items] = w
-        home[len(sizes) + w] = w
-    used = np.bincount(home, size, len(windows)).astype(np.int64)
-    while (excess := used.max(initial=0) - capacity) > 0:
-        w = int(used.argmax())
-        room = capacity - used[home]
-        best = (0, 0, 0, 0)
-        for x in np.flatnonzero((home == w) & (size > 0)):
-            moved = size[x] - size
-            gain = np.minimum(moved, excess) - np.maximum(0, moved - room) + np.maximum(0, -room)
-            gain[(home == w) | (moved <= 0)] = 0
-            top = gain.max()
-            if top > 0:
-                # of equal gains the exchange that leaves the least room behind
-                y = int(np.flatnonzero(gain == top)[np.argmin((room - moved)[gain == top])])
-                best = max(best, (int(top), -int(room[y] - moved[y]), int(x), y))
-        if best[0] == 0:
-            return False
-        x, y = best[2:]
-        other = int(home[y])
-        used[w] -= size[x] - size[y]
-        used[other] += size[x] - size[y]
-        home[x] = other
-        if y < len(sizes):
-            home[y] = w
-    for items in windows:
-        items.clear()
-    for i, w in enumerate(home[: len(sizes)].tolist()):
+def best_fit(items: list[int], sizes: list[int], capacity: int, k: int) -> list[list[int]] | None:
+    """Items, largest first, each into the fullest of k windows that has room for it; None
+    if one fits nowhere."""
+    rooms, windows = [(capacity, w) for w in range(k)], [[] for _ in range(k)]
+    for i in sorted(items, key=lambda i: (-sizes[i], i)):
+        at = bisect_left(rooms, (sizes[i], -1))
+        if at == len(rooms):
+            return None
+        room, w = rooms.pop(at)
         windows[w].append(i)
-    return True
+        insort(rooms, (room - sizes[i], w))
+    return windows
+
+
+def repair(windows: list[list[int]], sizes: list[int], capacity: int, k: int) -> list[list[int]] | None:
+    """At most k windows within the capacity, or None. Windows that exceed it are taken
+    apart, with them, if need be, the less well filled ones, and their items are spread
+    over the free windows by best fit; the others stay as they are."""
+    used = [sum(sizes[i] for i in w) for w in windows]
+    if max(used, default=0) <= capacity:
+        return windows
+    for filled in KEEP:
+        kept = [w for w, u in zip(windows, used) if filled * capacity <= u <= capacity]
+        loose = [i for w, u in zip(windows, used) if not filled * capacity <= u <= capacity for i in w]
+        if (placed := best_fit(loose, sizes, capacity, k - len(kept))) is not None:
+            return kept + placed
+    return None
 
 
 def pack(sizes: list[int], capacity: int) -> list[list[int]]:
     """Windows of at most capacity; their number rises while the windows of differencing
-    exceed it and moving items does not help. An item above the capacity stands alone."""
+    exceed it and repair does not help. An item above the capacity stands alone."""
     alone = [[i] for i, s in enumerate(sizes) if s > capacity]
     if alone:
         rest = [i for i, s in enumerate(sizes) if s <= capacity]
@@ -110,9 +102,8 @@ def pack(sizes: list[int], capacity: int) -> list[list[int]]:
         return []
 
     def fits(k: int) -> list[list[int]] | None:
-        windows = difference(sizes, k)
-        windows += [[] for _ in range(k - len(windows))]
-        return [w for w in windows if w] if repair(windows, sizes, capacity) else None
+        windows = repair(difference(sizes, k), sizes, capacity, k)
+        return windows and [w for w in windows if w]
 
     low = max(1, -(-sum(sizes) // capacity)) - 1
     step, k = 1, low + 1
@@ -139,8 +130,8 @@ def pack_documents(
 
     Method: Karmarkar-Karp multiway differencing inside even groups of about `group`
     items, chosen by a hash of the item, so that no task holds more; a group's window
-    count starts at its total size over the capacity; windows that exceed it give items
-    away or exchange them, and the count rises where that does not help. Against one
+    count starts at its total size over the capacity; the items of windows that exceed
+    it are spread anew by best fit, and the count rises where that does not help. Against one
     packing of all items each group loses at least the unfilled share of its last window.
 
     vocabulary: rank file of the public tokenizer, readable on the driver; it is shipped
