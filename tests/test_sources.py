@@ -125,6 +125,11 @@ def test_exports(spark, tmp_path):
     assert side.read_table(spark, f"{tmp_path}/out.xlsx", header=True).count() == 2 and side.read_table(spark, f"{tmp_path}/out.csv", header=True).count() == 2
     assert zipfile.ZipFile(tmp_path / "out.zip").read("data.csv").decode().splitlines()[1] == "1,a & <b>,"
     assert spark.read.parquet(f"{tmp_path}/out.parquet").count() == 2
+    side.write_bundle({"a": df, "none": df.limit(0)}, f"{tmp_path}/books.zip", "xlsx")
+    with zipfile.ZipFile(tmp_path / "books.zip") as z:
+        assert z.namelist() == ["a.xlsx"]
+        z.extract("a.xlsx", tmp_path)
+    assert len(side.xlsx_rows(f"{tmp_path}/a.xlsx")) == 3
 
 
 def test_very_deep_xml(spark):

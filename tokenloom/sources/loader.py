@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.model import Corpus
+from tokenloom.session import materialize
 from tokenloom.sources.tables import read_table
 from tokenloom.sources.text import language_of, looks_like_xml, plain_rows, read_files, tag_with, vertical_rows, with_ids
 from tokenloom.sources.xml import promote, xml_rows
@@ -16,21 +17,22 @@ from tokenloom.sources.xml import promote, xml_rows
 FORMATS = ("raw", "vertical")
 
 
-def load(documents: DataFrame, *, fmt: str = "raw", language: str | None = None, tagger=None) -> Corpus:
+def load(documents: DataFrame, *, fmt: str = "raw", language: str | None = None, tagger=None, rule: str = "tabs", failures=None) -> Corpus:
     """A corpus of documents(filename, text): XML is told by the name or the first
     kilobyte, everything else read in the chosen format; with a tagger raw text and the
     words between tags are tagged. Attributes and spans become columns, lang holds the
-    language's code. Null and blank texts give no row; ids follow the file names."""
+    language's code. rule tells vertical text inside XML, failures counts what the tagger
+    fails on (see xml_rows). Null and blank texts give no row; ids follow the file names."""
     if fmt not in FORMATS:
         raise ValueError(f"unknown format: {fmt}")
     usable = documents.where(F.col("filename").isNotNull() & (F.trim("text") != "")).select("filename", "text")
     is_xml = looks_like_xml(F.col("filename"), F.col("text"))
     marked, others = usable.where(is_xml), usable.where(~is_xml)
-    rows = [xml_rows(marked, tagger=tagger).withColumn("_s", F.lit(0).cast("bigint"))]
+    rows = [xml_rows(marked, tagger=tagger, rule=rule, failures=failures).withColumn("_s", F.lit(0).cast("bigint"))]
     if fmt == "vertical":
         rows.append(vertical_rows(others).withColumn("_s", F.lit(0).cast("bigint")))
     elif tagger is not None:
-        rows.append(tag_with(others, tagger).withColumn("_s", F.col("sent_id")))
+        rows.append(tag_with(others, tagger, failures=failures).withColumn("_s", F.col("sent_id")))
     else:
         rows.append(plain_rows(others).withColumn("_s", F.col("sent_id")))
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
@@ -38,7 +40,8 @@ def load(documents: DataFrame, *, fmt: str = "raw", language: str | None = None,
         r.select("filename", "sent_id", "_s", F.col("_k").cast("bigint").alias("_k"), "token", "pos", "lemma", *([F.col(c) if c in r.columns else empty.alias(c) for c in ("meta", "context")]))
         for r in rows
     ]
-    numbered = with_ids(reduce(DataFrame.unionByName, same), ["filename", "_s", "_k"], "load").drop("_s", "_k")
+    # written once: numbering and looking for attributes read the rows again, not the documents
+    numbered = with_ids(materialize(reduce(DataFrame.unionByName, same), "load-rows"), ["filename", "_s", "_k"], "load").drop("_s", "_k")
     out = promote(numbered)
     if language is not None:
         out = out.withColumn("lang", F.coalesce(F.col("lang"), language_of(F.lit(language))) if "lang" in out.columns else language_of(F.lit(language)))

@@ -146,8 +146,8 @@ def _cell(value) -> str:
     return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(shown)}</t></is></c>'
 
 
-def write_workbook(df: DataFrame, path: str) -> None:
-    """A result as the only sheet of an .xlsx file on the driver, by the standard library.
+def write_workbook(df: DataFrame, path) -> None:
+    """A result as the only sheet of an .xlsx file (a path on the driver or an open file).
     More rows than a sheet holds are refused with ValueError; the rows come one by one."""
     import zipfile
 
@@ -164,7 +164,7 @@ def write_workbook(df: DataFrame, path: str) -> None:
         "xl/workbook.xml": f'<workbook xmlns="{_SHEET}" xmlns:r="{_OFFICE}"><sheets><sheet name="Data" sheetId="1" r:id="r1"/></sheets></workbook>',
         "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{_RELATIONS}"><Relationship Id="r1" Type="{_OFFICE}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
     }
-    with zipfile.ZipFile(path.removeprefix("file://"), "w", zipfile.ZIP_DEFLATED) as z:
+    with zipfile.ZipFile(path.removeprefix("file://") if isinstance(path, str) else path, "w", zipfile.ZIP_DEFLATED) as z:
         for name, text in files.items():
             z.writestr(name, head + text)
         with z.open("xl/worksheets/sheet1.xml", "w") as sheet:
@@ -176,17 +176,24 @@ def write_workbook(df: DataFrame, path: str) -> None:
             sheet.write(b"</sheetData></worksheet>")
 
 
-def write_bundle(tables: dict[str, DataFrame], path: str) -> None:
-    """Several results as csv files in one zip on the driver, their rows one by one; empty
-    ones are left out."""
+def write_bundle(tables: dict[str, DataFrame], path: str, fmt: str = "csv") -> None:
+    """Several results as csv or xlsx files in one zip on the driver, their rows one by
+    one; empty ones are left out."""
     import csv
     import io
+    import tempfile
     import zipfile
 
     with zipfile.ZipFile(path.removeprefix("file://"), "w", zipfile.ZIP_DEFLATED) as z:
         for name, df in tables.items():
             if df.isEmpty():
                 continue
+            if fmt == "xlsx":
+                with tempfile.TemporaryFile() as book:  # of the driver alone
+                    write_workbook(df, book)
+                    book.seek(0)
+                    z.writestr(f"{name}.xlsx", book.read())
+                continue
             with z.open(f"{name}.csv", "w") as raw, io.TextIOWrapper(raw, "utf-8", newline="") as text:
                 writer = csv.writer(text)
                 writer.writerow(df.columns)
