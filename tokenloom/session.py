@@ -66,6 +66,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan that a Python stage follows, over as many partitions as there are cores. A
+    table of at least so many partitions stays as it is: only tables that are small
+    against the cluster, or lie in one file that cannot be split, are exchanged."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable on every executor, once per application."""
     app = spark.sparkContext.applicationId
