@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm.fm_index import FMIndex
+from tokenloom.session import spread
 
 #: Symbols of the longest phrases that are searched.
 PHRASE = 4
@@ -351,6 +352,7 @@ def contained_items(documents: DataFrame, eval_items: DataFrame, *, share: float
     usable = eval_items.where(F.col("item_id").isNotNull() & F.col("passage").isNotNull()).select("item_id", "passage").distinct()
     size = usable.agg(F.sum(F.length("passage"))).first()[0] or 0
     texts = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")
+    texts = spread(texts)
     out = documents.sparkSession.createDataFrame([], ", ".join(f"{c} bigint" for c in _COLUMNS))
     n_blocks = -(-size // PASS)
     for b in range(n_blocks):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm.languages import code_of
-from tokenloom.session import materialize
+from tokenloom.session import materialize, spread
 
 #: (encoding the text was written in, encoding it was read in). Fixed values.
 STEPS = (
@@ -400,7 +400,7 @@ def damaged_tokens(corpus: DataFrame, model: Classifier | None = None) -> DataFr
     ('inverted', 'vocabulary' or null). Once per id. Rows with null id or token, and
     tokens of ASCII only, are never damaged. An empty table gives an empty result."""
     model = model or Classifier(fit(words_of(corpus)))
-    rows = corpus.where(F.col("id").isNotNull() & F.col("token").rlike(NON_ASCII)).select("id", "lang", "token", "lemma")
+    rows = spread(corpus.where(F.col("id").isNotNull() & F.col("token").rlike(NON_ASCII)).select("id", "lang", "token", "lemma"))
     schema = "id bigint, lang string, token string, lemma string, chain string, original string"
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -442,7 +442,7 @@ def repaired_documents(documents: DataFrame, corpus: DataFrame) -> DataFrame:
     row; a language that is null or unknown is treated as Latin-written."""
     words = materialize(words_of(corpus), "encoding-words")
     model = Classifier(fit(words))
-    rows = documents.where(F.col("text").rlike(NON_ASCII)).select("doc_id", "lang", "text")
+    rows = spread(documents.where(F.col("text").rlike(NON_ASCII)).select("doc_id", "lang", "text"))
 
     def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm.splitting import hard_pieces
 from tokenloom.llm.tokens import n_tokens, ship_vocabulary
-from tokenloom.session import materialize
+from tokenloom.session import materialize, spread
 
 #: Items that are packed together; containers never mix two such groups.
 GROUP = 2048
@@ -156,7 +156,7 @@ def pack_documents(
     texts = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     # the text is kept only where some capacity may be exceeded
     sized = materialize(
-        texts.select("doc_id", n_tokens(F.col("text"), vocabulary).alias("n_tokens"), "text").withColumn(
+        spread(texts.select("doc_id", "text")).select("doc_id", n_tokens(F.col("text"), vocabulary).alias("n_tokens"), "text").withColumn(
             "text", F.when(F.col("n_tokens") > smallest, F.col("text"))
         ),
         "pack-sizes",

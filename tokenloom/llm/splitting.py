@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm.tokens import encoding, ship_vocabulary, token_lengths
+from tokenloom.session import spread
 
 #: Natural boundaries, strongest first: blank line, line end, sentence end, clause mark,
 #: white space. A cut lies after the match. Fixed values.
@@ -179,7 +180,7 @@ def split_documents(
     ship_vocabulary(spark, vocabulary)
     out = spark.createDataFrame([], PIECES)
     for r in sorted(limits, key=lambda r: str(r["limit_name"])):
-        long = documents.where(F.octet_length("text") > r["max_tokens"]).select("doc_id", "text")
+        long = spread(documents.where(F.octet_length("text") > r["max_tokens"]).select("doc_id", "text"))
         out = out.unionByName(
             long.mapInArrow(_pieces(r["limit_name"], r["max_tokens"], max(0, r["overlap_tokens"] or 0), vocabulary), PIECES)
         )
