@@ -8,6 +8,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -194,7 +195,7 @@ class Shard:
 
     def __init__(self, items: Items, words: list[list[str]]):
         self.items, self.words = items, words
-        self.coded = [np.fromiter((items.vocabulary.get(x, 1) for x in w), dtype=np.int64, count=len(w)) for w in words]
+        self.coded = [np.fromiter(map(items.vocabulary.get, w, repeat(1)), dtype=np.int64, count=len(w)) for w in words]
         self.size = np.array([len(c) for c in self.coded], dtype=np.int64)
         self.start = np.cumsum(self.size) - self.size
         self.flat = np.concatenate([*self.coded, np.ones(1, np.int64)])

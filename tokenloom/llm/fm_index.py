@@ -6,20 +6,24 @@ import numpy as np
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Suffix order by prefix doubling. s must end with a unique smallest symbol."""
+    """Suffix order by prefix doubling. s must end with a unique smallest symbol, 0. The
+    first round compares as many symbols as fit into one number."""
     n = len(s)
-    _, rank = np.unique(s, return_inverse=True)
-    rank = rank.astype(np.int64)
-    width = 1
+    bits = max(1, int(s.max()).bit_length())
+    width = max(1, min(n, 62 // bits))
+    key = s.astype(np.int64)
+    for k in range(1, width):
+        key <<= bits
+        key[: n - k] |= s[k:]
+    rank = np.empty(n, dtype=np.int64)
     while True:
+        order = np.argsort(key)  # equal keys get the same rank, whatever their order
+        in_order = key[order]
+        rank[order] = np.concatenate([[0], np.cumsum(in_order[1:] != in_order[:-1])])
+        if rank[order[-1]] == n - 1 or width >= n:
+            return order
         key = rank * (n + 1)
         key[: n - width] += rank[width:] + 1
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        fresh = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
-        rank[order] = fresh
-        if fresh[-1] == n - 1 or width >= n:
-            return order
         width *= 2
 
 
