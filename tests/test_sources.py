@@ -76,6 +76,40 @@ def test_structure_and_language(spark):
     assert xml.language(INLINE) == "en" and xml.language("<a/>") is None
 
 
+def test_inline_tags_can_be_searched(spark):
+    from tokenloom.model import Corpus
+    from tokenloom.plans import positions
+    from tokenloom.plans.terms import parse_query
+
+    text = """<text><s n="1"><PN type="human">Ann</PN> ate <food category="italian">pizza</food> at <PN type="place">Old Mill Inn</PN> .</s><s n="2">She left at nine .</s></text>"""
+    c = Corpus.of(xml.read_xml(docs(spark, text)))
+    found = lambda q: {r["match_token"] for r in positions.with_text(positions.matches(c, parse_query(q)), c.tokens).collect()}
+    assert c.size == 13 and {r["sent_id"] for r in c.tokens.collect()} == {1, 2} and c.is_raw
+    assert found("<PN>") == {"Ann", "Old Mill Inn"} and found('<PN type="human">') == {"Ann"} and found("<PN type='pl*'>") == {"Old Mill Inn"}
+    assert found('<food category="italian">') == {"pizza"} and found("at <PN>") == {"at Old Mill Inn"} and found("<PN> .") == {"Old Mill Inn ."}
+
+
+def test_attributes_of_all_levels_reach_the_tokens(spark):
+    deep = '<corpus root_attr="r"><text id="E001" cefr="2" sex="F"><div l1="a"><p l2="b"><s n="x" mood="c">One two</s><s n="7">three</s></p></div></text></corpus>'
+    flat = '<root><text id="E002" cefr="3" sex="M">Four five</text><text id="E003" cefr="4" sex="F">six</text></root>'
+    rows = {r["token"]: r for r in xml.read_xml(docs(spark, deep, flat)).collect()}
+    assert (rows["One"]["root_attr"], rows["One"]["l1"], rows["One"]["l2"], rows["One"]["mood"], rows["three"]["mood"]) == ("r", "a", "b", "c", None)
+    assert [rows[t]["doc_id"] for t in ("One", "Four", "six")] == ["E001", "E002", "E003"] and [rows[t]["cefr"] for t in ("One", "Four", "six")] == ["2", "3", "4"]
+    assert [rows[t]["sent_id"] for t in ("One", "three", "Four", "six")] == [1, 7, 1, 2]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ('<PN type="a" x=\'b*\'>', (("type", "a"), ("x", "b*"))), ("<pn>", ()), ("<pn type=bare>", ()), ("<pn a='x' b=\"\">", (("a", "x"), ("b", ""))), ("<pn A='1=2' c>", (("a", "1=2"),)),
+    ],
+)
+def test_attributes_of_tag_terms(text, want):
+    from tokenloom.plans.terms import parse_tag
+
+    assert parse_tag(text).attrs == want
+
+
 @pytest.mark.parametrize(
     ("given", "want"),
     [
