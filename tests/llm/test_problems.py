@@ -187,6 +187,47 @@ def test_learned_sample_is_bounded_and_whole(spark, monkeypatch):
     assert few > n and 1_000 < many < 4_500 and m > 10_000
 
 
+def test_model_is_learned_from_all_tokens(spark):
+    """Every word of the documents with sentence numbers is counted, also beyond the
+    200,000 tokens of a language that were once drawn, and those that make words symbols."""
+    n = 260_000
+    token = "CASE WHEN id % 13 = 12 THEN '.' WHEN id % 3001 = 5 THEN 'needle' ELSE concat('word', id % 7) END"
+    rows = spark.range(n).selectExpr("id", "id div 26 AS doc_id", "concat('f', id div 26) AS filename", "id % 26 div 13 + 1 AS sent_id", f"{token} AS token", "'en' AS lang")
+    laid = sentences.lay(rows)
+    gram, counted, *_ = sentences.fit(laid).orders[0]
+    of = dict(zip(gram.tolist(), counted.tolist()))
+    plain = Counter("." if i % 13 == 12 else "needle" if i % 3001 == 5 else f"word{i % 7}" for i in range(n))
+    for word, times in plain.items():
+        key = sentences._mix(np.array([sentences._lang_key("en")], np.uint64), np.array([sentences._code(word)]))
+        assert of.get(int(key[0])) == times, word
+    assert sum(r.n for r in sentences.counts(laid).where("closes and gram_order = 1").collect()) >= plain["."]
+
+
+def test_parts_know_all_that_they_ask_for(spark, monkeypatch):
+    """What a part of the texts is given by the join is the whole model, as far as it matters."""
+    monkeypatch.setattr(sentences, "BLOCK", 64)
+    monkeypatch.setattr(sentences, "HALO", 16)
+    monkeypatch.setattr(sentences, "PART", 2)
+    rng = random.Random(8)
+    rows, n = [], 0
+    for d in range(90):
+        lang = (None, "th", "en", "en", "id")[d % 5]
+        for s, words in enumerate(made_up_text(rng, lang == "th"), 1):
+            for w in words:
+                n += 1
+                rows.append((n, d, f"f{d}", 0 if d % 3 == 0 else s, w, lang))
+    c = corpus(spark, rows)
+    laid = sentences.lay(c)
+    model = sentences.fit(laid)
+    want = {}
+    for r in laid.where("useless").collect():
+        p = sentences.boundaries(model, r["lang"], [np.array(r["codes"])], [r["first"]], [r["last"]])
+        want |= {i: x for i, x, own in zip(r["ids"], p, r["owned"]) if own and x >= 0.5}
+    got = {r["id"]: r["posterior"] for r in sentences.sentence_ends(c).collect()}
+    assert len(want) > 60 and set(got) == set(want)
+    assert all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
 def test_quotations_of_any_length(spark):
     symbols = sentences.Symbols({("en", "a"), ("en", ".")})
     words = ["“", "a", "."] + ["a"] * 200 + [".", "”", "a", ".", "“", "a", ".", "a", "“", "a", ".", "”", "."]

@@ -19,10 +19,11 @@ from tokenloom.session import materialize
 ORDER = 4
 #: Ids of a block, and ids of the neighbours read with it.
 BLOCK, HALO = 8192, 512
-#: Tokens of each language that the vocabulary and the language model are learned from.
-LABELLED = 200_000
-#: Occurrences among them that make a word a symbol of its own.
-WORD_COUNT = 50
+#: Blocks whose texts are decoded together, with the n-grams that they ask for.
+PART = 16
+#: Occurrences that make a word a symbol of its own: at least so many, and so many in so
+#: many tokens of its language.
+WORD_COUNT, WORD_TOKENS = 50, 200_000
 #: A quotation between straight marks that is still open after so many tokens is taken
 #: as unclosed; others are unclosed where the next one opens or the document ends.
 QUOTE_SPAN = 400
@@ -146,6 +147,24 @@ class Model:
             h, inverse = np.unique(history, return_inverse=True)
             total, kinds = np.bincount(inverse, n, len(h)), np.bincount(inverse, minlength=len(h))
             self.orders.append((gram[by], n[by].astype(np.float32), h, total.astype(np.float32), kinds.astype(np.float32)))
+        gram, n, h, total, _ = self.orders[1]
+        self.closed = h[(total >= 3) & (self._at(gram, _mix(h, np.full(len(h), S)), n) == 0)]
+
+    @classmethod
+    def of(cls, closed: np.ndarray, found: pa.Table | None = None) -> Model:
+        """A model of the symbols after which no boundary stands and of some n-grams and
+        histories: gram_order, key, n (as n-gram), total and kinds (as history)."""
+        model = cls.__new__(cls)
+        model.closed, model.orders = closed, []
+        if found is not None:
+            by = found.sort_by([("gram_order", "ascending")])
+            own, key, n, total, kinds = (by.column(c).to_numpy() for c in ("gram_order", "key", "n", "total", "kinds"))
+            for order in range(1, ORDER + 1):
+                at = np.arange(*np.searchsorted(own, [order, order + 1]))
+                at = at[np.argsort(key[at].view(np.uint64))]
+                g, h = at[n[at] > 0], at[total[at] > 0]
+                model.orders.append((key[g].view(np.uint64), n[g].astype(np.float32), key[h].view(np.uint64), total[h].astype(np.float32), kinds[h].astype(np.float32)))
+        return model
 
     @staticmethod
     def _at(keys: np.ndarray, wanted: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -155,35 +174,35 @@ class Model:
         i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
         return np.where(keys[i] == wanted, values[i], 0.0)
 
-    def probability(self, lang: str, windows: np.ndarray) -> np.ndarray:
-        """P(last symbol | the others) of each row of windows (rows of ORDER symbols)."""
-        p = np.full(len(windows), 1e-7)
+    @staticmethod
+    def keys(lang: str, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Keys of the history and of the n-gram that close each row of windows, by order."""
         for order in range(1, ORDER + 1):
-            gram, n, h, total, kinds = self.orders[order - 1]
             history = np.full(len(windows), _lang_key(lang), dtype=np.uint64)
             for k in range(order - 1, 0, -1):
                 history = _mix(history, windows[:, ORDER - 1 - k])
+            yield history, _mix(history, windows[:, -1])
+
+    def probability(self, lang: str, windows: np.ndarray) -> np.ndarray:
+        """P(last symbol | the others) of each row of windows (rows of ORDER symbols)."""
+        p = np.full(len(windows), 1e-7)
+        for (history, key), (gram, n, h, total, kinds) in zip(self.keys(lang, windows), self.orders):
             c, t = self._at(h, history, total), np.maximum(self._at(h, history, kinds), 1.0)
-            p = (self._at(gram, _mix(history, windows[:, -1]), n) + t * p) / (c + t)
+            p = (self._at(gram, key, n) + t * p) / (c + t)
         return p
 
     def may_end(self, lang: str, symbols: np.ndarray) -> np.ndarray:
         """Symbols after which a boundary was ever seen, or that were themselves hardly seen."""
-        gram, n, h, total, _ = self.orders[1]
         distinct, back = np.unique(symbols, return_inverse=True)
         history = _mix(np.full(len(distinct), _lang_key(lang), dtype=np.uint64), distinct)
-        seen = self._at(gram, _mix(history, np.full(len(distinct), S)), n) > 0
-        return (seen | (self._at(h, history, total) < 3))[back]
+        return (self._at(self.closed, history, np.ones(len(self.closed))) == 0)[back]
 
 
-def boundaries(model: Model, lang: str, texts: list[np.ndarray], starts: list[bool], ends: list[bool]) -> np.ndarray:
-    """Posterior of a boundary after each symbol of some texts (one after the other), by
-    the forward-backward algorithm, run on all texts at once.
-
-    Hidden events: after each symbol a boundary or none. Only places after which the
-    model knows boundaries are open; the words between two open places give the same
-    probability whatever the events, but for the ORDER-1 words after an event. starts
-    and ends tell whether a text begins and ends where its document does."""
+def places(model: Model, lang: str, texts: list[np.ndarray], starts: list[bool], ends: list[bool]) -> tuple:
+    """Where some texts may hold boundaries, and what must be known of the model there:
+    posterior of all symbols, places, first and last place of a text, words up to the
+    next place, windows, and the nine windows of each place by number. Only places after
+    which the model knows boundaries are open."""
     k = ORDER - 1
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     flat = np.concatenate(texts) if texts else np.zeros(0, np.int64)
@@ -195,7 +214,8 @@ def boundaries(model: Model, lang: str, texts: list[np.ndarray], starts: list[bo
     open_at = np.flatnonzero(model.may_end(lang, flat)) if len(flat) else np.zeros(0, np.int64)
     open_at = open_at[open_at < finish[text_of[open_at]] - 1]
     if not len(open_at):
-        return posterior
+        none = np.zeros(0, np.int64)
+        return posterior, none, none, none, none, np.zeros((0, ORDER), np.int64), np.zeros((9, 0), np.int64)
     # k symbols of padding before each text and k + 1 after it
     place = np.arange(len(flat)) + k + text_of * (2 * k + 1)
     pad = np.full(len(flat) + len(texts) * (2 * k + 1), BEFORE, dtype=np.int64)
@@ -224,7 +244,21 @@ def boundaries(model: Model, lang: str, texts: list[np.ndarray], starts: list[bo
     for j in range(ORDER):
         key = _mix(key, rows[:, j])
     _, one, back = np.unique(key, return_index=True, return_inverse=True)
-    logs = np.log(model.probability(lang, rows[one]))[back].reshape(9, m)
+    return posterior, open_at, first, last, reach, rows[one], back.reshape(9, m)
+
+
+def boundaries(model: Model, lang: str, texts: list[np.ndarray], starts: list[bool], ends: list[bool]) -> np.ndarray:
+    """Posterior of a boundary after each symbol of some texts (one after the other), by
+    the forward-backward algorithm, run on all texts at once.
+
+    Hidden events: after each symbol a boundary or none. The words between two open
+    places give the same probability whatever the events, but for the ORDER-1 words after
+    an event. starts and ends tell whether a text begins and ends where its document does."""
+    posterior, open_at, first, last, reach, windows, back = places(model, lang, texts, starts, ends)
+    m = len(open_at)
+    if not m:
+        return posterior
+    logs = np.log(model.probability(lang, windows))[back]
     keep0 = sum(np.where(reach >= j + 1, logs[j], 0.0) for j in range(3))
     keep1 = sum(np.where(reach >= j + 1, logs[j + 3], 0.0) for j in range(3))
     event0, event1 = logs[6], logs[6].copy()  # event1: given an event at the place before
@@ -294,19 +328,22 @@ def _lay(symbols: Symbols):
 LAID = "block bigint, doc_id bigint, lang string, numbered boolean, ids array<bigint>, codes array<bigint>, ends array<boolean>, owned array<boolean>"
 
 
+COUNTED = ["gram_order", "history", "gram", "closes", "n"]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """N-gram counts of the documents with sentence numbers."""
     held: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
     size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for (lang, order), parts in held.items():
+        for (_, order), parts in held.items():
             history = np.concatenate([h for h, _ in parts])
             gram, at, n = np.unique(np.concatenate([g for _, g in parts]), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(n)), pa.array(np.full(len(n), order, np.int32)), pa.array(history[at].view(np.int64)), pa.array(gram.view(np.int64)), pa.array(n)],
-                ["lang", "gram_order", "history", "gram", "n"],
-            )
+            history = history[at]
+            closes = gram == _mix(history, np.full(len(n), S))
+            columns = [np.full(len(n), order, np.int32), history.view(np.int64), gram.view(np.int64), closes, n]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], COUNTED)
         held.clear()
 
     for batch in batches:
@@ -329,19 +366,49 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def _mark(model: Model, threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, docs = batch.column("lang").to_pylist(), batch.column("doc_id").to_numpy()
-            column = {c: batch.column(c) for c in ("ids", "codes", "owned")}
-            first, last = batch.column("first").to_pylist(), batch.column("last").to_pylist()
-            for lang in sorted(set(langs)):
-                rows = [i for i, g in enumerate(langs) if g == lang]
-                ids, codes, owned = ([column[c][i].values.to_numpy(zero_copy_only=False) for i in rows] for c in ("ids", "codes", "owned"))
-                p = boundaries(model, lang, codes, [first[i] for i in rows], [last[i] for i in rows])
-                hit = (p >= threshold) & np.concatenate(owned)
-                doc = np.repeat(docs[rows], [len(x) for x in ids])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[hit], np.concatenate(ids)[hit], p[hit])], ["doc_id", "id", "posterior"])
+def _by_language(texts: pa.Table) -> Iterator[tuple]:
+    """lang, doc_id, ids, codes, owned, first and last of the texts of each language."""
+    texts = texts.combine_chunks()
+    langs, docs = texts.column("lang").to_pylist(), texts.column("doc_id").to_numpy()
+    column = {c: texts.column(c).chunk(0) for c in ("ids", "codes", "owned")}
+    first, last = texts.column("first").to_pylist(), texts.column("last").to_pylist()
+    for lang in sorted(set(langs)):
+        rows = [i for i, g in enumerate(langs) if g == lang]
+        lists = ([column[c][i].values.to_numpy(zero_copy_only=False) for i in rows] for c in ("ids", "codes", "owned"))
+        yield lang, docs[rows], *lists, [first[i] for i in rows], [last[i] for i in rows]
+
+
+def _ask(closed: np.ndarray):
+    """The n-grams and histories that the texts of a part ask for."""
+    model = Model.of(closed)
+
+    def run(texts: pa.Table) -> pa.Table:
+        held: list[list[np.ndarray]] = [[] for _ in range(ORDER)]
+        for lang, _, _, codes, _, first, last in _by_language(texts):
+            *_, windows, _ = places(model, lang, codes, first, last)
+            for own, keys in zip(held, Model.keys(lang, windows)):
+                own += keys
+        keys = [np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64) for own in held]
+        order = np.repeat(np.arange(1, ORDER + 1, dtype=np.int32), [len(k) for k in keys])
+        part = np.full(len(order), texts.column("part")[0].as_py())
+        return pa.table({"part": part, "gram_order": order, "key": np.concatenate(keys).view(np.int64)})
+
+    return run
+
+
+def _mark(closed: np.ndarray, threshold: float):
+    """The boundaries of the texts of a part, by what is known of all that they asked for."""
+
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        model = Model.of(closed, found)
+        out: list[list[np.ndarray]] = [[], [], []]
+        for lang, docs, ids, codes, owned, first, last in _by_language(texts):
+            p = boundaries(model, lang, codes, first, last)
+            hit = (p >= threshold) & np.concatenate(owned)
+            doc = np.repeat(docs, [len(x) for x in ids])
+            for own, x in zip(out, (doc, np.concatenate(ids), p)):
+                own.append(x[hit])
+        return pa.table(dict(zip(("doc_id", "id", "posterior"), map(np.concatenate, out))))
 
     return run
 
@@ -353,7 +420,7 @@ def _sampled(rows: DataFrame, keys: list[str], totals: DataFrame, labelled: int)
     return rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64(*keys), F.lit(1_000_000)) < F.col("_share") * 1_000_000).drop("_share")
 
 
-def lay(corpus: DataFrame, labelled: int = LABELLED, quote_span: int = QUOTE_SPAN) -> DataFrame:
+def lay(corpus: DataFrame, labelled: int | None = None, quote_span: int = QUOTE_SPAN) -> DataFrame:
     """One row per document and block of consecutive ids, with the halo of the neighbouring
     blocks: block, doc_id, lang, ids, codes (symbols), ends, owned, first, last, useless.
 
@@ -364,9 +431,11 @@ def lay(corpus: DataFrame, labelled: int = LABELLED, quote_span: int = QUOTE_SPA
     rows = corpus.where(F.col("id").isNotNull() & F.col("doc_id").isNotNull())
     own = F.floor(F.col("id") / BLOCK).cast("bigint")
     words = rows.where(F.col("token").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "lang", "token", own.alias("block"))
-    totals = words.groupBy("lang").agg(F.count("*").alias("total"))
-    counted = _sampled(words, ["block", "doc_id"], totals, labelled).groupBy("lang", "token").agg(F.count("*").alias("n"))
-    kept = counted.where(F.col("n") >= WORD_COUNT).select("lang", "token").collect()
+    if labelled is not None:
+        words = _sampled(words, ["block", "doc_id"], words.groupBy("lang").agg(F.count("*").alias("total")), labelled)
+    counted = words.groupBy("lang", "token").agg(F.count("*").alias("n"))
+    least = counted.groupBy("lang").agg((F.greatest(F.sum("n"), F.lit(WORD_TOKENS)) * WORD_COUNT).alias("_least"))
+    kept = counted.join(F.broadcast(least), "lang").where(F.col("n") * WORD_TOKENS >= F.col("_least")).select("lang", "token").collect()
     symbols = Symbols({(r["lang"], r["token"]) for r in kept}, quote_span)
     near = F.when((F.col("id") % BLOCK < HALO) & (own > 0), F.array(own, own - 1)).when(F.col("id") % BLOCK >= BLOCK - HALO, F.array(own, own + 1)).otherwise(F.array(own))
     spread = rows.select(
@@ -390,22 +459,32 @@ def lay(corpus: DataFrame, labelled: int = LABELLED, quote_span: int = QUOTE_SPA
     )
 
 
-def fit(laid: DataFrame, labelled: int = LABELLED) -> Model:
-    """The n-gram model of documents with sentence numbers: all n-grams of about
-    `labelled` tokens of each language, so its size is bounded whatever the corpus."""
+def counts(laid: DataFrame, labelled: int | None = None) -> DataFrame:
+    """All n-grams of the documents with sentence numbers: gram_order, history, gram (keys),
+    closes (its last symbol is the boundary event), n."""
     own = laid.where(~F.col("useless"))
-    totals = own.groupBy("lang").agg(F.sum(F.size("codes")).alias("total"))
-    counts = (
-        _sampled(own, ["block", "doc_id"], totals, labelled)
-        .mapInArrow(_count, "lang string, gram_order int, history bigint, gram bigint, n bigint")
-        .groupBy("gram_order", "history", "gram")
-        .agg(F.sum("n").alias("n"))
-        .toArrow()
-    )
-    return Model({c: counts.column(c).to_numpy() for c in counts.column_names})
+    if labelled is not None:
+        own = _sampled(own, ["block", "doc_id"], own.groupBy("lang").agg(F.sum(F.size("codes")).alias("total")), labelled)
+    counted = own.mapInArrow(_count, "gram_order int, history bigint, gram bigint, closes boolean, n bigint")
+    return counted.groupBy(*COUNTED[:-1]).agg(F.sum("n").alias("n"))
+
+
+def fit(laid: DataFrame, labelled: int | None = None) -> Model:
+    """The whole n-gram model in the driver's memory, which must hold it; sentence_ends
+    brings to each part of the texts only what the part asks for."""
+    counted = counts(laid, labelled).toArrow()
+    return Model({c: counted.column(c).to_numpy() for c in counted.column_names if c != "closes"})
+
+
+def asked(counted: DataFrame, texts: DataFrame, closed: np.ndarray) -> DataFrame:
+    """What is known of the n-grams and histories that each part of the texts asks for:
+    part, gram_order, key, n (as n-gram), total and kinds (as history)."""
+    both = counted.select("gram_order", F.expr("stack(2, gram, n, 0L, 0L, history, 0L, n, 1L) AS (key, n, total, kinds)"))
+    known = both.groupBy("gram_order", "key").agg(*[F.sum(c).alias(c) for c in ("n", "total", "kinds")])
+    return texts.groupBy("part").applyInArrow(_ask(closed), "part bigint, gram_order int, key bigint").join(known, ["gram_order", "key"])
 
 
-def sentence_ends(corpus: DataFrame, *, threshold: float = 0.5, labelled: int = LABELLED, quote_span: int = QUOTE_SPAN) -> DataFrame:
+def sentence_ends(corpus: DataFrame, *, threshold: float = 0.5, labelled: int | None = None, quote_span: int = QUOTE_SPAN) -> DataFrame:
     """The last token of each sentence of every document without usable sentence numbers.
 
     Method: a hidden-event n-gram language model over words and boundary events, learned
@@ -415,12 +494,15 @@ def sentence_ends(corpus: DataFrame, *, threshold: float = 0.5, labelled: int =
     so that quotations keep together. Unpunctuated scripts need nothing else: the model
     knows after which words sentences close.
 
-    labelled bounds what is learned from: about so many tokens of each language, chosen
-    by a hash of document and block; every n-gram of them is kept, with the totals and
-    kinds of all. So the model has the same size and quality however large the corpus
-    is. Every document without numbers is treated in whole. quote_span: tokens after
-    which an open straight quotation mark counts as unclosed. A quotation across the
-    border of two blocks is read whole if it is shorter than HALO tokens.
+    It is learned from all of them: words are counted over all tokens and n-grams over all
+    documents with sentence numbers. The counts stay distributed; each part of the texts
+    (PART blocks) asks for the n-grams at its own open places and gets those by a join. On
+    the driver are only the frequent words (by their rate at most 4,000 a language) and
+    one number of each symbol after which no boundary stands. Only a caller that sets
+    labelled learns from less: about so many tokens of each language, chosen by a hash of
+    document and block. Every document without numbers is treated in whole. quote_span:
+    tokens after which an open straight quotation mark counts as unclosed. A quotation
+    across the border of two blocks is read whole if it is shorter than HALO tokens.
 
     Columns: doc_id, id, posterior. A document's last token always ends a sentence.
     Documents all of whose rows have sent_id 0 or null are treated, others give no row.
@@ -429,8 +511,13 @@ def sentence_ends(corpus: DataFrame, *, threshold: float = 0.5, labelled: int =
     model of their own. Without any document to learn from, only last tokens and unseen
     words are looked at."""
     laid = lay(corpus, labelled, quote_span)
-    model = fit(laid, labelled)
-    return laid.where("useless").mapInArrow(_mark(model, threshold), "doc_id bigint, id bigint, posterior double")
+    counted = materialize(counts(laid, labelled), "sentences-counts")
+    before = counted.where(F.col("gram_order") == 2).groupBy("history").agg(F.sum("n").alias("n"), F.bool_or("closes").alias("closes"))
+    shut = before.where((F.col("n") >= 3) & ~F.col("closes")).select("history").toArrow()
+    closed = np.sort(shut.column("history").to_numpy().view(np.uint64))
+    texts = laid.where("useless").select(F.floor(F.col("block") / PART).cast("bigint").alias("part"), "doc_id", "lang", "ids", "codes", "owned", "first", "last")
+    found = asked(counted, texts, closed)
+    return texts.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_mark(closed, threshold), "doc_id bigint, id bigint, posterior double")
 
 
 def sentence_units(corpus: DataFrame, **options: float) -> DataFrame:
